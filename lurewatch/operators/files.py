@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from lurewatch.functions import attachments as A
 
@@ -26,7 +27,7 @@ MAX_LISTED, MAX_DEPTH, MAX_RATIO, MAX_LOOKUPS = 50, 2, 1000, 5
 SKIPPED_KINDS = ("png", "jpeg", "gif", "webp", "tiff", "text", "empty")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def byte_entropy(data: pd.Series) -> pd.Series:
     """Bits per byte over the first 4 MiB, two decimals; 0 for nothing."""
 
@@ -38,7 +39,7 @@ def byte_entropy(data: pd.Series) -> pd.Series:
     return data.map(one, na_action=None).astype(float)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def pdf_text(data: pd.Series) -> pd.Series:
     """Text of a PDF for pattern scans: its bytes and its inflated streams (bounded), with escaped names undone."""
     begin = re.compile(rb"(?<!end)stream\r?\n")

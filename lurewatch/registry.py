@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lurewatch.jobs import queries as _q
+
 
 def queries() -> dict:
-    return {}
+    return dict(_q.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_q.ORACLES)
