@@ -10,9 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurewatch.llm.bpe import vocabulary
 from lurewatch.llm.common import materialize, table
-from lurewatch.llm.tokens import Encoder
+from lurewatch.llm.tokens import Encoder, ranks
 
 #: Tokens of a bin, and pieces that are packed together: a group this large fills its bins nearly as well as all would.
 CAPACITY, GROUP = 2_048, 4_096
@@ -82,7 +81,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, cluster:
     bins belong to one group, so conflicts hold everywhere. Repeated rows are packed each for itself; an empty
     table gives an empty table.
     """
-    counts = materialize(token_counts(docs, path or vocabulary(), cluster), "token-counts")
+    counts = materialize(token_counts(docs, path or ranks(), cluster), "token-counts")
     pieces = counts.select("doc_id", "source", "cluster", "n_tokens", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n_tokens") / capacity) - 1, F.lit(0)).cast("int"))).alias("piece"))
     start = F.col("piece") * F.lit(capacity).cast("long")
     pieces = pieces.select("doc_id", "source", "cluster", "piece", start.alias("start"), F.least(F.col("n_tokens") - start, F.lit(capacity)).alias("n"))

@@ -1,40 +1,30 @@
-"""Token ids of whole texts inside a task: chunks between white space are encoded once and remembered."""
+"""Token ids of whole texts inside a task, as packed 16-bit numbers."""
 
 from __future__ import annotations
 
-import re
+import base64
 
 import numpy as np
 
-from lurewatch.llm.bpe import SPECIAL, _tokenizer
 
-# The characters that Unicode calls white space.
-_WS = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: Most chunks that a worker remembers.
-REMEMBERED = 400_000
+def ranks() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 class Encoder:
-    """Ids of texts as little-endian 16-bit numbers; the vocabulary must have less than 65,536 entries."""
+    """Ids of texts as little-endian 16-bit numbers; a special token's own text is ordinary text here."""
 
     def __init__(self, path: str) -> None:
-        self.path, self.known = path, {}
-        assert _tokenizer(path).get_vocab_size() < 1 << 16
+        import public_tokenizers
+        import tiktoken
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in _tokenizer(self.path).encode_batch(texts, add_special_tokens=False)] if texts else []
+        with open(path, "rb") as f:
+            known = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        assert len(known) < 1 << 16
+        self.of = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """A null text has no ids. Cutting at white space changes no id, as the tokenizer cuts there too."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        odd = [i for i, t in enumerate(texts) if t and SPECIAL in t]
-        chunks = [_CHUNK.findall(t) if t and SPECIAL not in t else () for t in texts]
-        new = list({c for row in chunks for c in row}.difference(self.known))
-        self.known.update(zip(new, self._encode(new), strict=True))
-        known = self.known
-        out = [b"".join([known[c] for c in row]) for row in chunks]
-        for i, ids in zip(odd, self._encode([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        return out
+        """A null text has no ids."""
+        return [np.asarray(self.of.encode_ordinary(t), "<u2").tobytes() if t else b"" for t in texts]

@@ -11,9 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurewatch.llm.bpe import vocabulary
 from lurewatch.llm.common import scratch, table
-from lurewatch.llm.tokens import Encoder
+from lurewatch.llm.tokens import Encoder, ranks
 
 #: Tokens of a sequence, sequences of a shard, rounds of the Feistel network, id between texts.
 SEQUENCE, SHARD, ROUNDS, END = 1_024, 4_096, 6, 50_256
@@ -118,7 +117,7 @@ def write_shards(docs: DataFrame, out: str, key: int = 20_240_229, path: str | N
     repeated row is written each time; an empty table gives no shard and an empty index.
     """
     spark = docs.sparkSession
-    rows, total = sequences(docs, key, path or vocabulary(), sequence)
+    rows, total = sequences(docs, key, path or ranks(), sequence)
     shards, stride = -(-total // shard), 2 * sequence
     parts = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = rows.withColumn("shard", F.expr(f"slot div {shard}"))

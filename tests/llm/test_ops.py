@@ -214,7 +214,7 @@ def test_packing_whole(spark):
     df = odd_docs(spark)
     got = packing.pack(df, capacity=64, group=50).collect()
     counts = collections.Counter((r["doc_id"], r["piece"]) for r in got)
-    encoder = packing.Encoder(bpe.vocabulary())
+    encoder = packing.Encoder(packing.ranks())
     for r in df.filter("doc_id IS NOT NULL AND doc_id <> 3").collect():
         n = len(encoder.encode([r["text"]])[0]) // 2
         assert sum(x["n_tokens"] for x in got if x["doc_id"] == r["doc_id"]) == n and counts[(r["doc_id"], 0)] == 1
