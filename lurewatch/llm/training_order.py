@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,31 +40,13 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _sized(docs: DataFrame, path: str, sequence: int) -> list[int]:
-    """Number of sequences of each partition of the scan."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tokens = Encoder(path), 0
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                tokens += sum(len(ids) // 2 + 1 for ids in encoder.encode(whole.slice(start, 512).column("text").to_pylist()))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-tokens // sequence)], pa.int64())], names=["partition", "n"])
-
-    found = {r["partition"]: r["n"] for r in docs.mapInArrow(run, "partition int, n bigint").collect()}
-    return [found.get(i, 0) for i in range(max(found, default=-1) + 1)]
-
-
-def sequences(docs: DataFrame, key: int, path: str, sequence: int) -> tuple[DataFrame, int]:
-    """slot, doc_ids (of the texts in it, in order), tokens (16-bit ids, `sequence` of them); and the number of slots.
+def cut_sequences(docs: DataFrame, path: str, sequence: int) -> DataFrame:
+    """partition, k (place in the partition), doc_ids (of the texts in it, in order), tokens (16-bit ids, `sequence` of them).
 
     Texts of a partition of the scan follow one another, each with the end id behind it; only the last sequence
-    of a partition is filled up with end ids. One pass over the texts counts, a second one numbers and writes:
-    nothing but a count per partition reaches the driver. The scan must give the same partitions both times, as
-    one of files does; a difference stops the job.
+    of a partition is filled up with end ids.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = _sized(rows, path, sequence)
-    total, firsts, stride = sum(counts), np.r_[0, np.cumsum(counts)].tolist(), 2 * sequence
+    rows, stride = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), 2 * sequence
     end = np.array([END], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,9 +68,8 @@ def sequences(docs: DataFrame, key: int, path: str, sequence: int) -> tuple[Data
                 begin = stop
             tokens = [held[k * stride : (k + 1) * stride] for k in range(n)]
             held, owners = held[n * stride :], later
-            slots = permute(np.arange(firsts[p] + made, firsts[p] + made + n), total, key) if n else np.zeros(0, np.int64)
             made += n
-            return pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(tokens, pa.binary())], names=["slot", "doc_ids", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array([p] * n, pa.int32()), pa.array(range(made - n, made), pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(tokens, pa.binary())], names=["partition", "k", "doc_ids", "tokens"])
 
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
@@ -100,11 +82,25 @@ def sequences(docs: DataFrame, key: int, path: str, sequence: int) -> tuple[Data
                 held = b"".join(parts)
                 yield cut(False)
         yield cut(True)
-        planned = firsts[p + 1] - firsts[p] if p + 1 < len(firsts) else 0
-        if made != planned:
-            raise RuntimeError(f"partition {p} gave {made} sequences, {planned} were counted: its rows changed between two scans")
 
-    return rows.mapInArrow(run, "slot bigint, doc_ids array<bigint>, tokens binary"), total
+    return rows.mapInArrow(run, "partition int, k bigint, doc_ids array<bigint>, tokens binary")
+
+
+def numbered(cut: DataFrame, key: int) -> tuple[DataFrame, int]:
+    """slot, doc_ids, packed (compressed tokens); and the number of slots. Only a count per partition reaches the driver."""
+    counts = {r["partition"]: r["count"] for r in cut.groupBy("partition").count().collect()}
+    total, first, at = sum(counts.values()), {}, 0
+    for p in sorted(counts):
+        first[p], at = at, at + counts[p]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1, write_content_size=True)
+        for x in batches:
+            index = np.array([first[p] for p in x.column("partition").to_pylist()], np.int64) + x.column("k").to_numpy()
+            packed = [pack.compress(t) for t in x.column("tokens").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(permute(index, total, key), pa.int64()), x.column("doc_ids"), pa.array(packed, pa.binary())], names=["slot", "doc_ids", "packed"])
+
+    return cut.mapInArrow(run, "slot bigint, doc_ids array<bigint>, packed binary"), total
 
 
 def write_shards(docs: DataFrame, out: str, key: int = 20_240_229, path: str | None = None, sequence: int = SEQUENCE, shard: int = SHARD) -> DataFrame:
@@ -113,11 +109,13 @@ def write_shards(docs: DataFrame, out: str, key: int = 20_240_229, path: str | N
     Slot s lies in shard s div `shard`, at byte (s mod `shard`) * 2 * `sequence`: a reader resumes anywhere without an
     index. Slots are dealt to tasks by range; a task sorts its slots and writes its shards one after another, each
     under a name of its own first and then moved into place, so that a task that runs again leaves the same
-    files. A shard already in place with the right size is not written again. Null texts count as empty; a
+    files. Texts are encoded once, into a table of sequences in the shared folder that numbering reads again. A
+    shard already in place with the right size is not written again. Null texts count as empty; a
     repeated row is written each time; an empty table gives no shard and an empty index.
     """
     spark = docs.sparkSession
-    rows, total = sequences(docs, key, path or ranks(), sequence)
+    cut_sequences(docs, path or ranks(), sequence).write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/sequences")
+    rows, total = numbered(spark.read.parquet(f"{out}/sequences"), key)
     shards, stride = -(-total // shard), 2 * sequence
     parts = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = rows.withColumn("shard", F.expr(f"slot div {shard}"))
@@ -128,6 +126,7 @@ def write_shards(docs: DataFrame, out: str, key: int = 20_240_229, path: str | N
 
         system, root = fs.FileSystem.from_uri(out)
         system.create_dir(f"{root}/shards", recursive=True)
+        unpack = zstandard.ZstdDecompressor()
         now, held = -1, []
 
         def close() -> None:
@@ -143,7 +142,7 @@ def write_shards(docs: DataFrame, out: str, key: int = 20_240_229, path: str | N
             system.move(own, name)
 
         for batch in batches:
-            tokens = batch.column("tokens").to_pylist()
+            tokens = [unpack.decompress(t) for t in batch.column("packed").to_pylist()]
             for n, x in zip(batch.column("shard").to_pylist(), tokens, strict=True):
                 if n != now:
                     close()
