@@ -26,7 +26,9 @@ SPECIAL = "<|endoftext|>"
 #: What byte-level tokenizers cut a text into (fixed value), with Unicode classes.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Most bytes of the word table that goes to every worker; words beyond it travel to the texts that hold them.
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 96 << 20
+#: Most words that a worker remembers between batches.
+REMEMBERED = 400_000
 
 
 def vocabulary() -> str:
@@ -104,7 +106,7 @@ class _Table:
 
 def _hot(words: DataFrame, most: int) -> tuple[_Table, int]:
     """The commonest words within `most` bytes (all, if they fit), and how many texts hold the commonest one left out."""
-    size = F.lit(16) + 4 * F.size("ids")
+    size = F.lit(16) + 2 * F.size("ids")
     total = words.agg(F.sum(size)).first()[0] or 0
     least = 0
     if total > most:
@@ -122,7 +124,7 @@ def _hot(words: DataFrame, most: int) -> tuple[_Table, int]:
     ids = ids.take(pa.array(order)) if len(order) else ids
     ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
     ends = np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False)).astype(np.int64) if len(order) else np.zeros(0, np.int64)
-    return _Table(h[order], ends, np.asarray(pc.list_flatten(ids).to_numpy(), np.int32)), least
+    return _Table(h[order], ends, pc.list_flatten(ids).to_numpy().astype(np.uint16)), least
 
 
 def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES, with_ids: bool = True) -> DataFrame:
@@ -144,7 +146,8 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
         left = words.filter(F.col("n") <= least).select("word", "ids")
         held = texts.select("doc_id", F.explode(F.array_distinct("words")).alias("word")).join(left, "word").distinct()
         rare = held.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("word", "ids")).alias("rare"))
-        texts = texts.join(rare, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "words", "rare")
+        whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+        texts = whole.join(rare, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", split_words(F.col("text")).alias("words"), "rare")
     else:
         texts = texts.withColumn("rare", F.lit(None).cast(rare_type))
     kind = next(f.dataType.simpleString() for f in texts.schema if f.name == "doc_id")
@@ -152,25 +155,32 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelt = pieces(path)
+        known: dict[bytes, tuple[list[int], bytes, bytes]] = {}
         for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                yield one(whole.slice(start, 1024), spelt)
+            for start in range(0, whole.num_rows, 2048):
+                if len(known) > REMEMBERED:
+                    known = {}
+                yield one(whole.slice(start, 2048), spelt, known)
+
+    def learn(new: list[bytes], batch: pa.RecordBatch, spelt: list[bytes], known: dict) -> None:
+        """Ids, ids as text, and spelling of words: from the table, from the rows themselves, or encoded on the spot."""
+        ids = hot.value.find(new, spelt)
+        if missing := [i for i, x in enumerate(ids) if x is None]:
+            own = {r["word"].encode(): r["ids"] for row in batch.column("rare").to_pylist() if row for r in row}
+            left = [i for i in missing if new[i] not in own]
+            for i in missing:
+                ids[i] = own.get(new[i])
+            for i, e in zip(left, _tokenizer(path).encode_batch([new[i].decode() for i in left], add_special_tokens=False) if left else (), strict=True):
+                ids[i] = e.ids  # a hash shared by two words
+        known.update((w, (x, ",".join(map(str, x)).encode(), b"".join([spelt[k] for k in x]))) for w, x in zip(new, ids, strict=True))
 
-    def one(batch: pa.RecordBatch, spelt: list[bytes]) -> pa.RecordBatch:
+    def one(batch: pa.RecordBatch, spelt: list[bytes], known: dict) -> pa.RecordBatch:
         lists = batch.column("words")
         coded = lists.flatten().dictionary_encode()
         distinct = coded.dictionary.cast(pa.binary()).to_pylist()
-        ids = hot.value.find(distinct, spelt)
-        missing = [i for i, x in enumerate(ids) if x is None]
-        if missing:
-            own = {r["word"].encode(): r["ids"] for row in batch.column("rare").to_pylist() if row for r in row}
-            left = [i for i in missing if distinct[i] not in own]
-            for i in missing:
-                ids[i] = own.get(distinct[i])
-            for i, e in zip(left, _tokenizer(path).encode_batch([distinct[i].decode() for i in left], add_special_tokens=False) if left else (), strict=True):
-                ids[i] = e.ids  # a hash shared by two words
-        texts = [",".join(map(str, x)).encode() for x in ids]
-        raw = [b"".join([spelt[k] for k in x]) for x in ids]
+        if new := [w for w in distinct if w not in known]:
+            learn(new, batch, spelt, known)
+        ids, texts, raw = zip(*[known[w] for w in distinct], strict=True) if distinct else ((), (), ())
         sizes = np.array([len(x) for x in ids] or [0])
         codes = coded.indices.to_numpy()
         ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)).astype(int) if len(lists) else np.zeros(0, int)
