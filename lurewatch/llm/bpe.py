@@ -28,7 +28,7 @@ PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 #: Most bytes of the word table that goes to every worker; words beyond it travel to the texts that hold them.
 TABLE_BYTES = 96 << 20
 #: Most words that a worker remembers between batches.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def vocabulary() -> str:
