@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import table, words
+from lurewatch.llm.common import materialize, table, words
 
 # Frequent function words of the four languages.
 STOP_WORDS = (
@@ -93,9 +93,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that break no rule."""
-    names = docs.columns
-    return verdicts(docs.select(F.col("text").alias("_text"), F.struct(*[F.col(c) for c in names]).alias("_row")), "_text").filter("kept").select("_row.*")
+    """Pipeline stage: documents that break no rule.
+
+    The verdicts are written before they filter: a filter pushed into the projection would write its nested
+    expressions out again at every use, until planning no longer ends.
+    """
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    judged = verdicts(docs.select(F.col("text").alias("_text"), row), "_text").select("_row", "kept")
+    return materialize(judged, "rules").filter("kept").select("_row.*")
 
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in STOP_FORMS)
