@@ -49,6 +49,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def labelled_sample(labelled: DataFrame, text: str, label: str, key: str, most: int, longest: int) -> list[tuple[str, int, int]]:
+    """(text, label, hash of the key) of the `most` lowest hashes per label among labels 0 and 1 and texts up to `longest`.
+
+    The cut is found on hashes alone, so that texts are read only where they enter the sample and no text below the cut
+    is shuffled. Rows that share a key and a label count once, with their least text.
+    """
+    rows = labelled.filter(F.col(label).isin(0, 1) & F.col(text).isNotNull() & (F.char_length(text) <= longest))
+    rows = rows.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(F.col(key)).alias("h"))
+    hashes = rows.select("label", "h").distinct()
+    cuts = {y: hashes.filter(F.col("label") == y).orderBy("h").limit(most).agg(F.max("h")).first()[0] for y in (0, 1)}
+    cuts = {y: h for y, h in cuts.items() if h is not None}
+    if not cuts:
+        return []
+    taken = F.lit(False)
+    for y, h in cuts.items():
+        taken |= (F.col("label") == y) & (F.col("h") <= h)
+    # The plain bound is the one that reaches the texts below their join with the labels.
+    kept = rows.filter((F.col("h") <= max(cuts.values())) & taken).groupBy("label", "h").agg(F.min("text").alias("text"))
+    return sorted((tuple(r) for r in kept.select("text", "label", "h").collect()), key=lambda r: (r[1], r[2]))
+
+
 def forget(df: DataFrame) -> None:
     """Deletes a table written by materialize()."""
     jvm = df.sparkSession._jvm

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import table
+from lurewatch.llm.common import labelled_sample, table
 
 #: Bytes of a dictionary, bytes of the pieces that a text is compressed in, compression level.
 DICT_BYTES, PIECE, LEVEL = 64 << 10, 512, 3
@@ -62,24 +62,22 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: st
     """Builds the dictionaries on one half of a bounded labelled sample and calibrates on the other.
 
     The sample holds at most MAX_ROWS rows per label (lowest hash of the key first), none over MAX_CHARS
-    characters. Labels other than 0 and 1 and null texts are left out. With a label missing in either half the model
+    characters; rows of one key count once. Labels other than 0 and 1 and null texts are left out. With a label missing in either half the model
     is neutral: every score is one half.
     """
-    rows = labelled.filter(F.col(label).isin(0, 1) & F.col(text).isNotNull() & (F.char_length(text) <= MAX_CHARS))
-    rows = rows.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(F.col(key)).alias("h"))
-    sample = [r for y in (0, 1) for r in rows.filter(F.col("label") == y).orderBy("h", "text").limit(MAX_ROWS).collect()]
-    build, hold = [r for r in sample if r["h"] % 2 == 0], [r for r in sample if r["h"] % 2]
+    sample = labelled_sample(labelled, text, label, key, MAX_ROWS, MAX_CHARS)
+    build, hold = [r for r in sample if r[2] % 2 == 0], [r for r in sample if r[2] % 2]
     dictionaries = []
     for y in (1, 0):
-        pieces = [d[i : i + PIECE] for r in build if r["label"] == y for d in [r["text"].encode("utf-8", "replace")] for i in range(0, len(d), PIECE)]
+        pieces = [d[i : i + PIECE] for t, of, _ in build if of == y for d in [t.encode("utf-8", "replace")] for i in range(0, len(d), PIECE)]
         try:
             dictionaries.append(zstandard.train_dictionary(DICT_BYTES, pieces).as_bytes())
         except zstandard.ZstdError:  # too few pieces to train on: they are the dictionary themselves
             dictionaries.append(b"".join(pieces)[-DICT_BYTES:])
-    if any(len(d) < 8 for d in dictionaries) or len({r["label"] for r in hold}) < 2:
+    if any(len(d) < 8 for d in dictionaries) or len({r[1] for r in hold}) < 2:
         return Model(b"", b"", (0.0, 0.0, 0.0))
     sizes = _Sizes(*dictionaries)
-    weights = _logistic(np.array([sizes.features(r["text"]) for r in hold]), np.array([r["label"] for r in hold], float))
+    weights = _logistic(np.array([sizes.features(t) for t, _, _ in hold]), np.array([y for _, y, _ in hold], float))
     return Model(*dictionaries, tuple(map(float, weights)))
 
 
