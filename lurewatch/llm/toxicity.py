@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import table
+from lurewatch.llm.common import labelled_sample, table
 
 #: Severity grades are 0 to GRADES - 1. Bound of the labelled sample: rows per label, and characters of a row.
 GRADES, MAX_ROWS, MAX_CHARS = 3, 3_000, 16_384
@@ -20,6 +20,8 @@ GRADES, MAX_ROWS, MAX_CHARS = 3, 3_000, 16_384
 FEATURES, LEAST_DOCS, PREFIXES, RIDGE = 2_048, 3, (4, 5), 1e-3
 #: Probability of any toxicity from which on a text counts as toxic.
 CUT = 0.35
+#: Most words whose features a task remembers.
+REMEMBERED = 200_000
 _WORD = re.compile(r"\w+")
 
 
@@ -80,10 +82,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
     leans to the toxic class: those above the median share of such words get the highest grade. Labels other
     than 0 and 1 and null texts are left out; if one label is missing nothing is found toxic.
     """
-    rows = labelled.filter(F.col(label).isin(0, 1) & F.col(text).isNotNull() & (F.char_length(text) <= MAX_CHARS))
-    rows = rows.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(F.col(key)).alias("h"))
-    sample = [r for y in (0, 1) for r in rows.filter(F.col("label") == y).orderBy("h", "text").limit(MAX_ROWS).collect()]
-    texts, y = [r["text"] for r in sample], np.array([r["label"] for r in sample], int)
+    sample = labelled_sample(labelled, text, label, key, MAX_ROWS, MAX_CHARS)
+    texts, y = [t for t, _, _ in sample], np.array([of for _, of, _ in sample], int)
     if len(set(y)) == 2:
         words = [Counter(_WORD.findall(t.lower())) for t in texts]
         found, toxic = Counter(k for c in words for k in c), Counter(k for c, g in zip(words, y, strict=True) if g for k in c)
@@ -93,14 +93,34 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
     return fit_grades(texts, y)
 
 
+class _Scorer:
+    """Weighted features of texts, as features() has them; a word's own few features are looked up once."""
+
+    def __init__(self, weights: dict[str, float]) -> None:
+        self.weights, self.of = weights, {}
+
+    def __call__(self, text: str | None) -> float:
+        if len(self.of) > REMEMBERED:
+            self.of = {}
+        count: Counter[str] = Counter()
+        for word, n in Counter(_WORD.findall((text or "").lower())).items():
+            keys = self.of.get(word)
+            if keys is None:
+                names = (word, *(word[:k] + "*" for k in PREFIXES if len(word) > k))
+                keys = self.of[word] = tuple(k for k in names if k in self.weights)
+            for k in keys:
+                count[k] += n
+        return sum(self.weights[k] * float(np.log1p(n)) for k, n in sorted(count.items()))
+
+
 def severity(text: Column, model: Model) -> Column:
     """Struct of severity (expected grade, double), p_toxic (double) and grade (int, likeliest); null texts count as empty."""
 
     @F.pandas_udf("severity double, p_toxic double, grade int")
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        theta = np.array(model.thresholds)
+        theta, weighed = np.array(model.thresholds), _Scorer(model.weights)
         for batch in batches:
-            z = np.array([sum(model.weights.get(k, 0.0) * v for k, v in features(t).items()) for t in batch], float).reshape(-1, 1)
+            z = np.array([weighed(t) for t in batch], float).reshape(-1, 1)
             p = 1 / (1 + np.exp(-np.clip(z - theta, -30, 30)))
             each = np.c_[np.ones(len(p)), p] - np.c_[p, np.zeros(len(p))]
             yield pd.DataFrame({"severity": p.sum(1), "p_toxic": p[:, 0], "grade": each.argmax(1).astype("int32")})

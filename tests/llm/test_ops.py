@@ -179,6 +179,9 @@ def test_toxicity_held_out(spark):
     assert np.mean(found) > 0.85 and np.mean(clean) < 0.01
     assert all(0 <= r["severity"] <= toxicity.GRADES - 1 for r in got)
     assert toxicity.grade(odd_docs(spark), model).filter("not toxic").count() == len(ODD) + 2
+    weighed = toxicity._Scorer(model.weights)
+    for r in rows.limit(50).collect():
+        assert np.isclose(weighed(r["text"]), sum(model.weights.get(k, 0.0) * v for k, v in toxicity.features(r["text"]).items()))
     assert toxicity.grade(empty_docs(spark), toxicity.fit(rows.filter("false"))).count() == 0
 
 
