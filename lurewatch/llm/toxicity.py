@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -39,7 +40,7 @@ def features(text: str | None) -> dict[str, float]:
         for k in PREFIXES:
             if len(word) > k:
                 out[word[:k] + "*"] += n
-    return {k: float(np.log1p(n)) for k, n in out.items()}
+    return {k: math.log1p(n) for k, n in out.items()}
 
 
 def fit_grades(texts: list[str], grades: np.ndarray) -> Model:
@@ -110,7 +111,7 @@ class _Scorer:
                 keys = self.of[word] = tuple(k for k in names if k in self.weights)
             for k in keys:
                 count[k] += n
-        return sum(self.weights[k] * float(np.log1p(n)) for k, n in sorted(count.items()))
+        return sum(self.weights[k] * math.log1p(n) for k, n in sorted(count.items()))
 
 
 def severity(text: Column, model: Model) -> Column:
