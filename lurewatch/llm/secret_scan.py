@@ -20,7 +20,10 @@ KINDS = (
 EXAMPLE_OWNERS = 3
 #: A value looks live if it has so many different characters, with digits among them.
 LIVE_VARIETY = 8
-_FOUND = "array<struct<start:bigint,rank:int,end:bigint,kind:string,base:boolean,value_hash:string,looks_live:boolean>>"
+#: Fewest different characters of a value that is hidden, by kind; of the kinds not listed every value is.
+#: Of a password in a URL it is a quarter of its length, from 2 to LIVE_VARIETY.
+HIDE_VARIETY = {"hex": 2, "userinfo": None}
+_FOUND = "array<struct<start:bigint,rank:int,end:bigint,kind:string,base:boolean,value_hash:string,looks_live:boolean,to_hide:boolean>>"
 
 
 def _sum_length(items: Column) -> Column:
@@ -49,12 +52,15 @@ def _spans_of(rank: int, kind: str, least: int, base: bool):
     def one(x: Column, hit: Column, i: Column) -> Column:
         start = _sum_length(F.slice(x["gaps"], 1, i + 1)) + _sum_length(F.slice(x["hits"], 1, i))
         value = F.get(x["values"], i)
-        live = (F.size(F.array_distinct(F.split(value, ""))) >= LIVE_VARIETY) & value.rlike("[0-9]") | F.lit(kind == "pem")
-        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.char_length(hit)).alias("end"), F.lit(kind).alias("kind"), F.lit(base).alias("base"), F.sha2(value, 256).alias("value_hash"), live.alias("looks_live"), F.char_length(value).alias("n"))
+        variety = F.size(F.array_distinct(F.split(value, "")))
+        live = (variety >= LIVE_VARIETY) & value.rlike("[0-9]") | F.lit(kind == "pem")
+        quarter = F.least(F.greatest(F.ceil(F.char_length(value) / 4), F.lit(2)), F.lit(LIVE_VARIETY))
+        hide = variety >= (HIDE_VARIETY[kind] or quarter) if kind in HIDE_VARIETY else F.lit(True)
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.char_length(hit)).alias("end"), F.lit(kind).alias("kind"), F.lit(base).alias("base"), F.sha2(value, 256).alias("value_hash"), live.alias("looks_live"), hide.alias("to_hide"), F.char_length(value).alias("n"))
 
     def spans(x: Column) -> Column:
         found = F.filter(F.transform(x["hits"], lambda hit, i: one(x, hit, i)), lambda s: s["n"] >= least)
-        return F.transform(found, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind", "base", "value_hash", "looks_live")]))
+        return F.transform(found, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind", "base", "value_hash", "looks_live", "to_hide")]))
 
     return spans
 
@@ -69,14 +75,16 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("value_hash").agg(F.sum("n").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source") -> DataFrame:
-    """One row per input row: key, found (find()) and secrets: found with n_repos, n_owners and class.
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", whole: bool = False) -> DataFrame:
+    """One row per input row: key, found (find()) and secrets: found with n_repos, n_owners, class and hide.
 
     class is `example` if EXAMPLE_OWNERS owners or more share the value, else `live` if it looks live, else
-    `weak`. A null owner or repository counts as one of its own. Rows that share a key keep their own spans and
-    share the counts. A text without spans has empty arrays; an empty table gives an empty table.
+    `weak`. hide is set for all but examples and, of kinds that match much else, values of too little variety
+    (HIDE_VARIETY). A null owner or repository counts as one of its own. Rows that share a key keep their own spans and
+    share the counts. A text without spans has empty arrays; an empty table gives an empty table. With `whole`, a
+    struct `row` holds all columns of the input row.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(repo).alias("repo"), F.col(owner).alias("owner"), find(F.col(text)).alias("found"))
+    rows = docs.select(F.col(key).alias("key"), F.col(repo).alias("repo"), F.col(owner).alias("owner"), find(F.col(text)).alias("found"), *([F.struct(*docs.columns).alias("row")] if whole else []))
     rows = materialize(rows, "secrets")
     hits = rows.filter(F.size("found") > 0).select("key", "repo", "owner", F.explode(F.transform("found", lambda s: s["value_hash"])).alias("value_hash"))
     shared = ownership(hits)
@@ -86,9 +94,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "
     def judged(s: Column) -> Column:
         of = F.get(F.filter("_shared", lambda x: x["value_hash"] == s["value_hash"]), 0)
         kind = F.when(of["n_owners"] >= EXAMPLE_OWNERS, "example").when(s["looks_live"], "live").otherwise("weak")
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base"), of["n_repos"].alias("n_repos"), of["n_owners"].alias("n_owners"), kind.alias("class"))
+        hide = (of["n_owners"] < EXAMPLE_OWNERS) & s["to_hide"]
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base"), of["n_repos"].alias("n_repos"), of["n_owners"].alias("n_owners"), kind.alias("class"), hide.alias("hide"))
 
-    return out.select(F.col("key").alias(key), "found", F.transform("found", judged).alias("secrets"))
+    return out.select(F.col("key").alias(key), "found", F.transform("found", judged).alias("secrets"), *(["row"] if whole else []))
 
 
 def _joined(spans: Column) -> Column:
@@ -120,13 +129,16 @@ def redact(text: Column, spans: Column, mark: str = "<SECRET>") -> Column:
 
 
 def hide_live_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: live-looking values of few owners are replaced by a mark; all documents stay."""
-    live = scan(docs).select(F.col("doc_id").alias("_id"), F.filter("secrets", lambda s: s["class"] == "live").alias("_live")).filter(F.size("_live") > 0).dropDuplicates(["_id"])
-    out = docs.join(live, docs["doc_id"] == F.col("_id"), "left")
-    text = F.when(F.size("_live") > 0, redact(F.col("text"), F.col("_live"))).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
+    """Pipeline stage: values of few owners are replaced by a mark (see `hide` of scan()); all documents stay.
+
+    Every row is cut by its own spans, whatever its id.
+    """
+    out = scan(docs, whole=True).select("row", F.filter("secrets", lambda s: s["hide"]).alias("_hide"))
+    hidden = F.size("_hide") > 0
+    new = {"text": F.when(hidden, redact(F.col("row.text"), F.col("_hide"))).otherwise(F.col("row.text")).alias("text")}
+    out = out.select(*[new.get(c, F.col("row")[c].alias(c)) for c in docs.columns], hidden.alias("_hidden"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_live") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("_hidden"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
