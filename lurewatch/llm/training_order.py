@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,19 +104,62 @@ def numbered(cut: DataFrame, key: int) -> tuple[DataFrame, int]:
     return cut.mapInArrow(run, "slot bigint, doc_ids array<bigint>, packed binary"), total
 
 
+def fingerprint(docs: DataFrame) -> list[int]:
+    """Number of rows and two sums over their hashes: equal for equal rows in any order, repeated ones included."""
+    h = docs.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))).alias("h"))
+    found = h.agg(F.count(F.lit(1)), F.sum(F.shiftright("h", 32)), F.sum(F.col("h").bitwiseAND(0xFFFFFFFF))).first()
+    return [x or 0 for x in found]
+
+
+def sequences_of(docs: DataFrame, out: str, path: str, sequence: int) -> DataFrame:
+    """The table of sequences under `out`: cut anew unless its manifest says that it is whole and of the same texts.
+
+    The manifest (`out`/sequences.json) is taken away before the table is cut and written after it is complete.
+    """
+    from pyarrow import fs
+
+    spark = docs.sparkSession
+    system, root = fs.FileSystem.from_uri(out)
+    name = f"{root}/sequences.json"
+    with open(path, "rb") as f:
+        want = {"texts": fingerprint(docs), "sequence": sequence, "vocabulary": hashlib.sha256(f.read()).hexdigest()}
+    found = None
+    if system.get_file_info(name).type == fs.FileType.File:
+        with system.open_input_stream(name) as f:
+            found = json.loads(f.read() or b"null")
+    if found != want:
+        if found is not None:
+            system.delete_file(name)
+        cut_sequences(docs, path, sequence).write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/sequences")
+        with system.open_output_stream(name) as f:
+            f.write(json.dumps(want).encode())
+    return spark.read.parquet(f"{out}/sequences")
+
+
+def drop_shards(out: str, first: int) -> None:
+    """Deletes shards from number `first` on, which an earlier run over more sequences left."""
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(out)
+    for x in system.get_file_info(fs.FileSelector(f"{root}/shards", allow_not_found=True)):
+        stem, _, end = x.base_name.partition(".")
+        if end == "bin" and stem.isdigit() and int(stem) >= first:
+            system.delete_file(x.path)
+
+
 def write_shards(docs: DataFrame, out: str, key: int = 20_240_229, path: str | None = None, sequence: int = SEQUENCE, shard: int = SHARD) -> DataFrame:
     """Writes `out`/shards/NNNNNNNN.bin and returns the index: slot, shard, row, doc_ids, tokens_sha256.
 
     Slot s lies in shard s div `shard`, at byte (s mod `shard`) * 2 * `sequence`: a reader resumes anywhere without an
     index. Slots are dealt to tasks by range; a task sorts its slots and writes its shards one after another, each
     under a name of its own first and then moved into place, so that a task that runs again leaves the same
-    files. Texts are encoded once, into a table of sequences in the shared folder that numbering reads again. A
-    shard already in place with the right size is not written again. Null texts count as empty; a
-    repeated row is written each time; an empty table gives no shard and an empty index.
+    files. Texts are encoded once, into a table of sequences in the shared folder that numbering reads again; a run
+    over the same texts into the same folder goes on with that table (see sequences_of()). A shard already in place
+    is not written again if its digest is that of what belongs there; shards beyond the last are deleted. Null texts
+    count as empty; a repeated row is written each time; an empty table gives no shard and an empty index.
     """
     spark = docs.sparkSession
-    cut_sequences(docs, path or ranks(), sequence).write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/sequences")
-    rows, total = numbered(spark.read.parquet(f"{out}/sequences"), key)
+    rows, total = numbered(sequences_of(docs, out, path or ranks(), sequence), key)
     shards, stride = -(-total // shard), 2 * sequence
     parts = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = rows.withColumn("shard", F.expr(f"slot div {shard}"))
@@ -129,11 +173,20 @@ def write_shards(docs: DataFrame, out: str, key: int = 20_240_229, path: str | N
         unpack = zstandard.ZstdDecompressor()
         now, held = -1, []
 
+        def same(name: str) -> bool:
+            there, here = hashlib.sha256(), hashlib.sha256()
+            with system.open_input_stream(name) as f:
+                while part := f.read(1 << 20):
+                    there.update(part)
+            for x in held:
+                here.update(x)
+            return there.digest() == here.digest()
+
         def close() -> None:
             if not held:
                 return
             name, size = f"{root}/shards/{now:08d}.bin", len(held) * stride
-            if system.get_file_info(name).size == size:
+            if system.get_file_info(name).size == size and same(name):
                 return
             own = f"{root}/shards/_{now:08d}.{TaskContext.get().taskAttemptId()}"
             with system.open_output_stream(own) as f:
@@ -155,6 +208,7 @@ def write_shards(docs: DataFrame, out: str, key: int = 20_240_229, path: str | N
 
     schema = "slot bigint, shard bigint, row bigint, doc_ids array<bigint>, tokens_sha256 string"
     dealt.mapInArrow(run, schema).write.mode("overwrite").parquet(f"{out}/index")
+    drop_shards(out, shards)
     return spark.read.schema(schema).parquet(f"{out}/index")
 
 

@@ -301,6 +301,34 @@ def test_shards_round_trip(spark, tmp_path):
     assert training_order.write_shards(spark.read.schema(docs.schema).parquet(src).filter("doc_id < -5"), f"file://{tmp_path}/none").count() == 0
 
 
+def test_shards_are_those_of_the_last_run(spark, tmp_path):
+    out = f"file://{tmp_path}/out"
+
+    def write(texts, key):
+        src = f"{tmp_path}/docs-{key}-{len(texts)}-{texts[0][:3]}"
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.mode("overwrite").parquet(src)
+        index = training_order.write_shards(spark.read.parquet(src), out, key=key, sequence=16, shard=4).collect()
+        rows = {r["slot"]: r["tokens"] for r in training_order.read_from(spark, out, 0, 16, 4).collect()}
+        assert {r["slot"]: r["tokens_sha256"] for r in index} == {k: hashlib.sha256(np.array(x, "<u2").tobytes()).hexdigest() for k, x in rows.items()}
+        return rows
+
+    def times(part):
+        return {f.name: f.stat().st_mtime_ns for f in (tmp_path / "out" / part).iterdir() if f.suffix in (".bin", ".parquet")}
+
+    texts = [f"one two three {i} " * 9 for i in range(40)]
+    first, sequences = write(texts, 1), times("sequences")
+    shards = times("shards")
+    assert write(texts, 1) == first and times("shards") == shards and times("sequences") == sequences
+    name = sorted(shards)[0]
+    data = bytearray((tmp_path / "out" / "shards" / name).read_bytes())
+    data[0] ^= 1
+    (tmp_path / "out" / "shards" / name).write_bytes(data)
+    assert write(texts, 1) == first
+    assert write(texts, 2) != first and times("sequences") == sequences
+    assert write([t.replace("two", "ten") for t in texts], 2) != first and times("sequences") != sequences
+    assert len(write(texts[:10], 2)) < len(first)
+
+
 # --- BPE ---
 
 
