@@ -134,8 +134,12 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """From doc_id, text: doc_id, n (set size), d1, d2 (digest of the set), bands (bucket keys), sketch (a byte per bin)."""
-    schema = "doc_id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch binary"
+    """From doc_id, text: doc_id, n (set size), d1, d2 (digest of the set), bands (bucket keys), sketch (a byte per bin).
+
+    Further columns go along behind these.
+    """
+    more = [(f.name, f.dataType.simpleString()) for f in docs.schema.fields[2:]]
+    schema = ", ".join(["doc_id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch binary", *(f"`{a}` {b}" for a, b in more)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
@@ -153,7 +157,7 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 for i, k, s in zip(full, key, sk.astype(np.uint8), strict=True):
                     bands[i], small[i] = k, s.tobytes()
                 digest = [[None if not len(s) else int(_mix(s ^ np.uint64(salt)).sum().view(np.int64)) for s in sets] for salt in (1, 2)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(d, pa.int64()) for d in digest], pa.array(bands, pa.list_(pa.int64())), pa.array(small, pa.binary())], names=["doc_id", "n", "d1", "d2", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(d, pa.int64()) for d in digest], pa.array(bands, pa.list_(pa.int64())), pa.array(small, pa.binary()), *batch.columns[2:]], names=["doc_id", "n", "d1", "d2", "bands", "sketch", *(a for a, _ in more)])
 
     return docs.mapInArrow(run, schema)
 
@@ -270,16 +274,20 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     Only the sketches can miss a link (see BANDS); none is made without comparing full sets.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sig = materialize(signatures(docs, width), "signatures")
+    out = with_components(docs, materialize(signatures(docs, width), "signatures"), width, percent)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def with_components(docs: DataFrame, sig: DataFrame, width: int, percent: int) -> DataFrame:
+    """component_id beside doc_id, n and further columns of a written table of signatures, one row per row of it."""
     same = sig.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     classes = sig.filter("n > 0").withColumnRenamed("doc_id", "id").join(same.select("n", "d1", F.col("rep").alias("id")), ["id", "n", "d1"]).select("id", "n", "bands", "sketch")
     classes = materialize(_ranked(classes), "classes")
     groups = connected_components(_likely(_stars(classes), classes))
     found = connected_components(_confirmed(docs, groups, classes, width, percent)).withColumnRenamed("node", "rep")
     named = same.join(found, "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    out = sig.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    out = sig.drop("bands", "sketch").join(named, ["n", "d1", "d2"], "left")
+    return out.withColumn("component_id", F.coalesce("component_id", "doc_id")).drop("d1", "d2")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

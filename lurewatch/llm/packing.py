@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurewatch.llm.common import materialize, table
+from lurewatch.llm.near_dedup import PERCENT, WIDTH, signatures, with_components
 from lurewatch.llm.tokens import Encoder, ranks
 
 #: Tokens of a bin, and pieces that are packed together: a group this large fills its bins nearly as well as all would.
@@ -55,8 +56,8 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int = CA
     return out
 
 
-def token_counts(docs: DataFrame, path: str, cluster: str | None = None) -> DataFrame:
-    """doc_id, source, cluster, n_tokens. Without a cluster column, equal words in equal order make a cluster."""
+def token_counts(docs: DataFrame, path: str, cluster: str | None = None, with_text: bool = False) -> DataFrame:
+    """doc_id, source, cluster, n_tokens, text (with_text). Without a cluster column, equal words in equal order make a cluster."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), (F.col(cluster).cast("long") if cluster else F.lit(None).cast("long")).alias("cluster"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,21 +68,34 @@ def token_counts(docs: DataFrame, path: str, cluster: str | None = None) -> Data
                 texts = x.column("text").to_pylist()
                 counts = pa.array([len(ids) // 2 for ids in encoder.encode(texts)], pa.int64())
                 key = x.column("cluster") if cluster else pa.array([xxhash.xxh64_intdigest(" ".join((t or "").lower().split()).encode("utf-8", "replace")) - (1 << 63) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("source"), key, counts], names=["doc_id", "source", "cluster", "n_tokens"])
+                more = [x.column("text")] if with_text else []
+                yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("source"), key, counts, *more], names=["doc_id", "source", "cluster", "n_tokens", *(["text"] if with_text else [])])
 
-    return rows.mapInArrow(run, "doc_id bigint, source string, cluster bigint, n_tokens bigint")
+    return rows.mapInArrow(run, "doc_id bigint, source string, cluster bigint, n_tokens bigint" + (", text string" if with_text else ""))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, cluster: str | None = None, path: str | None = None) -> DataFrame:
+def near_copy_counts(docs: DataFrame, path: str) -> DataFrame:
+    """token_counts() with the classes of near_duplicates() as clusters: one row per input row, no join on ids.
+
+    A row without an id or an equal that has one has a null cluster.
+    """
+    counted = token_counts(docs, path, with_text=True)
+    sig = materialize(signatures(counted.select("doc_id", "text", "source", "n_tokens"), WIDTH), "signatures")
+    out = with_components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sig, WIDTH, PERCENT)
+    return out.select("doc_id", "source", F.col("component_id").alias("cluster"), "n_tokens")
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, cluster: str | None = None, path: str | None = None, near: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, n_tokens, bin, offset.
 
     Needs doc_id, text and source. A text over the capacity is cut into pieces of it; a text without tokens (or
     null) is a piece of none. No bin holds two pieces of one source or of one duplicate cluster (a null source or
     cluster counts as one like any other). Pieces are dealt by hash into groups of about `group`, which are packed apart, largest first;
     bins belong to one group, so conflicts hold everywhere. Repeated rows are packed each for itself; an empty
-    table gives an empty table.
+    table gives an empty table. With `near`, near copies make a cluster (see near_copy_counts()).
     """
-    counts = materialize(token_counts(docs, path or ranks(), cluster), "token-counts")
+    path = path or ranks()
+    counts = materialize(near_copy_counts(docs, path) if near else token_counts(docs, path, cluster), "token-counts")
     pieces = counts.select("doc_id", "source", "cluster", "n_tokens", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n_tokens") / capacity) - 1, F.lit(0)).cast("int"))).alias("piece"))
     start = F.col("piece") * F.lit(capacity).cast("long")
     pieces = pieces.select("doc_id", "source", "cluster", "piece", start.alias("start"), F.least(F.col("n_tokens") - start, F.lit(capacity)).alias("n"))
@@ -103,12 +117,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, cluster:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Place of every piece of every document."""
-    return pack(table(spark, sf_dir, "documents"))
+    """Place of every piece of every document; near copies never share a bin."""
+    return pack(table(spark, sf_dir, "documents"), near=True)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the places of all pieces."""
+    """Pipeline stage: the places of all pieces. Of near copies an earlier stage has kept one."""
     return pack(docs)
 
 

@@ -227,6 +227,20 @@ def test_packing_whole(spark):
     assert max(fill.values()) <= 64 and packing.pack(empty_docs(spark)).count() == 0
 
 
+def test_near_copies_never_share_a_bin(spark, tmp_path):
+    base = [f"word{i}" for i in range(40)]
+    near = [(i, " ".join([*base[:-1], f"last{i}"]), "en", f"s{i}", 1) for i in range(12)]
+    others = [(100 + i, " ".join(f"x{i}y{k}" for k in range(40)), "en", f"t{i}", 1) for i in range(12)]
+    rows = [*near, *others, near[0], (None, "a b c", "en", None, 1), (200, None, "en", "u", 1)]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = packing.op7_packing(spark, str(tmp_path)).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(r[0] for r in rows)
+    bins = [r["bin"] for r in got if r["doc_id"] is not None and r["doc_id"] < 100]
+    assert len(bins) == len(set(bins)) == 13
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert packing.op7_packing(spark, f"{tmp_path}/none").count() == 0
+
+
 # --- secrets ---
 
 
