@@ -84,6 +84,23 @@ def word_table(texts: DataFrame, path: str) -> DataFrame:
     return words.withColumn("h", F.xxhash64("word")).mapInArrow(encode, "word string, n bigint, h bigint, ids array<int>")
 
 
+def spell(rows: DataFrame, keys: list[str], path: str) -> DataFrame:
+    """`keys` (which tell rows apart) and data: the bytes of `ids`, by a join with the id-to-piece table.
+
+    Ids that the vocabulary lacks give nothing; null or empty ids give no bytes.
+    """
+    table_of = rows.sparkSession.createDataFrame(list(enumerate(pieces(path))), "id int, piece binary")
+    each = rows.select(*keys, F.posexplode_outer("ids").alias("pos", "id"))
+    spelt = each.join(F.broadcast(table_of), "id", "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("x")))).alias("p"))
+    return spelt.select(*keys, F.unhex(F.array_join(F.transform("p", lambda s: F.coalesce(s["x"], F.lit(""))), "")).alias("data"))
+
+
+def spelt_table(words: DataFrame, path: str) -> DataFrame:
+    """word, h, n, ids of a word table and spelt: what the ids decode to, null where that is the word itself."""
+    rows = spell(words.withColumn("w", F.struct("word", "h", "n", "ids")).select("w", "ids"), ["w"], path)
+    return rows.select("w.*", F.when(F.col("data") != F.encode("w.word", "UTF-8"), F.col("data")).alias("spelt"))
+
+
 class _Table:
     """Ids by the hash of a word, sorted for look-up; a word is sure when its ids spell it."""
 
@@ -104,11 +121,11 @@ class _Table:
         return out
 
 
-def _hot(words: DataFrame, most: int) -> tuple[_Table, int]:
-    """The commonest words within `most` bytes (all, if they fit), and how many texts hold the commonest one left out."""
+def _hot(words: DataFrame, most: int) -> tuple[_Table, int, int]:
+    """The commonest words within `most` bytes (all, if they fit) that decode to themselves, how many texts hold the commonest one left out, and how many words decode to something else."""
     size = F.lit(16) + 2 * F.size("ids")
-    total = words.agg(F.sum(size)).first()[0] or 0
-    least = 0
+    total, odd = words.agg(F.sum(size), F.count("spelt")).first()
+    total, least = total or 0, 0
     if total > most:
         held = words.groupBy("n").agg(F.sum(size).alias("b")).orderBy(F.desc("n")).limit(100_000).collect()
         used = 0
@@ -117,14 +134,14 @@ def _hot(words: DataFrame, most: int) -> tuple[_Table, int]:
             if used > most:
                 least = row["n"]
                 break
-    rows = words.filter(F.col("n") > least).select("h", "ids").toArrow() if total else pa.table({"h": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
+    rows = words.filter((F.col("n") > least) & F.col("spelt").isNull()).select("h", "ids").toArrow() if total else pa.table({"h": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
     h = rows.column("h").to_numpy()
     order = np.argsort(h, kind="stable")
     ids = rows.column("ids").combine_chunks()
     ids = ids.take(pa.array(order)) if len(order) else ids
     ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
     ends = np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False)).astype(np.int64) if len(order) else np.zeros(0, np.int64)
-    return _Table(h[order], ends, pc.list_flatten(ids).to_numpy().astype(np.uint16)), least
+    return _Table(h[order], ends, pc.list_flatten(ids).to_numpy().astype(np.uint16)), least, odd
 
 
 def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES, with_ids: bool = True) -> DataFrame:
@@ -134,18 +151,21 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
     null or empty text has no ids. The table of distinct words goes to the workers whole if it takes no more than
     `table_bytes`; else its commonest words do, and the others are joined to the texts that hold them, by doc_id.
     Rows that share a doc_id are encoded one by one; an empty table gives an empty table.
+
+    Decoded text is made of what the distinct words' ids give in a join with the id-to-piece table (spelt_table()).
+    A word that comes back as itself needs no second copy of its bytes; one that does not travels with them.
     """
     path = path or vocabulary()
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).alias("doc_id"), split_words(F.col(text)).alias("words"))
-    words = materialize(word_table(texts, path), "words")
-    found, least = _hot(words, table_bytes)
+    words = materialize(spelt_table(word_table(texts, path), path), "words")
+    found, least, odd = _hot(words, table_bytes)
     hot = spark.sparkContext.broadcast(found)
-    rare_type = "array<struct<word:string,ids:array<int>>>"
-    if least:
-        left = words.filter(F.col("n") <= least).select("word", "ids")
+    rare_type = "array<struct<word:string,ids:array<int>,spelt:binary>>"
+    if least or odd:
+        left = words.filter((F.col("n") <= least) | F.col("spelt").isNotNull()).select("word", "ids", "spelt")
         held = texts.select("doc_id", F.explode(F.array_distinct("words")).alias("word")).join(left, "word").distinct()
-        rare = held.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("word", "ids")).alias("rare"))
+        rare = held.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("word", "ids", "spelt")).alias("rare"))
         whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
         texts = whole.join(rare, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", split_words(F.col("text")).alias("words"), "rare")
     else:
@@ -163,16 +183,18 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
                 yield one(whole.slice(start, 2048), spelt, known)
 
     def learn(new: list[bytes], batch: pa.RecordBatch, spelt: list[bytes], known: dict) -> None:
-        """Ids, ids as text, and spelling of words: from the table, from the rows themselves, or encoded on the spot."""
+        """Ids, ids as text, and decoded bytes of words: from the table, from the rows themselves, or encoded on the spot."""
         ids = hot.value.find(new, spelt)
+        data = list(new)  # words of the table decode to themselves
         if missing := [i for i, x in enumerate(ids) if x is None]:
-            own = {r["word"].encode(): r["ids"] for row in batch.column("rare").to_pylist() if row for r in row}
+            own = {r["word"].encode(): (r["ids"], r["spelt"]) for row in batch.column("rare").to_pylist() if row for r in row}
             left = [i for i in missing if new[i] not in own]
             for i in missing:
-                ids[i] = own.get(new[i])
+                ids[i], other = own.get(new[i], (None, None))
+                data[i] = new[i] if other is None else other
             for i, e in zip(left, _tokenizer(path).encode_batch([new[i].decode() for i in left], add_special_tokens=False) if left else (), strict=True):
-                ids[i] = e.ids  # a hash shared by two words
-        known.update((w, (x, ",".join(map(str, x)).encode(), b"".join([spelt[k] for k in x]))) for w, x in zip(new, ids, strict=True))
+                ids[i], data[i] = e.ids, b"".join([spelt[k] for k in e.ids])  # a hash shared by two words
+        known.update((w, (x, ",".join(map(str, x)).encode(), d)) for w, x, d in zip(new, ids, data, strict=True))
 
     def one(batch: pa.RecordBatch, spelt: list[bytes], known: dict) -> pa.RecordBatch:
         lists = batch.column("words")
@@ -207,18 +229,14 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, text: ids back to text by a join with the id-to-piece table (one row per id of the vocabulary).
+    """doc_id, text: ids back to text by a join with the id-to-piece table, one row per input row.
 
-    Ids that the vocabulary lacks give nothing. Rows are told apart by doc_id and their place; null or empty ids
-    give an empty text.
+    Ids that the vocabulary lacks give nothing; null or empty ids give an empty text. Rows get a key of their own,
+    which is written before the join.
     """
-    spark = encoded.sparkSession
-    rows = encoded.select("doc_id", F.xxhash64("doc_id", "ids").alias("_r"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    table_of = spark.createDataFrame([(i, p) for i, p in enumerate(pieces(path or vocabulary()))], "id int, piece binary")
-    each = rows.select("doc_id", "_r", F.posexplode_outer("ids").alias("pos", "id")).distinct()
-    spelt = each.join(F.broadcast(table_of), "id", "left").groupBy("doc_id", "_r").agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("x")))).alias("p"))
-    text = F.decode(F.unhex(F.array_join(F.transform("p", lambda s: F.coalesce(s["x"], F.lit(""))), "")), "UTF-8")
-    return spelt.select("doc_id", text.alias("text"))
+    rows = materialize(encoded.select("doc_id", "ids", F.monotonically_increasing_id().alias("_r")), "encoded")
+    spelt = spell(rows, ["doc_id", "_r"], path or vocabulary())
+    return spelt.select("doc_id", F.decode("data", "UTF-8").alias("text"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -357,3 +357,20 @@ def test_bpe_equals_library(spark, table_bytes):
         assert r["ids"] == ids and r["decoded"].decode() == tokenizer.decode(ids, skip_special_tokens=False)
     assert all(r["text"] == (texts[r["doc_id"]] or "") for r in bpe.decode(encoded).collect())
     assert bpe.encode(empty_docs(spark)).count() == 0 and bpe.encode(odd_docs(spark)).count() == len(ODD) + 2
+
+
+def test_decoding_keeps_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "d"), (None, "a b c"), (None, "a b c"), (2, None)], "doc_id long, text string")
+    got = bpe.decode(bpe.encode(df)).collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got) == collections.Counter((r["doc_id"], r["text"] or "") for r in df.collect())
+
+
+@pytest.mark.parametrize("table_bytes", [bpe.TABLE_BYTES, 200])
+def test_decoded_digest_comes_from_the_joined_pieces(spark, monkeypatch, table_bytes):
+    other = list(bpe.pieces(bpe.vocabulary()))
+    other[bpe._tokenizer(bpe.vocabulary()).encode("cat", add_special_tokens=False).ids[0]] = b"dog"
+    monkeypatch.setattr(bpe, "pieces", lambda path: other)
+    df = spark.createDataFrame([(1, "cat is a word"), (1, "cat is a word"), (2, "is a word"), (3, None)], "doc_id long, text string")
+    got = bpe.encode(df, table_bytes=table_bytes).collect()
+    assert collections.Counter(r["decoded"].decode() for r in got) == {"dog is a word": 2, "is a word": 1, "": 1}
+    assert all(r["decoded_sha256"] == hashlib.sha256(r["decoded"]).hexdigest() for r in got)
