@@ -75,19 +75,26 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("value_hash").agg(F.sum("n").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", whole: bool = False) -> DataFrame:
+def copies_as_one(found: DataFrame) -> DataFrame:
+    """value_hash, owner, repo with one row per value and text (column copy): a text copied word for word has one owner, its least."""
+    one = found.groupBy("value_hash", "copy").agg(F.min("owner").alias("owner"), F.min("repo").alias("repo"))
+    return one.select("value_hash", "owner", "repo")
+
+
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", whole: bool = False, one_of_copies: bool = False) -> DataFrame:
     """One row per input row: key, found (find()) and secrets: found with n_repos, n_owners, class and hide.
 
     class is `example` if EXAMPLE_OWNERS owners or more share the value, else `live` if it looks live, else
     `weak`. hide is set for all but examples and, of kinds that match much else, values of too little variety
     (HIDE_VARIETY). A null owner or repository counts as one of its own. Rows that share a key keep their own spans and
     share the counts. A text without spans has empty arrays; an empty table gives an empty table. With `whole`, a
-    struct `row` holds all columns of the input row.
+    struct `row` holds all columns of the input row. With `one_of_copies`, equal texts count as one repository of one
+    owner.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(repo).alias("repo"), F.col(owner).alias("owner"), find(F.col(text)).alias("found"), *([F.struct(*docs.columns).alias("row")] if whole else []))
+    rows = docs.select(F.col(key).alias("key"), F.col(repo).alias("repo"), F.col(owner).alias("owner"), *([F.xxhash64(text).alias("copy")] if one_of_copies else []), find(F.col(text)).alias("found"), *([F.struct(*docs.columns).alias("row")] if whole else []))
     rows = materialize(rows, "secrets")
-    hits = rows.filter(F.size("found") > 0).select("key", "repo", "owner", F.explode(F.transform("found", lambda s: s["value_hash"])).alias("value_hash"))
-    shared = ownership(hits)
+    hits = rows.filter(F.size("found") > 0).select("key", "repo", "owner", *(["copy"] if one_of_copies else []), F.explode(F.transform("found", lambda s: s["value_hash"])).alias("value_hash"))
+    shared = ownership(copies_as_one(hits) if one_of_copies else hits)
     per_key = hits.select("key", "value_hash").distinct().join(shared, "value_hash").groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("value_hash", "n_repos", "n_owners")).alias("_shared"))
     out = rows.join(per_key, F.col("key").eqNullSafe(F.col("_key")) & (F.size("found") > 0), "left")
 
@@ -109,7 +116,7 @@ def _count(field: str, value: str) -> Column:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans and counts of every document."""
+    """Spans and counts of every document. Owners are counted as the SQL counts them: each source of a copied text is one."""
     out = scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     kinds = [_count("kind", k) for k in ("assign", "access", "hex")]
     classes = [_count("class", k) for k in ("live", "example")]
@@ -131,9 +138,9 @@ def redact(text: Column, spans: Column, mark: str = "<SECRET>") -> Column:
 def hide_live_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: values of few owners are replaced by a mark (see `hide` of scan()); all documents stay.
 
-    Every row is cut by its own spans, whatever its id.
+    Every row is cut by its own spans, whatever its id. A text copied into many sources is no example.
     """
-    out = scan(docs, whole=True).select("row", F.filter("secrets", lambda s: s["hide"]).alias("_hide"))
+    out = scan(docs, whole=True, one_of_copies=True).select("row", F.filter("secrets", lambda s: s["hide"]).alias("_hide"))
     hidden = F.size("_hide") > 0
     new = {"text": F.when(hidden, redact(F.col("row.text"), F.col("_hide"))).otherwise(F.col("row.text")).alias("text")}
     out = out.select(*[new.get(c, F.col("row")[c].alias(c)) for c in docs.columns], hidden.alias("_hidden"))

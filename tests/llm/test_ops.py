@@ -280,6 +280,17 @@ def test_weak_looking_secrets_are_hidden(spark):
         assert got[i]["n_chars"] == (12 if i < len(hidden) else 1)
 
 
+def test_copies_of_a_text_are_one_owner(spark):
+    copied, shared = "x password=Zx81kQ9pLm42aB7c. y", "token=Qy72hW8rTn53cD6e.x"
+    rows = [(i, copied, "en", f"s{i}", 1) for i in range(5)] + [(10 + i, f"{shared} {i}", "en", f"s{i}", 1) for i in range(3)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r["secrets"][0] for r in secret_scan.scan(df, one_of_copies=True).collect()}
+    assert all(got[i]["class"] == "live" and got[i]["n_owners"] == got[i]["n_repos"] == 1 for i in range(5))
+    assert all(got[10 + i]["class"] == "example" and got[10 + i]["n_owners"] == 3 for i in range(3))
+    kept = {r["doc_id"]: r["text"] for r in secret_scan.hide_live_secrets(spark, df, "").collect()}
+    assert all(kept[i] == "x <SECRET> y" for i in range(5)) and kept[10] == rows[5][1]
+
+
 def test_every_row_is_cut_by_its_own_spans(spark):
     key, other = "password=Zx81kQ9pLm42aB7c.", "token=Qy72hW8rTn53cD6e.x"
     rows = [(1, f"{key} a", "en", "s1", 1), (1, f"of the same id, longer {other} b", "en", "s2", 1), (1, "of the same id, without any", "en", "s3", 1), (None, f"null {key}", "en", "s1", 1), (None, f"null too, {other}", "en", "s2", 1)]
