@@ -161,13 +161,46 @@ def parse_reply(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "turn", findings.parse_triage_reply(reply).alias("r")).select("conv_id", "turn", "r.verdict", "r.category", "r.parsed")
 
 
+def _payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads of mails with looked-up indicators, authentication, and files with URLs and members derived from their ids."""
+    m = V.mail_iocs(spark, d)
+    enriched = enrich.enrich_mails(m, V.reputation_of(enrich.distinct_iocs(enrich.explode_iocs(m))))
+    some = lambda n, f: F.transform(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i < F.col("page_id") % n), f)
+    url = lambda i: F.concat(F.lit("https://h"), i.cast("string"), F.lit(".example"))
+    member = lambda i: F.struct(F.concat(F.lit("part"), i.cast("string")).alias("filename"), F.lit("0").alias("md5"), F.transform(F.sequence(F.lit(0), i), url).alias("urls"))
+    signals = F.array(F.struct(F.lit("low").alias("severity"), F.concat(F.lit("s"), F.col("page_id").cast("string")).alias("signal")))
+    f = V.files(spark, d).select("email_id", "att_idx", F.struct("att_idx", F.col("name").alias("filename"), F.octet_length("data").alias("size"), F.md5("data").alias("md5"), F.sha2("data", 256).alias("sha256"), signals.alias("signals"), some(25, url).alias("urls"), some(40, member).alias("members")).alias("file"))
+    of = f.groupBy("email_id").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    m = m.join(enriched, "email_id").join(of, "email_id", "left").withColumns({"date": F.lit(""), "attachment_names": F.transform("files", lambda x: x["filename"]), "auth": T.parse_auth_results(F.col("auth_header")), "signals": F.array(F.struct(F.lit("low").alias("severity"), F.lit("of_mail").alias("signal")))})
+    return findings.build_triage_payload(m)
+
+
 @query(f"WITH {V.MAILS} SELECT email_id, least(6000, length(body_text))::BIGINT AS body_chars, len(urls)::BIGINT AS n_urls FROM mails")
 def build_payload(spark: SparkSession, d: str) -> DataFrame:
-    m = V.mail_iocs(spark, d).withColumns({"date": F.lit(""), "attachment_names": F.array().cast("array<string>"), "files": F.array().cast("array<struct<filename:string,size:bigint,sha256:string,static_risk:int,urls:array<string>,members:array<string>>>")})
-    p = findings.build_triage_payload(m).select("email_id", F.from_json("payload", "email struct<body:string>, extracted_iocs struct<urls:array<string>>").alias("p"))
+    p = _payloads(spark, d).select("email_id", F.from_json("payload", "email struct<body:string>, extracted_iocs struct<urls:array<string>>").alias("p"))
     return p.select("email_id", F.char_length("p.email.body").cast("long").alias("body_chars"), F.size("p.extracted_iocs.urls").cast("long").alias("n_urls"))
 
 
+@query(f"WITH {V.MAILS} SELECT email_id, ['pass', 'fail', 'none'][page_id % 3 + 1] AS spf, least(5, len(urls))::BIGINT AS n_looked_up, len(list_filter(urls[1:5], lambda u: length(u) % 3 <> 0))::BIGINT AS n_found, 'of_mail' AS signal FROM mails")
+def payload_enrichment(spark: SparkSession, d: str) -> DataFrame:
+    """What the payloads hold besides mail, indicators and files."""
+    p = _payloads(spark, d).select("email_id", F.from_json("payload", "enrichment struct<urls:map<string,struct<found:boolean>>,auth:struct<spf:string>,attachments:struct<signals:array<struct<signal:string>>>>").alias("p"))
+    urls = F.map_values(F.coalesce("p.enrichment.urls", F.create_map().cast("map<string,struct<found:boolean>>")))
+    return p.select("email_id", F.col("p.enrichment.auth.spf").alias("spf"), F.size(urls).cast("long").alias("n_looked_up"), F.size(F.filter(urls, lambda x: x["found"])).cast("long").alias("n_found"), F.get("p.enrichment.attachments.signals", 0)["signal"].alias("signal"))
+
+
+@query(f"WITH {V.FILES} SELECT email_id, att_idx, name, size::BIGINT AS size, sha256(html) AS sha256, 's' || page_id AS signal, false AS has_md5, least(10, page_id % 25)::BIGINT AS n_urls, least(15, page_id % 40)::BIGINT AS n_members, CASE WHEN page_id % 40 > 15 THEN page_id % 40 - 15 END::BIGINT AS members_omitted, list_sum([least(10, i + 1) for i in range(0, least(15, page_id % 40))])::BIGINT AS n_member_urls FROM x WHERE email_id IN (SELECT 'm' || page_id FROM pages)")
+def payload_files(spark: SparkSession, d: str) -> DataFrame:
+    """The entries of files in the payloads, after trimming."""
+    member = "struct<filename:string,md5:string,urls:array<string>>"
+    p = _payloads(spark, d).select("email_id", F.from_json("payload", f"enrichment struct<attachments:struct<files:array<struct<att_idx:int,filename:string,size:bigint,md5:string,sha256:string,signals:array<struct<signal:string>>,urls:array<string>,members:array<{member}>,members_omitted:bigint>>>>").alias("p"))
+    f = p.select("email_id", F.explode("p.enrichment.attachments.files").alias("f"))
+    members = F.coalesce("f.members", F.array().cast(f"array<{member}>"))
+    n_urls = F.when(F.size(members) > 0, F.aggregate(members, F.lit(0).cast("long"), lambda a, x: a + F.size(x["urls"])))
+    any_md5 = F.col("f.md5").isNotNull() | F.exists(members, lambda x: x["md5"].isNotNull())
+    return f.select("email_id", "f.att_idx", F.col("f.filename").alias("name"), "f.size", "f.sha256", F.get("f.signals", 0)["signal"].alias("signal"), any_md5.alias("has_md5"), F.size("f.urls").cast("long").alias("n_urls"), F.size(members).cast("long").alias("n_members"), "f.members_omitted", n_urls.alias("n_member_urls"))
+
+
 @query(f"WITH {V.FINDINGS} SELECT coalesce(source, 'gmail') AS source, count(*) AS total, count_if(verdict <> 'unknown') AS processed, count_if(verdict = 'unknown') AS failed FROM f GROUP BY 1")
 def run_summary(spark: SparkSession, d: str) -> DataFrame:
     return findings.run_summary(V.findings(spark, d).withColumn("error", F.when(F.col("verdict") == "unknown", "no verdict")))

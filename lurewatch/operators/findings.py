@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lurewatch.functions import policy
 
 VERDICTS = ("malicious", "suspicious", "likely_benign", "unknown")
 REPLY = "verdict string, category string, confidence string, summary string, key_indicators array<string>, recommended_action string"
 BODY_CHARS, MEMBERS, FILE_URLS = 6_000, 15, 10
+#: What a payload leaves out of a file's entry.
+NOT_IN_PAYLOAD = ("md5", "sha1", "declared_content_type", "members")
 PAGE = 200
 
 
@@ -40,18 +43,31 @@ def normalize_finding(results: DataFrame) -> DataFrame:
     )
 
 
+def _trimmed_entry(f: Column, kind: StructType) -> Column:
+    """A file's entry with its lists cut; members that are entries themselves are trimmed alike. Nulls are not written."""
+    out = [(F.slice(f["urls"], 1, FILE_URLS) if c == "urls" else f[c]).alias(c) for c in kind.names if c not in NOT_IN_PAYLOAD]
+    if "members" in kind.names:
+        inner, n = kind["members"].dataType.elementType, F.size(f["members"])
+        head = F.slice(f["members"], 1, MEMBERS)
+        head = F.transform(head, lambda m: _trimmed_entry(m, inner)) if isinstance(inner, StructType) else head
+        out += [F.when(n > 0, head).alias("members"), F.when(n > MEMBERS, n - MEMBERS).alias("members_omitted")]
+    return F.struct(*out)
+
+
 def build_triage_payload(mails: DataFrame) -> DataFrame:
     """email_id, payload: JSON for the triage of a mail.
 
-    Needs subject, sender, date, body_text, attachment_names, iocs, and files (array of structs filename, size,
-    sha256, static_risk, urls, members: array<string>). Bodies, URL lists and member lists are cut; the input is not changed.
+    Needs subject, sender, date, body_text, attachment_names, iocs, enrichment (struct, see enrich_mails()), auth (results
+    of sender authentication), signals (those of the whole mail) and files (array of structs of any fields; urls and
+    members are lists, members of names or of further entries). The payload holds all of it, but for a file's md5, sha1
+    and declared content type. Bodies, URL lists and member lists are cut; the input is not changed.
     """
-    files = F.transform("files", lambda f: F.struct(
-        f["filename"].alias("filename"), f["size"].alias("size"), f["sha256"].alias("sha256"), f["static_risk"].alias("static_risk"), F.slice(f["urls"], 1, FILE_URLS).alias("urls"),
-        F.slice(f["members"], 1, MEMBERS).alias("members"), F.when(F.size(f["members"]) > MEMBERS, F.size(f["members"]) - MEMBERS).alias("members_omitted"),
-    ))
+    kind = mails.schema["files"].dataType.elementType
+    files = F.transform("files", lambda f: _trimmed_entry(f, kind))
     email = F.struct("subject", "sender", "date", F.substr("body_text", F.lit(1), F.lit(BODY_CHARS)).alias("body"), "attachment_names")
-    return mails.select("email_id", F.to_json(F.struct(email.alias("email"), F.col("iocs").alias("extracted_iocs"), F.struct(files.alias("files")).alias("attachments"))).alias("payload"))
+    found = [F.col("enrichment")[c].alias(c) for c in mails.schema["enrichment"].dataType.names]
+    enrichment = F.struct(*found, "auth", F.struct("signals", files.alias("files")).alias("attachments"))
+    return mails.select("email_id", F.to_json(F.struct(email.alias("email"), F.col("iocs").alias("extracted_iocs"), enrichment.alias("enrichment"))).alias("payload"))
 
 
 # --- listings ---
