@@ -433,6 +433,17 @@ def email_signals(spark: SparkSession, d: str) -> DataFrame:
     return out.select("email_id", F.array_join(F.transform("signals", lambda x: F.concat_ws(": ", x["signal"], x["detail"])), " ").alias("signals"))
 
 
+@query(f"WITH {_ADM}, l AS (SELECT DISTINCT 'm' || event_id // 12 AS email_id FROM events WHERE event_type = 'error'), e AS (SELECT email_id, min(page_id // 12) AS k, count(reason) AS n, arg_min(reason, att_idx) FILTER (reason IS NOT NULL) AS why FROM z GROUP BY 1) SELECT email_id, concat_ws(' ', CASE WHEN k % 3 = 0 AND email_id IN (SELECT email_id FROM l) THEN 'encrypted_attachment_with_password_in_body: Locked attachment, and the body names a password.' END, CASE WHEN n > 0 THEN 'attachments_not_analysed: ' || n || ' attachment(s) not analysed (' || why || ')' END) AS signals FROM e")
+def email_signals_locked(spark: SparkSession, d: str) -> DataFrame:
+    """Signals of mails with locked archives, whose bodies name a password, do not, or are missing."""
+    f = _admitted(spark, d)
+    k = F.substr("email_id", F.lit(2)).cast("long") % 3
+    bodies = f.select("email_id").distinct().withColumn("body", F.when(k == 0, "The password is 123").when(k == 1, "Nothing about it"))
+    signals = _signals(spark, d).withColumn("signal", F.when(F.col("signal") == "error", "encrypted_archive").otherwise(F.col("signal")))
+    out = files.email_signals(f, signals, bodies)
+    return out.select("email_id", F.array_join(F.transform("signals", lambda x: F.concat_ws(": ", x["signal"], x["detail"])), " ").alias("signals"))
+
+
 @query(f"WITH {_ADM}, c AS (SELECT *, (att_idx * 5 % 4) AS risk FROM z WHERE reason IS NULL), o AS (SELECT email_id, sha256(html) AS sha256, min((3 - risk) * 1000 + CASE file_path WHEN '1' THEN 1 WHEN '10' THEN 2 WHEN '11' THEN 3 WHEN '0' THEN 0 ELSE att_idx + 2 END) AS k FROM c GROUP BY 1, 2), p AS (SELECT email_id, sha256, row_number() OVER (PARTITION BY email_id ORDER BY k) AS place FROM o) SELECT c.email_id, c.att_idx, p.place::INT AS place, p.place <= 5 AS looked_up FROM c JOIN p ON p.email_id = c.email_id AND p.sha256 = sha256(c.html)")
 def rank_hash_lookups(spark: SparkSession, d: str) -> DataFrame:
     f = _admitted(spark, d).withColumns({"kind": F.lit("pdf"), "risk": (F.col("att_idx") * 5 % 4).cast("int")})
