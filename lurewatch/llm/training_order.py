@@ -18,6 +18,10 @@ from lurewatch.llm.tokens import Encoder, ranks
 
 #: Tokens of a sequence, sequences of a shard, rounds of the Feistel network, id between texts.
 SEQUENCE, SHARD, ROUNDS, END = 1_024, 4_096, 6, 50_256
+#: Bytes of shards that a task sorts and writes, however large the corpus; compression level of what is kept or shuffled.
+TASK_BYTES, PACK_LEVEL, TABLE_LEVEL = 128 << 20, 6, 9
+#: Sequences from which a dictionary for the shuffled ones is made, and its bytes. It changes their size on the way, nothing else.
+SAMPLED, DICT_BYTES = 500, 100 << 10
 
 
 def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -73,8 +77,8 @@ def cut_sequences(docs: DataFrame, path: str, sequence: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([p] * n, pa.int32()), pa.array(range(made - n, made), pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(tokens, pa.binary())], names=["partition", "k", "doc_ids", "tokens"])
 
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                x = whole.slice(start, 512)
+            for start in range(0, whole.num_rows, 1024):
+                x = whole.slice(start, 1024)
                 parts, size = [held], len(held)
                 for doc, ids in zip(x.column("doc_id").to_pylist(), encoder.encode(x.column("text").to_pylist()), strict=True):
                     parts += (ids, end)
@@ -87,15 +91,27 @@ def cut_sequences(docs: DataFrame, path: str, sequence: int) -> DataFrame:
     return rows.mapInArrow(run, "partition int, k bigint, doc_ids array<bigint>, tokens binary")
 
 
-def numbered(cut: DataFrame, key: int) -> tuple[DataFrame, int]:
-    """slot, doc_ids, packed (compressed tokens); and the number of slots. Only a count per partition reaches the driver."""
+def dictionary(cut: DataFrame) -> bytes:
+    """A dictionary made from a few sequences; empty if they are too few."""
+    try:
+        return zstandard.train_dictionary(DICT_BYTES, [bytes(r["tokens"]) for r in cut.select("tokens").limit(SAMPLED).collect()]).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def _dict_of(data: bytes) -> dict:
+    return {"dict_data": zstandard.ZstdCompressionDict(data)} if data else {}
+
+
+def numbered(cut: DataFrame, key: int, shared: bytes) -> tuple[DataFrame, int]:
+    """slot, doc_ids, packed (tokens compressed with the dictionary); and the number of slots. Only a count per partition reaches the driver."""
     counts = {r["partition"]: r["count"] for r in cut.groupBy("partition").count().collect()}
     total, first, at = sum(counts.values()), {}, 0
     for p in sorted(counts):
         first[p], at = at, at + counts[p]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1, write_content_size=True)
+        pack = zstandard.ZstdCompressor(level=PACK_LEVEL, write_content_size=True, write_dict_id=False, **_dict_of(shared))
         for x in batches:
             index = np.array([first[p] for p in x.column("partition").to_pylist()], np.int64) + x.column("k").to_numpy()
             packed = [pack.compress(t) for t in x.column("tokens").to_pylist()]
@@ -130,7 +146,8 @@ def sequences_of(docs: DataFrame, out: str, path: str, sequence: int) -> DataFra
     if found != want:
         if found is not None:
             system.delete_file(name)
-        cut_sequences(docs, path, sequence).write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/sequences")
+        tight = {"compression": "zstd", "parquet.compression.codec.zstd.level": TABLE_LEVEL, "parquet.page.size": 16 << 20}
+        cut_sequences(docs, path, sequence).write.mode("overwrite").options(**tight).parquet(f"{out}/sequences")
         with system.open_output_stream(name) as f:
             f.write(json.dumps(want).encode())
     return spark.read.parquet(f"{out}/sequences")
@@ -151,7 +168,7 @@ def write_shards(docs: DataFrame, out: str, key: int = 20_240_229, path: str | N
     """Writes `out`/shards/NNNNNNNN.bin and returns the index: slot, shard, row, doc_ids, tokens_sha256.
 
     Slot s lies in shard s div `shard`, at byte (s mod `shard`) * 2 * `sequence`: a reader resumes anywhere without an
-    index. Slots are dealt to tasks by range; a task sorts its slots and writes its shards one after another, each
+    index. Slots are dealt to tasks by range, TASK_BYTES of shards to each at most; a task sorts its slots and writes its shards one after another, each
     under a name of its own first and then moved into place, so that a task that runs again leaves the same
     files. Texts are encoded once, into a table of sequences in the shared folder that numbering reads again; a run
     over the same texts into the same folder goes on with that table (see sequences_of()). A shard already in place
@@ -159,9 +176,11 @@ def write_shards(docs: DataFrame, out: str, key: int = 20_240_229, path: str | N
     count as empty; a repeated row is written each time; an empty table gives no shard and an empty index.
     """
     spark = docs.sparkSession
-    rows, total = numbered(sequences_of(docs, out, path or ranks(), sequence), key)
+    cut = sequences_of(docs, out, path or ranks(), sequence)
+    shared = dictionary(cut)
+    rows, total = numbered(cut, key, shared)
     shards, stride = -(-total // shard), 2 * sequence
-    parts = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = max(1, min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * stride // TASK_BYTES))))
     rows = rows.withColumn("shard", F.expr(f"slot div {shard}"))
     dealt = rows.repartitionById(parts, F.expr(f"cast(shard * {parts} div {max(1, shards)} as int)")).sortWithinPartitions("slot")
 
@@ -170,7 +189,7 @@ def write_shards(docs: DataFrame, out: str, key: int = 20_240_229, path: str | N
 
         system, root = fs.FileSystem.from_uri(out)
         system.create_dir(f"{root}/shards", recursive=True)
-        unpack = zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor(**_dict_of(shared))
         now, held = -1, []
 
         def same(name: str) -> bool:
