@@ -8,16 +8,30 @@ from pyspark.sql import functions as F
 from lurewatch.llm.common import forget, materialize
 
 
+#: Tasks over which the rows of one key are dealt.
+SALTS = 16
+
+
+def join_spread(rows: DataFrame, of_key: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join of rows with a table that has one row a key; the rows of a key meet it in SALTS places, dealt by `by`."""
+    every = of_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(every, [key, "_salt"]).drop("_salt")
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """edges with m: the least v of each u."""
+    return join_spread(edges, edges.groupBy("u").agg(F.min("v").alias("m")), "u", "v")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    rest = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    rest = _with_least(down).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.union(least.select("u", F.col("m").alias("v")))
 
 

@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurewatch.llm.common import materialize, table
-from lurewatch.llm.graph import connected_components
+from lurewatch.llm.graph import connected_components, join_spread
 
 #: Words of a shingle for general use, and least similarity in per cent.
 WIDTH, PERCENT = 5, 80
 #: Bands and rows of a band: a pair of similarity 0.8 meets in no bucket with a chance of 3 in a million.
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
-#: A candidate edge holds from this estimated similarity on; sets under SURE shingles always pass.
-LOOSE, SURE = 0.5, 64
+#: A candidate edge holds from this estimated similarity on, and a pair is compared if its estimate is not further than
+#: SLACK below the limit; sets under SURE shingles always pass both.
+LOOSE, SLACK, SURE = 0.5, 0.16, 64
 #: Documents of a block in which links are confirmed.
 BLOCK = 256
 #: Bands from whose buckets the centre of a star is chosen.
@@ -133,20 +134,28 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def _digest(s: np.ndarray, salt: int) -> int:
+    return int(_mix(s ^ np.uint64(salt)).sum().view(np.int64))
+
+
+def signatures(docs: DataFrame, width: int = WIDTH, also: tuple[str, Callable[[], Callable[[list[bytes]], list[int]]]] | None = None) -> DataFrame:
     """From doc_id, text: doc_id, n (set size), d1, d2 (digest of the set), bands (bucket keys), sketch (a byte per bin).
 
-    Further columns go along behind these.
+    Further columns go along behind these; `also` names a last one (bigint) and makes, once a task, the function that
+    draws it from texts.
     """
-    more = [(f.name, f.dataType.simpleString()) for f in docs.schema.fields[2:]]
+    more = [(f.name, f.dataType.simpleString()) for f in docs.schema.fields[2:]] + ([(also[0], "bigint")] if also else [])
     schema = ", ".join(["doc_id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch binary", *(f"`{a}` {b}" for a, b in more)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
+        draw = also[1]() if also else None
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
-                sets = list(shingle_sets(_bytes(batch.column(1)), width))
+                texts = _bytes(batch.column(1))
+                drawn = [pa.array(draw(texts), pa.int64())] if draw else []
+                sets = list(shingle_sets(texts, width))
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sk = sketches([sets[i] for i in full])
                 key = np.zeros((len(full), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
@@ -156,8 +165,8 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 bands, small = [None] * len(sets), [None] * len(sets)
                 for i, k, s in zip(full, key, sk.astype(np.uint8), strict=True):
                     bands[i], small[i] = k, s.tobytes()
-                digest = [[None if not len(s) else int(_mix(s ^ np.uint64(salt)).sum().view(np.int64)) for s in sets] for salt in (1, 2)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(d, pa.int64()) for d in digest], pa.array(bands, pa.list_(pa.int64())), pa.array(small, pa.binary()), *batch.columns[2:]], names=["doc_id", "n", "d1", "d2", "bands", "sketch", *(a for a, _ in more)])
+                digest = [[_digest(s, salt) if len(s) else None for s in sets] for salt in (1, 2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(d, pa.int64()) for d in digest], pa.array(bands, pa.list_(pa.int64())), pa.array(small, pa.binary()), *batch.columns[2:], *drawn], names=["doc_id", "n", "d1", "d2", "bands", "sketch", *(a for a, _ in more)])
 
     return docs.mapInArrow(run, schema)
 
@@ -191,9 +200,10 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def links_of(ids: list[int], sets: list[np.ndarray], first: int, percent: int) -> list[tuple[int, int]]:
-    """Exact links that join whatever is linked; pairs that are joined already are not compared again."""
-    root = list(range(len(ids)))
+def links_of(ids: list[int], sets: list[np.ndarray], labels: list[int], first: int | None, percent: int) -> list[tuple[int, int]]:
+    """Exact links that join whatever is linked; pairs that are joined already (at first: of one label) are not compared."""
+    place: dict[int, int] = {}
+    root = [place.setdefault(x, i) for i, x in enumerate(labels)]
 
     def top(x: int) -> int:
         while root[x] != x:
@@ -220,48 +230,110 @@ def links_of(ids: list[int], sets: list[np.ndarray], first: int, percent: int) -
         return js[100 * low >= percent * high]
 
     everyone = np.arange(len(ids))
-    compare(first, near(first, everyone[everyone != first]))
+    if first is not None:
+        compare(first, near(first, everyone[everyone != first]))
     sk = sketches(sets).astype(np.uint8) if len(ids) > 32 else None
     for i in everyone:
-        if i == first:
+        tops = np.array([top(j) for j in everyone[i:]])
+        if i == first or (tops == tops[0]).all():
             continue
-        js = near(i, everyone[everyone > i])
-        mine = top(i)
-        js = js[np.array([top(j) != mine for j in js], bool)]
+        js = near(i, everyone[i:][tops != tops[0]])
         if sk is not None and len(js):
-            js = js[((sk[js] == sk[i]).mean(1) >= percent / 100 - 0.16) | (np.minimum(sizes[js], sizes[i]) < SURE)]
+            js = js[((sk[js] == sk[i]).mean(1) >= percent / 100 - SLACK) | (np.minimum(sizes[js], sizes[i]) < SURE)]
         compare(i, js)
     return out
 
 
-def _confirmed(docs: DataFrame, groups: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b: links of similarity `percent` or more inside the groups of candidates, confirmed on full sets.
+def _compared(texts: DataFrame, places: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: exact links among the documents that meet in a place.
 
-    A group of up to BLOCK documents is compared in one place, with other small groups beside it. A larger one is
-    dealt into blocks, and every two blocks meet; its best-connected document goes along to each, so that what
-    links to it needs no further comparison.
+    places: at (array of longs), part (of the place, array of longs), id, d1 (digest of the document's set), label, is_hub.
+    texts: id, text. Where rows share an id, the digest tells which text is meant.
     """
-    of = groups.select(F.col("node").alias("id"), F.col("component").alias("g")).join(classes.select("id", "rank"), "id")
-    sizes = of.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("rank", (-F.col("id")).alias("id"))).alias("c"))
-    sizes = sizes.select("g", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), (-F.col("c.id")).alias("hub"))
-    of = of.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    n = of.count()
-    small = F.struct(F.lit(-1).cast("long").alias("g"), F.pmod(F.xxhash64("g"), F.lit(max(1, n // BLOCK))).cast("int").alias("i"), F.lit(0).alias("j"))
-    others = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block")), lambda k: F.struct(F.col("g").alias("g"), F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    every = F.flatten(F.transform(F.sequence(F.lit(0), F.col("blocks") - 2), lambda i: F.transform(F.sequence(i + 1, F.col("blocks") - 1), lambda j: F.struct(F.col("g").alias("g"), i.alias("i"), j.alias("j")))))
-    places = of.select("id", "g", (F.col("id") == F.col("hub")).alias("is_hub"), F.explode(F.when(F.col("blocks") == 1, F.array(small)).when(F.col("id") == F.col("hub"), every).otherwise(others)).alias("at"))
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(places, "id").select("id", "text", "g", "is_hub", F.col("at.g").alias("ag"), F.col("at.i").alias("ai"), F.col("at.j").alias("aj"))
+    texts = texts.join(places.hint("merge"), "id")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         np.seterr(over="ignore")
         found: list[tuple[int, int]] = []
-        for _, part in rows.groupby("g", sort=False):
-            part = part.drop_duplicates("id")
+        for _, part in rows.groupby("part", sort=False):
             sets = list(shingle_sets([t.encode("utf-8", "surrogatepass") for t in part["text"]], width))
-            found += links_of(part["id"].tolist(), sets, int(part["is_hub"].to_numpy().argmax()), percent)
+            meant = [len(s) > 0 and _digest(s, 1) == d for s, d in zip(sets, part["d1"], strict=True)]
+            part = part[meant]
+            part, sets = part.assign(k=range(len(part))).drop_duplicates(["id", "d1"]), [s for s, m in zip(sets, meant, strict=True) if m]
+            hub = part["is_hub"].to_numpy()
+            found += links_of(part["id"].tolist(), [sets[k] for k in part["k"]], part["label"].tolist(), int(hub.argmax()) if hub.any() else None, percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return texts.groupBy("ag", "ai", "aj").applyInPandas(run, "a bigint, b bigint")
+    return texts.select("at", F.concat_ws(":", "part").alias("part"), "id", "d1", "label", "is_hub", "text").groupBy("at").applyInPandas(run, "a bigint, b bigint")
+
+
+def _longs(*values: Column | int) -> Column:
+    return F.array(*[F.lit(v).cast("long") if isinstance(v, int) else v.cast("long") for v in values])
+
+
+def _own_place(part: Column, n: int) -> Column:
+    """A place for a part with fewer than BLOCK documents, beside other small ones."""
+    return _longs(-1, F.pmod(F.xxhash64(part), F.lit(max(1, n // BLOCK))))
+
+
+def _first_links(texts: DataFrame, of: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links inside the groups of candidates, each cut into blocks of about BLOCK; its best-connected document meets every block.
+
+    of: id, d1, g, blocks, hub. A text is compared in one block, whatever the size of its group.
+    """
+    n = of.count()
+    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    is_hub = F.col("id") == F.col("hub")
+    rows = of.select("id", "d1", F.col("id").alias("label"), is_hub.alias("is_hub"), F.explode(F.when(is_hub, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: _longs(F.col("g"), k))).otherwise(F.array(_longs(F.col("g"), block)))).alias("part"), "blocks")
+    places = rows.select("id", "d1", "label", "is_hub", "part", F.when(F.col("blocks") == 1, _own_place(F.col("part"), n)).otherwise(F.col("part")).alias("at"))
+    return _compared(texts, places, width, percent)
+
+
+def _further_links(texts: DataFrame, large: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between documents of large groups that the first links left in several components.
+
+    large: id, g (group), label (component after the first links). The members of a group's main component meet all
+    others, and the others one another, in blocks; members of the main component do not meet. Where this would copy
+    texts more often than they have buckets, the same is done bucket by bucket, and only in buckets with several components.
+    """
+    def parts(rows: DataFrame, by: str) -> DataFrame:
+        """by, main (label of the largest component), most (its size), rest (documents of the others); only where there are several."""
+        per = rows.groupBy(by, "label").agg(F.count(F.lit(1)).alias("n"))
+        out = per.groupBy(by).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), (F.sum("n") - F.max("n")).alias("rest"))
+        return out.filter("rest > 0").withColumns({"m": F.ceil(F.col("most") / BLOCK).cast("int"), "r": F.ceil(F.col("rest") / BLOCK).cast("int")})
+
+    copies = F.col("most") * F.col("r") + F.col("rest") * (F.col("m") + F.col("r"))
+    whole = parts(large, "g").select("g", (copies <= BANDS * (F.col("most") + F.col("rest"))).alias("whole"))
+    rows = classes.select("id", "d1", "bands").join(join_spread(large, whole, "g", "id"), "id")
+    rows = rows.select("id", "d1", "label", F.explode(F.when(F.col("whole"), F.array("g")).otherwise(F.col("bands"))).alias("key"))
+    rows = materialize(join_spread(rows, parts(rows, "key").drop("most", "rest"), "key", "id"), "buckets")
+    n = rows.count()
+    m, r, h = F.col("m"), F.col("r"), F.xxhash64("id")
+    pair = lambda i, j: _longs(F.col("key"), i, j)
+    own = m + F.pmod(h, r).cast("int")
+    of_main = F.transform(F.sequence(m, m + r - 1), lambda j: pair(F.pmod(h, m), j))
+    of_rest = F.transform(F.filter(F.sequence(F.lit(0), m + r - 1), lambda k: k != own), lambda k: pair(F.least(k, own), F.greatest(k, own)))
+    places = rows.select("id", "d1", "label", F.lit(False).alias("is_hub"), F.explode(F.when(F.col("label") == F.col("main"), of_main).otherwise(of_rest)).alias("part"), (m + r).alias("blocks"))
+    places = places.select("id", "d1", "label", "is_hub", "part", F.when(F.col("blocks") == 2, _own_place(F.col("part"), n)).otherwise(F.col("part")).alias("at"))
+    return _compared(texts, places, width, percent)
+
+
+def _confirmed(docs: DataFrame, groups: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: links of similarity `percent` or more between documents that share a bucket, confirmed on full sets."""
+    of = groups.select(F.col("node").alias("id"), F.col("component").alias("g")).join(classes.select("id", "d1", "rank"), "id")
+    sizes = of.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("rank", (-F.col("id")).alias("id"))).alias("c"))
+    sizes = sizes.select("g", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), (-F.col("c.id")).alias("hub"))
+    of = materialize(join_spread(of, sizes, "g", "id").select("id", "d1", "g", "blocks", "hub"), "groups")
+    # All texts are shuffled once, for those of candidates. Both sides grow with the data, so neither is ever broadcast.
+    texts = docs.select(F.col("doc_id").alias("id"), "text").filter("text IS NOT NULL")
+    texts = materialize(texts.join(of.select("id").distinct().hint("merge"), "id"), "candidates")
+    links = materialize(_first_links(texts, of, width, percent), "links")
+    large = of.filter("blocks > 1").select("id", "g").distinct()
+    if large.isEmpty():
+        return links
+    joined = connected_components(links.join(large.select(F.col("id").alias("a")), "a", "left_semi")).withColumnRenamed("node", "id")
+    large = materialize(large.join(joined, "id", "left").select("id", "g", F.coalesce("component", "id").alias("label")), "large")
+    return links.unionByName(_further_links(texts, large, classes, width, percent))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -269,9 +341,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     A set holds the distinct shingles of `width` words of the whole text with A to Z lower-cased; a shorter text
     is one shingle, one without words (or null) has none and is linked with nothing. Texts with equal sets are
-    joined before any bucket is formed. Rows that share an id are one document; a row without an id gets the
-    component of its equals if one has an id (else null) and is never kept. An empty table gives an empty table.
-    Only the sketches can miss a link (see BANDS); none is made without comparing full sets.
+    joined before any bucket is formed. Rows that share an id are one document, linked by any of their texts;
+    a row without an id gets the component of its equals if one has an id (else null) and is never kept. An empty
+    table gives an empty table. Only the sketches can miss a link (see BANDS, LOOSE and SLACK); none is made without
+    comparing full sets. A text is compared in one block of its group; only in large groups that this leaves in several
+    parts is it copied further (see _further_links()).
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = with_components(docs, materialize(signatures(docs, width), "signatures"), width, percent)
@@ -280,11 +354,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
 def with_components(docs: DataFrame, sig: DataFrame, width: int, percent: int) -> DataFrame:
     """component_id beside doc_id, n and further columns of a written table of signatures, one row per row of it."""
-    same = sig.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    classes = sig.filter("n > 0").withColumnRenamed("doc_id", "id").join(same.select("n", "d1", F.col("rep").alias("id")), ["id", "n", "d1"]).select("id", "n", "bands", "sketch")
+    full = sig.filter("n > 0")
+    same = full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
+    classes = full.withColumnRenamed("doc_id", "id").join(same.select("n", "d1", F.col("rep").alias("id")), ["id", "n", "d1"]).select("id", "n", "d1", "bands", "sketch")
     classes = materialize(_ranked(classes), "classes")
     groups = connected_components(_likely(_stars(classes), classes))
-    found = connected_components(_confirmed(docs, groups, classes, width, percent)).withColumnRenamed("node", "rep")
+    # Rows that share an id are one document, whichever sets they hold.
+    several = full.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).filter("lo <> hi").select("doc_id")
+    one = full.select("doc_id", "n", "d1", "d2").join(several, "doc_id").join(same, ["n", "d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    found = connected_components(_confirmed(docs, groups, classes, width, percent).union(one)).withColumnRenamed("node", "rep")
     named = same.join(found, "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = sig.drop("bands", "sketch").join(named, ["n", "d1", "d2"], "left")
     return out.withColumn("component_id", F.coalesce("component_id", "doc_id")).drop("d1", "d2")
@@ -295,10 +373,22 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+#: Rows without an id get one from their text, beyond this number, while near copies are sought.
+NO_ID = 1 << 62
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of every group of near-duplicates the document with the smallest id stays."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("_id"), "left_semi")
+    """Pipeline stage: of every group of near-duplicates the document with the smallest id stays.
+
+    Rows without an id stay if no document with an id is near them, one of each group; those without words all stay.
+    Rows that share an id stay or go together.
+    """
+    own = F.lit(NO_ID) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 61) - 1)
+    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), own).alias("_key"), "text")
+    kept = near_duplicates(keyed, doc_id="_key").filter("kept").select(F.col("doc_id").alias("_key")).distinct()
+    out = keyed.join(kept, "_key", "left_semi")
+    by_id = F.col("_row.doc_id").isNotNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return out.filter(by_id).select("_row.*").unionByName(out.filter(~by_id).dropDuplicates(["_key"]).select("_row.*"))
 
 
 QUERIES = {"op3_near_dedup": op3_near_dedup}
