@@ -56,32 +56,41 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int = CA
     return out
 
 
-def token_counts(docs: DataFrame, path: str, cluster: str | None = None, with_text: bool = False) -> DataFrame:
-    """doc_id, source, cluster, n_tokens, text (with_text). Without a cluster column, equal words in equal order make a cluster."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), (F.col(cluster).cast("long") if cluster else F.lit(None).cast("long")).alias("cluster"), "text")
+def _rows(docs: DataFrame, cluster: str | None) -> DataFrame:
+    of = F.col(cluster).cast("long") if cluster else F.lit(None).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), of.alias("cluster"))
+
+
+def token_counts(docs: DataFrame, path: str, cluster: str | None = None) -> DataFrame:
+    """doc_id, source, cluster, n_tokens. Without a cluster column, equal words in equal order make a cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                x = whole.slice(start, 512)
+            for start in range(0, whole.num_rows, 1024):
+                x = whole.slice(start, 1024)
                 texts = x.column("text").to_pylist()
-                counts = pa.array([len(ids) // 2 for ids in encoder.encode(texts)], pa.int64())
+                counts = pa.array(encoder.count(texts), pa.int64())
                 key = x.column("cluster") if cluster else pa.array([xxhash.xxh64_intdigest(" ".join((t or "").lower().split()).encode("utf-8", "replace")) - (1 << 63) for t in texts], pa.int64())
-                more = [x.column("text")] if with_text else []
-                yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("source"), key, counts, *more], names=["doc_id", "source", "cluster", "n_tokens", *(["text"] if with_text else [])])
+                yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("source"), key, counts], names=["doc_id", "source", "cluster", "n_tokens"])
 
-    return rows.mapInArrow(run, "doc_id bigint, source string, cluster bigint, n_tokens bigint" + (", text string" if with_text else ""))
+    return _rows(docs, cluster).mapInArrow(run, "doc_id bigint, source string, cluster bigint, n_tokens bigint")
 
 
 def near_copy_counts(docs: DataFrame, path: str) -> DataFrame:
     """token_counts() with the classes of near_duplicates() as clusters: one row per input row, no join on ids.
 
-    A row without an id or an equal that has one has a null cluster.
+    A row without an id or an equal that has one has a null cluster. Tokens are counted where sets are drawn, so
+    that texts are read once for both.
     """
-    counted = token_counts(docs, path, with_text=True)
-    sig = materialize(signatures(counted.select("doc_id", "text", "source", "n_tokens"), WIDTH), "signatures")
-    out = with_components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sig, WIDTH, PERCENT)
+    rows = _rows(docs, None).drop("cluster")
+
+    def counter():
+        encoder = Encoder(path)
+        return lambda texts: encoder.count([t.decode("utf-8", "surrogatepass") for t in texts])
+
+    sig = materialize(signatures(rows, WIDTH, ("n_tokens", counter)), "signatures")
+    out = with_components(rows, sig, WIDTH, PERCENT)
     return out.select("doc_id", "source", F.col("component_id").alias("cluster"), "n_tokens")
 
 
