@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,31 @@ def words(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACES, -1))
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value worked out once for every use of it: a lambda over a one-element array names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def before_each(items: Column, total: Callable[[Column], Column], block: int = 128) -> Column:
+    """For each item, `total` of all items before it; arrays are summed up block by block, so long ones stay cheap.
+
+    total: array to one value, which may also be applied to values of its own; of an empty array it is the neutral one.
+    """
+
+    def with_blocks(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda b: total(F.slice(v, F.greatest(b, F.lit(0)) * block + 1, F.lit(block))))
+        return bind(blocks, lambda b: bind(F.transform(b, lambda _, i: total(F.slice(b, F.lit(1), i))), lambda heads: placed(v, heads)))
+
+    def placed(v: Column, heads: Column) -> Column:
+        def one(_: Column, i: Column) -> Column:
+            k = F.floor(i / block).cast("int")
+            return total(F.array(F.get(heads, k), total(F.slice(v, k * block + 1, i - k * block))))
+
+        return F.transform(v, one)
+
+    return bind(items, lambda v: F.when(F.size(v) > 0, with_blocks(v)).otherwise(v))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A to Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

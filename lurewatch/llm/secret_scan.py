@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import materialize, table
+from lurewatch.llm.common import before_each, bind, materialize, table
+from lurewatch.llm.graph import join_spread
 
 #: kind, pattern, group that holds the value, fewest characters of the value, base kind. Order breaks ties of start.
 KINDS = (
@@ -26,40 +27,44 @@ HIDE_VARIETY = {"hex": 2, "userinfo": None}
 _FOUND = "array<struct<start:bigint,rank:int,end:bigint,kind:string,base:boolean,value_hash:string,looks_live:boolean,to_hide:boolean>>"
 
 
-def _sum_length(items: Column) -> Column:
-    return F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + F.char_length(x))
+def _sum(items: Column) -> Column:
+    return F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def find(text: Column) -> Column:
     """All spans of one text (whole matches; code points, end exclusive), by start, then kind as listed.
 
     Leftmost non-overlapping matches per kind. A null text has none. Positions come from the text between the
-    matches, so that no user function is needed.
+    matches, so that no user function is needed; lengths are summed block by block, so that very many hits stay cheap.
     """
     t = F.coalesce(text, F.lit(""))
     per_kind = []
     for rank, (kind, pattern, group, least, base) in enumerate(KINDS):
         hits = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
         values = F.regexp_extract_all(t, F.lit(pattern), F.lit(group)) if group else hits
-        # A lambda over a one-element array binds the matches once for every use of them.
-        row = F.array(F.struct(hits.alias("hits"), values.alias("values"), F.split(t, pattern, -1).alias("gaps")))
-        found = F.flatten(F.transform(row, _spans_of(rank, kind, least, base)))
+        row = F.struct(hits.alias("hits"), values.alias("values"), F.split(t, pattern, -1).alias("gaps"))
+        found = bind(row, _spans_of(rank, kind, least, base))
         per_kind.append(F.when(t.rlike(pattern), found).otherwise(F.array().cast(_FOUND)))
     return F.array_sort(F.concat(*per_kind))
 
 
 def _spans_of(rank: int, kind: str, least: int, base: bool):
-    def one(x: Column, hit: Column, i: Column) -> Column:
-        start = _sum_length(F.slice(x["gaps"], 1, i + 1)) + _sum_length(F.slice(x["hits"], 1, i))
+    def one(x: Column, before: Column, hit: Column, i: Column) -> Column:
+        start = F.get(before, i) + F.char_length(F.get(x["gaps"], i))
         value = F.get(x["values"], i)
         variety = F.size(F.array_distinct(F.split(value, "")))
         live = (variety >= LIVE_VARIETY) & value.rlike("[0-9]") | F.lit(kind == "pem")
         quarter = F.least(F.greatest(F.ceil(F.char_length(value) / 4), F.lit(2)), F.lit(LIVE_VARIETY))
         hide = variety >= (HIDE_VARIETY[kind] or quarter) if kind in HIDE_VARIETY else F.lit(True)
-        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.char_length(hit)).alias("end"), F.lit(kind).alias("kind"), F.lit(base).alias("base"), F.sha2(value, 256).alias("value_hash"), live.alias("looks_live"), hide.alias("to_hide"), F.char_length(value).alias("n"))
+        return F.struct(
+            start.alias("start"), F.lit(rank).alias("rank"), (start + F.char_length(hit)).alias("end"), F.lit(kind).alias("kind"), F.lit(base).alias("base"),
+            F.sha2(value, 256).alias("value_hash"), live.alias("looks_live"), hide.alias("to_hide"), F.char_length(value).alias("n"),
+        )
 
     def spans(x: Column) -> Column:
-        found = F.filter(F.transform(x["hits"], lambda hit, i: one(x, hit, i)), lambda s: s["n"] >= least)
+        pairs = F.zip_with(F.slice(x["gaps"], F.lit(1), F.size(x["hits"])), x["hits"], lambda g, h: (F.char_length(g) + F.char_length(h)).cast("long"))
+        every = bind(before_each(pairs, _sum), lambda before: F.transform(x["hits"], lambda hit, i: one(x, before, hit, i)))
+        found = F.filter(every, lambda s: s["n"] >= least)
         return F.transform(found, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind", "base", "value_hash", "looks_live", "to_hide")]))
 
     return spans
@@ -84,26 +89,33 @@ def copies_as_one(found: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", whole: bool = False, one_of_copies: bool = False) -> DataFrame:
     """One row per input row: key, found (find()) and secrets: found with n_repos, n_owners, class and hide.
 
-    class is `example` if EXAMPLE_OWNERS owners or more share the value, else `live` if it looks live, else
+    Rows are told apart by place, so spans of one never meet another's. class is `example` if EXAMPLE_OWNERS owners or more share the value, else `live` if it looks live, else
     `weak`. hide is set for all but examples and, of kinds that match much else, values of too little variety
     (HIDE_VARIETY). A null owner or repository counts as one of its own. Rows that share a key keep their own spans and
     share the counts. A text without spans has empty arrays; an empty table gives an empty table. With `whole`, a
     struct `row` holds all columns of the input row. With `one_of_copies`, equal texts count as one repository of one
     owner.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(repo).alias("repo"), F.col(owner).alias("owner"), *([F.xxhash64(text).alias("copy")] if one_of_copies else []), find(F.col(text)).alias("found"), *([F.struct(*docs.columns).alias("row")] if whole else []))
-    rows = materialize(rows, "secrets")
-    hits = rows.filter(F.size("found") > 0).select("key", "repo", "owner", *(["copy"] if one_of_copies else []), F.explode(F.transform("found", lambda s: s["value_hash"])).alias("value_hash"))
+    more = [F.xxhash64(text).alias("copy")] if one_of_copies else []
+    more += [F.struct(*docs.columns).alias("row")] if whole else []
+    rows = docs.select(F.col(key).alias("key"), F.col(repo).alias("repo"), F.col(owner).alias("owner"), find(F.col(text)).alias("found"), *more)
+    rows = materialize(rows.withColumn("place", F.monotonically_increasing_id()), "secrets")
+    some = rows.filter(F.size("found") > 0)
+    values = F.transform("found", lambda s: s["value_hash"])
+    hits = some.select("place", "repo", "owner", *(["copy"] if one_of_copies else []), F.posexplode(values).alias("pos", "value_hash"))
     shared = ownership(copies_as_one(hits) if one_of_copies else hits)
-    per_key = hits.select("key", "value_hash").distinct().join(shared, "value_hash").groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("value_hash", "n_repos", "n_owners")).alias("_shared"))
-    out = rows.join(per_key, F.col("key").eqNullSafe(F.col("_key")) & (F.size("found") > 0), "left")
+    counted = join_spread(hits.select("place", "pos", "value_hash"), shared, "value_hash", "place")
+    of_row = counted.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("pos", "n_repos", "n_owners"))).alias("shared"))
 
-    def judged(s: Column) -> Column:
-        of = F.get(F.filter("_shared", lambda x: x["value_hash"] == s["value_hash"]), 0)
+    def judged(s: Column, i: Column) -> Column:
+        of = F.get("shared", i)
         kind = F.when(of["n_owners"] >= EXAMPLE_OWNERS, "example").when(s["looks_live"], "live").otherwise("weak")
         hide = (of["n_owners"] < EXAMPLE_OWNERS) & s["to_hide"]
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base"), of["n_repos"].alias("n_repos"), of["n_owners"].alias("n_owners"), kind.alias("class"), hide.alias("hide"))
 
+    # Only rows with spans meet the counts; the others need no shuffle.
+    none = F.array().cast("array<struct<pos:int,n_repos:bigint,n_owners:bigint>>")
+    out = some.join(of_row, "place").unionByName(rows.filter(F.size("found") == 0).withColumn("shared", none))
     return out.select(F.col("key").alias(key), "found", F.transform("found", judged).alias("secrets"), *(["row"] if whole else []))
 
 
@@ -125,14 +137,15 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact(text: Column, spans: Column, mark: str = "<SECRET>") -> Column:
     """Replaces the spans (sorted by start, overlaps allowed) of a text by a mark."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("pos"))
+    most = lambda x: F.coalesce(F.array_max(x), F.lit(0).cast("long"))
 
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["pos"]
-        gap = F.substr(text, (a["pos"] + 1).cast("int"), (s["start"] - a["pos"]).cast("int"))
-        return F.struct(F.when(fresh, F.concat(a["out"], gap, F.lit(mark))).otherwise(a["out"]).alias("out"), F.greatest(a["pos"], s["end"]).alias("pos"))
+    def cut(chars: Column, ends: Column, reached: Column) -> Column:
+        part = lambda a, b: F.array_join(F.slice(chars, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")), "")
+        pieces = F.transform(spans, lambda s, i: F.when(s["start"] >= F.get(reached, i), F.concat(part(F.get(reached, i), s["start"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(pieces, ""), part(most(ends), F.size(chars)))
 
-    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substr(text, (a["pos"] + 1).cast("int"))))
+    ends = F.transform(spans, lambda s: s["end"])
+    return bind(F.split(text, ""), lambda chars: bind(ends, lambda e: bind(before_each(e, most), lambda reached: cut(chars, e, reached))))
 
 
 def hide_live_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
