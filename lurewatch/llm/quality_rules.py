@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import materialize, table, words
+from lurewatch.llm.common import bind, table, words
 
 # Frequent function words of the four languages.
 STOP_WORDS = (
@@ -36,54 +36,78 @@ def _total(items: Column) -> Column:
     return F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the base counts and the measures of every whole text.
+def _same_as_neighbour(s: Column) -> Column:
+    return F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]))
 
-    Columns added: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), and the ratios that
-    RULES names (double, null where there is no word). A null text counts as an empty one. Triples of words
-    are told apart by a 64-bit hash.
+
+def _repeat_words(h: Column) -> Column:
+    """Words that lie in three-word windows found twice or more. h: hashes of the words in order."""
+    windows = F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))
+    # Only texts in which a window occurs twice go on to sort their windows.
+    ordered = lambda t: F.sort_array(F.transform(t, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    places = lambda t: bind(ordered(t), lambda s: F.sort_array(F.transform(_same_as_neighbour(s), lambda x: x["i"])))
+    covered = lambda p: _total(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))))
+    return bind(windows, lambda t: F.when(F.size(F.array_distinct(t)) < F.size(t), bind(places(t), covered)).otherwise(0)).cast("long")
+
+
+def _counts(t: Column) -> Column:
+    """Struct of the base counts, the stop words and the lines with a word of a text."""
+
+    def of(x: Column) -> Column:
+        n_dup = F.size(x["l"]) - F.size(F.array_distinct(x["l"]))
+        return F.struct(
+            F.size(x["w"]).cast("long").alias("n_words"), F.char_length(F.array_join(x["w"], "")).cast("long").alias("word_chars"),
+            F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), n_dup.cast("long").alias("n_dup_lines"),
+            _repeat_words(x["h"]).alias("n_repeat_words"), F.size(F.filter(x["h"], lambda h: h.isin(_STOP_HASHES))).alias("stops"), F.size(x["l"]).alias("lines"),
+        )
+
+    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    hashed = lambda w: F.struct(w.alias("w"), F.transform(w, lambda x: F.xxhash64(x)).alias("h"), lines.alias("l"))
+    return bind(bind(words(t), hashed), of)
+
+
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def measured(text: Column) -> Column:
+    """Struct of the base counts (BASE, long) and of the measures that RULES names (double, null where there is no word).
+
+    A null text counts as an empty one. Triples of words are told apart by a 64-bit hash. Every step is bound once
+    (see bind()), so the expression stays of one size wherever it is pushed.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumns({
-        "_w": words(F.col(text)),
-        "_lines": F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-        "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
-    })
-    out = out.withColumns({
-        "n_words": F.size("_w").cast("long"),
-        "word_chars": F.char_length(F.array_join("_w", "")).cast("long"),
-        "_n_lines": F.size("_lines"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_h": F.transform("_w", lambda w: F.xxhash64(w)),
-    }).drop("_w", "_lines")
-    h = F.col("_h")
-    # Every third-word window by hash; only texts in which one occurs twice go on to sort their windows.
-    out = out.withColumn("_stop", F.size(F.filter(h, lambda x: x.isin(_STOP_HASHES)))).withColumn("_t", F.when(F.col("n_words") >= 3, F.transform(F.slice(h, 1, F.greatest(F.size(h) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))).otherwise(F.array().cast("array<bigint>"))).drop("_h")
-    out = out.withColumn("_s", F.when(F.size(F.array_distinct("_t")) < F.size("_t"), F.sort_array(F.transform("_t", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))).drop("_t")
-    s = F.col("_s")
-    out = out.withColumn("_p", F.sort_array(F.transform(F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"])), lambda x: x["i"]))).drop("_s")
-    p = F.col("_p")
-    out = out.withColumn("n_repeat_words", F.coalesce(_total(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))), F.lit(0)).cast("long")).drop("_p")
-    per_word, per_line = lambda c: F.try_divide(F.col(c), F.col("n_words")), lambda c: F.try_divide(F.col(c), F.col("_n_lines"))
-    return out.withColumns({
-        "mean_word_chars": per_word("word_chars"), "symbols_per_word": per_word("n_symbols"), "stop_word_share": per_word("_stop"), "duplicate_line_share": per_line("n_dup_lines"),
-    }).drop("_stop", "_n_lines")
+    ratio = lambda c, x, of: F.try_divide(x[c], x[of])
+    return bind(_counts(F.coalesce(text, F.lit(""))), lambda x: F.struct(
+        *[x[c].alias(c) for c in BASE], ratio("word_chars", x, "n_words").alias("mean_word_chars"), ratio("n_symbols", x, "n_words").alias("symbols_per_word"),
+        ratio("stops", x, "n_words").alias("stop_word_share"), ratio("n_dup_lines", x, "lines").alias("duplicate_line_share"),
+    ))
+
+
+def judged(text: Column, rules=RULES) -> Column:
+    """measured() with base_failed, failed_rules and kept (see verdicts())."""
+
+    def of(x: Column) -> Column:
+        broken = [F.when((x[m] < lo if lo is not None else F.lit(False)) | (x[m] > hi if hi is not None else F.lit(False)), F.lit(name)) for name, m, lo, hi in rules]
+        failed = (x["n_words"] < MIN_WORDS) | (100 * x["n_repeat_words"] > MAX_REPEAT_PERCENT * x["n_words"])
+        names = [*BASE, *(m for _, m, _, _ in RULES)]
+        return bind(F.struct(x.alias("x"), failed.alias("failed"), F.array_compact(F.array(*broken)).alias("broken")), lambda y: F.struct(
+            *[y["x"][c].alias(c) for c in names], y["failed"].alias("base_failed"), y["broken"].alias("failed_rules"), (~y["failed"] & (F.size(y["broken"]) == 0)).alias("kept"),
+        ))
+
+    return bind(measured(text), of)
 
 
 def verdicts(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """measure() with base_failed, kept and failed_rules (names of the broken rules, in table order).
+    """All columns of the input with the counts and measures of every whole text, base_failed, failed_rules (names of the
+    broken rules, in table order) and kept; input columns of those names are replaced.
 
     base_failed: fewer than 50 words, or over half of the words lie in repeated three-word windows. A measure
     that is null (no word) breaks no rule. Equal and repeated rows get equal results; an empty table gives an
     empty table.
     """
-    out = measure(docs, text)
-    broken = [F.when((F.col(m) < lo if lo is not None else F.lit(False)) | (F.col(m) > hi if hi is not None else F.lit(False)), F.lit(name)) for name, m, lo, hi in rules]
-    out = out.withColumns({
-        "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
-        "failed_rules": F.array_compact(F.array(*broken)),
-    })
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    new = judged(F.col(text), rules)
+    names = {*BASE, *(m for _, m, _, _ in RULES), "base_failed", "failed_rules", "kept"}
+    out = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), new.alias("new"))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in names], "new.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,14 +117,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that break no rule.
-
-    The verdicts are written before they filter: a filter pushed into the projection would write its nested
-    expressions out again at every use, until planning no longer ends.
-    """
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
-    judged = verdicts(docs.select(F.col("text").alias("_text"), row), "_text").select("_row", "kept")
-    return materialize(judged, "rules").filter("kept").select("_row.*")
+    """Pipeline stage: documents that break no rule."""
+    return docs.filter(judged(F.col("text"))["kept"])
 
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in STOP_FORMS)
