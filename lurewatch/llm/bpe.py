@@ -13,9 +13,9 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +27,6 @@ SPECIAL = "<|endoftext|>"
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Most bytes of the word table that goes to every worker; words beyond it travel to the texts that hold them.
 TABLE_BYTES = 96 << 20
-#: Most words that a worker remembers between batches.
-REMEMBERED = 200_000
 
 
 def vocabulary() -> str:
@@ -72,68 +70,94 @@ def split_words(text: Column) -> Column:
     return F.when(F.contains(t, F.lit(SPECIAL)), apart).otherwise(cut(t))
 
 
+@cache
+def _laid_out(path: str) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]:
+    """Bytes, starts and lengths of the pieces, and of the ids as decimal numbers with a comma behind."""
+
+    def laid(items: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.array([len(x) for x in items], np.int64)
+        return np.frombuffer(b"".join(items), np.uint8), np.cumsum(n) - n, n
+
+    of = pieces(path)
+    return laid(of), laid([b"%d," % i for i in range(len(of))])
+
+
 def word_table(texts: DataFrame, path: str) -> DataFrame:
-    """word, h (its hash), n (texts that hold it), ids: every distinct word of the `words` column, encoded once."""
+    """word, n (texts that hold it), ids: every distinct word of the `words` column, encoded once."""
     words = texts.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("array<int>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            found = _tokenizer(path).encode_batch(batch.column("word").to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([e.ids for e in found], pa.list_(pa.int32()))], names=["word", "n", "h", "ids"])
+            yield pd.Series([e.ids for e in _tokenizer(path).encode_batch(batch.tolist(), add_special_tokens=False)])
 
-    return words.withColumn("h", F.xxhash64("word")).mapInArrow(encode, "word string, n bigint, h bigint, ids array<int>")
+    return words.withColumn("ids", encode("word"))
 
 
 def spell(rows: DataFrame, keys: list[str], path: str) -> DataFrame:
-    """`keys` (which tell rows apart) and data: the bytes of `ids`, by a join with the id-to-piece table.
+    """`keys` (which tell rows apart), ids and data: their bytes in hexadecimal digits, by a join with the id-to-piece table.
 
     Ids that the vocabulary lacks give nothing; null or empty ids give no bytes.
     """
-    table_of = rows.sparkSession.createDataFrame(list(enumerate(pieces(path))), "id int, piece binary")
+    table_of = rows.sparkSession.createDataFrame([(i, x.hex()) for i, x in enumerate(pieces(path))], "id int, piece string")
     each = rows.select(*keys, F.posexplode_outer("ids").alias("pos", "id"))
-    spelt = each.join(F.broadcast(table_of), "id", "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("x")))).alias("p"))
-    return spelt.select(*keys, F.unhex(F.array_join(F.transform("p", lambda s: F.coalesce(s["x"], F.lit(""))), "")).alias("data"))
+    spelt = each.join(F.broadcast(table_of), "id", "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "id", "piece"))).alias("p"))
+    ids = F.filter(F.transform("p", lambda s: s["id"]), lambda x: x.isNotNull())
+    return spelt.select(*keys, ids.alias("ids"), F.array_join(F.transform("p", lambda s: F.coalesce(s["piece"], F.lit(""))), "").alias("data"))
 
 
 def spelt_table(words: DataFrame, path: str) -> DataFrame:
-    """word, h, n, ids of a word table and spelt: what the ids decode to, null where that is the word itself."""
-    rows = spell(words.withColumn("w", F.struct("word", "h", "n", "ids")).select("w", "ids"), ["w"], path)
-    return rows.select("w.*", F.when(F.col("data") != F.encode("w.word", "UTF-8"), F.col("data")).alias("spelt"))
+    """word, n, h (hash), ids of a word table and spelt: what the ids decode to, null where that is the word itself.
+
+    A word's ids stay where the word was counted, so the join with the pieces shuffles nothing.
+    """
+    rows = spell(words, ["word", "n"], path)
+    return rows.select("word", "n", F.xxhash64("word").alias("h"), "ids", F.when(F.lower(F.hex(F.encode("word", "UTF-8"))) != F.col("data"), F.unhex("data")).alias("spelt"))
 
 
 class _Table:
-    """Ids by the hash of a word, sorted for look-up; a word is sure when its ids spell it."""
+    """Ids of the commonest words, in the order of their hashes."""
 
     def __init__(self, h: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> None:
         self.h, self.ends, self.ids = h, ends, ids
 
-    def find(self, words: list[bytes], spelt: list[bytes]) -> list[list[int] | None]:
-        h = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64).view(np.int64)
-        at = np.searchsorted(self.h, h)
-        hit = at < len(self.h)
-        hit[hit] = self.h[at[hit]] == h[hit]
-        out: list[list[int] | None] = [None] * len(words)
-        for i in np.flatnonzero(hit):
-            k = at[i]
-            ids = self.ids[self.ends[k - 1] if k else 0 : self.ends[k]].tolist()
-            if b"".join([spelt[x] for x in ids]) == words[i]:
-                out[i] = ids
-        return out
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which hashes are held, where their ids begin, and how many they are."""
+        if not len(self.h):
+            none = np.zeros(len(h), np.int64)
+            return none.astype(bool), none, none
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        first = np.where(at > 0, self.ends[at - 1], 0)
+        hit = self.h[at] == h
+        return hit, np.where(hit, first, 0), np.where(hit, self.ends[at] - first, 0)
+
+
+def _least_count(words: DataFrame, size: Column, most: int) -> int:
+    """The smallest count such that the words of higher counts take `most` bytes at most; 0 if all do.
+
+    Counts are summed in bins that grow finer where the bound is crossed, so a few rows reach the driver each time.
+    """
+    above, low, high = 0, 0, (words.agg(F.max("n")).first()[0] or 0) + 1  # bytes of counts from `high` on; the bound is crossed in low..high
+    while high - low > 1:
+        step = -(-(high - low) // 1_000)
+        bins = words.filter((F.col("n") > low) & (F.col("n") < high)).groupBy(F.expr(f"(n - {low}) div {step}").alias("k")).agg(F.sum(size).alias("b")).collect()
+        for row in sorted(bins, key=lambda r: -r["k"]):
+            if above + row["b"] > most:
+                low, high = max(low, low + row["k"] * step - 1), min(high, low + (row["k"] + 1) * step)
+                break
+            above += row["b"]
+        else:
+            return low
+        if step == 1:
+            return high - 1
+    return low
 
 
 def _hot(words: DataFrame, most: int) -> tuple[_Table, int, int]:
     """The commonest words within `most` bytes (all, if they fit) that decode to themselves, how many texts hold the commonest one left out, and how many words decode to something else."""
     size = F.lit(16) + 2 * F.size("ids")
     total, odd = words.agg(F.sum(size), F.count("spelt")).first()
-    total, least = total or 0, 0
-    if total > most:
-        held = words.groupBy("n").agg(F.sum(size).alias("b")).orderBy(F.desc("n")).limit(100_000).collect()
-        used = 0
-        for row in held:
-            used += row["b"]
-            if used > most:
-                least = row["n"]
-                break
+    least = _least_count(words, size, most) if (total or 0) > most else 0
     rows = words.filter((F.col("n") > least) & F.col("spelt").isNull()).select("h", "ids").toArrow() if total else pa.table({"h": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
     h = rows.column("h").to_numpy()
     order = np.argsort(h, kind="stable")
@@ -144,13 +168,19 @@ def _hot(words: DataFrame, most: int) -> tuple[_Table, int, int]:
     return _Table(h[order], ends, pc.list_flatten(ids).to_numpy().astype(np.uint16)), least, odd
 
 
+def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of data laid end to end, and where each of them ends."""
+    ends = np.cumsum(sizes)
+    return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)], ends
+
+
 def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (with_ids), decoded (with_ids), ids_sha256, decoded_sha256: one row per input row.
 
     Ids are those of the whole text without added special tokens; a special token's own text gives its id. A
-    null or empty text has no ids. The table of distinct words goes to the workers whole if it takes no more than
-    `table_bytes`; else its commonest words do, and the others are joined to the texts that hold them, by doc_id.
-    Rows that share a doc_id are encoded one by one; an empty table gives an empty table.
+    null or empty text has no ids. Of the table of distinct words the commonest, `table_bytes` at most, go to the
+    workers; the others are joined to the texts that hold them, by doc_id, but for those that a single text holds,
+    which are encoded there. Rows that share a doc_id are encoded one by one; an empty table gives an empty table.
 
     Decoded text is made of what the distinct words' ids give in a join with the id-to-piece table (spelt_table()).
     A word that comes back as itself needs no second copy of its bytes; one that does not travels with them.
@@ -162,66 +192,89 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
     found, least, odd = _hot(words, table_bytes)
     hot = spark.sparkContext.broadcast(found)
     rare_type = "array<struct<word:string,ids:array<int>,spelt:binary>>"
-    if least or odd:
-        left = words.filter((F.col("n") <= least) | F.col("spelt").isNotNull()).select("word", "ids", "spelt")
+    if least > 1 or odd:
+        left = words.filter((F.col("n") <= least) & (F.col("n") > 1) | F.col("spelt").isNotNull()).select("word", "ids", "spelt")
         held = texts.select("doc_id", F.explode(F.array_distinct("words")).alias("word")).join(left, "word").distinct()
         rare = held.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("word", "ids", "spelt")).alias("rare"))
         whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
         texts = whole.join(rare, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", split_words(F.col("text")).alias("words"), "rare")
     else:
         texts = texts.withColumn("rare", F.lit(None).cast(rare_type))
+    texts = texts.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
     kind = next(f.dataType.simpleString() for f in texts.schema if f.name == "doc_id")
     schema = f"doc_id {kind}, n_tokens bigint, " + ("ids array<int>, decoded binary, " if with_ids else "") + "ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelt = pieces(path)
-        known: dict[bytes, tuple[list[int], bytes, bytes]] = {}
         for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                if len(known) > REMEMBERED:
-                    known = {}
-                yield one(whole.slice(start, 2048), spelt, known)
-
-    def learn(new: list[bytes], batch: pa.RecordBatch, spelt: list[bytes], known: dict) -> None:
-        """Ids, ids as text, and decoded bytes of words: from the table, from the rows themselves, or encoded on the spot."""
-        ids = hot.value.find(new, spelt)
-        data = list(new)  # words of the table decode to themselves
-        if missing := [i for i, x in enumerate(ids) if x is None]:
-            own = {r["word"].encode(): (r["ids"], r["spelt"]) for row in batch.column("rare").to_pylist() if row for r in row}
-            left = [i for i in missing if new[i] not in own]
-            for i in missing:
-                ids[i], other = own.get(new[i], (None, None))
-                data[i] = new[i] if other is None else other
-            for i, e in zip(left, _tokenizer(path).encode_batch([new[i].decode() for i in left], add_special_tokens=False) if left else (), strict=True):
-                ids[i], data[i] = e.ids, b"".join([spelt[k] for k in e.ids])  # a hash shared by two words
-        known.update((w, (x, ",".join(map(str, x)).encode(), d)) for w, x, d in zip(new, ids, data, strict=True))
-
-    def one(batch: pa.RecordBatch, spelt: list[bytes], known: dict) -> pa.RecordBatch:
-        lists = batch.column("words")
-        coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
-        if new := [w for w in distinct if w not in known]:
-            learn(new, batch, spelt, known)
-        ids, texts, raw = zip(*[known[w] for w in distinct], strict=True) if distinct else ((), (), ())
-        sizes = np.array([len(x) for x in ids] or [0])
-        codes = coded.indices.to_numpy()
-        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)).astype(int) if len(lists) else np.zeros(0, int)
-        columns: list[list] = [[], [], [], [], []]
-        first = 0
-        for end in ends:
-            mine = codes[first:end].tolist()
-            first = end
-            data = b"".join([raw[k] for k in mine]).decode("utf-8", "replace").encode()
-            columns[0].append(int(sizes[mine].sum()) if mine else 0)
+            for start in range(0, whole.num_rows, 512):
+                yield one(whole.slice(start, 512))
+
+    def others(words: list[str], rare: pa.Array) -> list[tuple[list[int], bytes | None]]:
+        """Ids, and decoded bytes where they are not the word's own, of words that the table lacks."""
+        own = {r["word"]: (r["ids"], r["spelt"]) for row in rare.to_pylist() if row for r in row}
+        new = [w for w in words if w not in own]
+        for w, e in zip(new, _tokenizer(path).encode_batch(new, add_special_tokens=False) if new else (), strict=True):
+            data = b"".join([pieces(path)[i] for i in e.ids])
+            own[w] = (e.ids, None if data == w.encode() else data)
+        return [own[w] for w in words]
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists, piece_of, number_of = batch.column("words"), *_laid_out(path)
+        flat, h = lists.flatten(), batch.column("h").flatten().to_numpy()
+        if len(flat):
+            begin = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1].astype(np.int64)
+            raw = np.frombuffer(flat.buffers()[2] or b"", np.uint8)
+        else:
+            begin, raw = np.zeros(1, np.int64), np.zeros(0, np.uint8)
+        length = np.diff(begin)
+        distinct, at, place = np.unique(h, return_index=True, return_inverse=True)
+        hit, starts, sizes = hot.value.find(distinct)
+        # Ids from the table are taken only if their pieces spell the word, whatever the hash says.
+        spelt, ends = _gather(hot.value.ids, starts[place], sizes[place])
+        plain, last = _gather(piece_of[0], piece_of[1][spelt], piece_of[2][spelt])
+        stop = np.r_[0, last][ends] if len(ends) else ends
+        true = hit[place] & (np.diff(np.r_[0, stop]) == length)
+        if true.all() and np.array_equal(plain, raw[begin[0] : begin[-1]]):
+            ids, counts, odd = spelt, sizes[place], {}
+        else:
+            held = np.flatnonzero(true)
+            mine, _ = _gather(raw, begin[held], length[held])
+            theirs, _ = _gather(plain, stop[held] - length[held], length[held])
+            true[np.repeat(held, length[held])[mine != theirs]] = False
+            left = np.flatnonzero(~true)
+            coded = flat.take(pa.array(left)).dictionary_encode()
+            new = others(coded.dictionary.to_pylist(), batch.column("rare"))
+            which = coded.indices.to_numpy()
+            n = np.array([len(x) for x, _ in new], np.int64)
+            more = np.array([i for x, _ in new for i in x], np.uint16)
+            pool, where, counts = np.r_[spelt, more], ends - sizes[place], sizes[place].copy()
+            where[left], counts[left] = len(spelt) + (np.cumsum(n) - n)[which], n[which]
+            ids, _ = _gather(pool, where, counts)
+            odd = {int(k): new[w][1] for k, w in zip(left, which, strict=True) if new[w][1] is not None}
+        numbers, number_end = _gather(number_of[0], number_of[1][ids], number_of[2][ids])
+        numbers, number_end = numbers.tobytes(), np.r_[0, number_end]
+        token_end = np.r_[0, np.cumsum(counts)]
+        doc_end = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))].astype(int)
+        odd_at = np.array(sorted(odd), int)
+        columns: list[list] = [[], [], [], []]
+        for a, b in zip(doc_end[:-1], doc_end[1:], strict=True):
+            t0, t1 = token_end[a], token_end[b]
+            data = raw[begin[a] : begin[b]].tobytes()
+            if len(mine := odd_at[np.searchsorted(odd_at, a) : np.searchsorted(odd_at, b)]):
+                parts, done = [], a
+                for k in mine:
+                    parts += [raw[begin[done] : begin[k]].tobytes(), odd[int(k)]]
+                    done = k + 1
+                data = b"".join([*parts, raw[begin[done] : begin[b]].tobytes()]).decode("utf-8", "replace").encode()
             if with_ids:
-                columns[1].append([x for k in mine for x in ids[k]])
-                columns[2].append(data)
-            columns[3].append(hashlib.sha256(b",".join([texts[k] for k in mine])).hexdigest())
-            columns[4].append(hashlib.sha256(data).hexdigest())
-        kept = [batch.column("doc_id"), pa.array(columns[0], pa.int64())]
+                columns[0].append(ids[t0:t1].astype(np.int32))
+                columns[1].append(data)
+            columns[2].append(hashlib.sha256(numbers[number_end[t0] : max(number_end[t0], number_end[t1] - 1)]).hexdigest())
+            columns[3].append(hashlib.sha256(data).hexdigest())
+        kept = [batch.column("doc_id"), pa.array(token_end[doc_end[1:]] - token_end[doc_end[:-1]], pa.int64())]
         if with_ids:
-            kept += [pa.array(columns[1], pa.list_(pa.int32())), pa.array(columns[2], pa.binary())]
-        kept += [pa.array(columns[3], pa.string()), pa.array(columns[4], pa.string())]
+            kept += [pa.array(columns[0], pa.list_(pa.int32())), pa.array(columns[1], pa.binary())]
+        kept += [pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string())]
         names = ["doc_id", "n_tokens", *(["ids", "decoded"] if with_ids else []), "ids_sha256", "decoded_sha256"]
         return pa.RecordBatch.from_arrays(kept, names=names)
 
@@ -231,12 +284,12 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, text: ids back to text by a join with the id-to-piece table, one row per input row.
 
-    Ids that the vocabulary lacks give nothing; null or empty ids give an empty text. Rows get a key of their own,
-    which is written before the join.
+    Ids that the vocabulary lacks give nothing; null or empty ids give an empty text; bytes that are no UTF-8 (an id
+    can hold part of a character) are replaced. Rows get a key of their own, which is written before the join.
     """
     rows = materialize(encoded.select("doc_id", "ids", F.monotonically_increasing_id().alias("_r")), "encoded")
     spelt = spell(rows, ["doc_id", "_r"], path or vocabulary())
-    return spelt.select("doc_id", F.decode("data", "UTF-8").alias("text"))
+    return spelt.select("doc_id", F.make_valid_utf8(F.unhex("data").cast("string")).alias("text"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
