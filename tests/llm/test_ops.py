@@ -53,6 +53,17 @@ def test_rules_brute_force(spark):
     assert quality_rules.verdicts(odd_docs(spark)).count() == len(ODD) + 2 and quality_rules.verdicts(empty_docs(spark)).count() == 0
 
 
+def test_rules_can_filter_and_keep_all_columns(spark):
+    helpers = ["_w", "_h", "_t", "_s", "_p", "_stop", "_lines", "_n_lines", "row", "new", "x", "text_", "n_words"]
+    df = odd_docs(spark).select("*", *[F.lit(7).alias(c) for c in helpers])
+    out = quality_rules.verdicts(df)
+    assert set(helpers + df.columns) <= set(out.columns) and len(out.columns) == len(set(out.columns))
+    assert all(r[c] == 7 for r in out.collect() for c in helpers if c != "n_words")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = sum(r["kept"] for r in quality_rules.verdicts(docs).select("kept").collect())
+    assert 0 < quality_rules.verdicts(docs).filter("kept").filter("n_words > 0 AND NOT base_failed").count() == want == quality_rules.keep_by_rules(spark, docs, "").count()
+
+
 # --- quality classifier ---
 
 
@@ -129,6 +140,30 @@ def test_near_dedup_blocks_and_odd_rows(spark, monkeypatch):
     assert near_dedup.near_duplicates(odd_docs(spark)).count() == len(ODD) + 2 and near_dedup.near_duplicates(empty_docs(spark)).count() == 0
 
 
+def test_near_dedup_large_groups_bucket_by_bucket(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 20)
+    monkeypatch.setattr(near_dedup, "LOOSE", 0.0)
+    monkeypatch.setattr(near_dedup, "BANDS", 32)
+    texts = copies(8, 150)
+    rng = np.random.default_rng(9)
+    base = [f"v{i}" for i in rng.integers(0, 400, 120)]
+    for i in range(60):  # drifts away step by step: neighbours are linked, the ends are not
+        base[(7 * i) % 120] = f"n{i}"
+        texts[5000 + i] = " ".join(base)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, width=4).collect()} == components(texts, 4, 80)[0]
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(1, a), (1, b), (1, None), (2, a + " x"), (3, b + " y"), (4, "alone " * 9), (None, a), (None, "no id here " * 3), (None, "no id here " * 3), (None, None)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert {r["component_id"] for r in got if r["doc_id"] in (1, 2, 3)} == {1} and [r["component_id"] for r in got if r["doc_id"] == 4] == [4]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    stay = collections.Counter((r["doc_id"], r["text"]) for r in near_dedup.keep_one_of_each(spark, docs, "").collect())
+    assert stay == collections.Counter([(1, a), (1, b), (1, None), (4, "alone " * 9), (None, "no id here " * 3), (None, None)])
+
+
 # --- exact top-k ---
 
 
@@ -188,6 +223,15 @@ def test_toxicity_held_out(spark):
 # --- packing ---
 
 
+def test_tokens_equal_library():
+    rng = np.random.default_rng(2)
+    encoder = packing.Encoder(packing.ranks())
+    signs = [*"ab'  \n\t1²é,.!'strevlmd", "\xa0", "\u2003", "😀", "你", "\u0301", "\x1c", "\x85", "<|endoftext|>", "'ll", "'re", "'ve", " '"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(5000)] + [None, "", "'", " ", "x'", "w" * 3000 + " " * 3000]
+    want = [encoder.of.encode_ordinary(t or "") for t in texts]
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == want and encoder.count(texts) == [len(x) for x in want]
+
+
 def test_best_fit_brute_force():
     rng = np.random.default_rng(3)
     sizes = sorted(rng.integers(0, 60, 400).tolist(), reverse=True)
@@ -291,6 +335,17 @@ def test_copies_of_a_text_are_one_owner(spark):
     assert all(kept[i] == "x <SECRET> y" for i in range(5)) and kept[10] == rows[5][1]
 
 
+def test_very_many_hits_in_one_text(spark):
+    hits = [f"token={'ab1' * 4}{i:06d}" for i in range(4000)]
+    texts = ["é ".join(hits), "é ".join(hits[:300]), "token=abcdefghijkl" * 200]
+    df = spark.createDataFrame([(i, t, "en", f"s{i}", 1) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["secrets"] for r in secret_scan.scan(df).collect()}
+    for i, t in enumerate(texts):
+        assert ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in got[i] if s["base"]) == spans(t)
+    cut = {r["doc_id"]: r["text"] for r in secret_scan.hide_live_secrets(spark, df, "").collect()}
+    assert cut[0] == "é ".join(["<SECRET>"] * 4000) and cut[1] == "é ".join(["<SECRET>"] * 300)
+
+
 def test_every_row_is_cut_by_its_own_spans(spark):
     key, other = "password=Zx81kQ9pLm42aB7c.", "token=Qy72hW8rTn53cD6e.x"
     rows = [(1, f"{key} a", "en", "s1", 1), (1, f"of the same id, longer {other} b", "en", "s2", 1), (1, "of the same id, without any", "en", "s3", 1), (None, f"null {key}", "en", "s1", 1), (None, f"null too, {other}", "en", "s2", 1)]
@@ -376,6 +431,27 @@ def test_decoding_keeps_repeated_rows(spark):
     assert collections.Counter((r["doc_id"], r["text"]) for r in got) == collections.Counter((r["doc_id"], r["text"] or "") for r in df.collect())
 
 
+def test_decoding_replaces_parts_of_characters(spark):
+    tokenizer = bpe._tokenizer(bpe.vocabulary())
+    ids = tokenizer.encode("a 😀 é", add_special_tokens=False).ids
+    rows = [(1, ids[:2]), (2, ids), (3, None), (4, [])]
+    got = {r["doc_id"]: r["text"] for r in bpe.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>")).collect()}
+    assert got == {i: tokenizer.decode(x or [], skip_special_tokens=False) for i, x in rows}
+
+
+@pytest.mark.parametrize("most", [0, 30, 100, 1_000, 20_000, 10**9])
+def test_word_table_stays_within_its_bound(spark, most):
+    rng = np.random.default_rng(4)
+    counts = [*range(1, 300), *(int(x) for x in rng.integers(1, 10**6, 700)), 5, 5, 5]
+    words = spark.createDataFrame([(n, [1] * (k % 4)) for k, n in enumerate(counts)], "n long, ids array<int>")
+    size = {}
+    for k, n in enumerate(counts):
+        size[n] = size.get(n, 0) + 16 + 2 * (k % 4)
+    least = bpe._least_count(words, F.lit(16) + 2 * F.size("ids"), most)
+    held = sum(b for n, b in size.items() if n > least)
+    assert held <= most and (least == 0 or held + size.get(least, 0) > most)
+
+
 @pytest.mark.parametrize("table_bytes", [bpe.TABLE_BYTES, 200])
 def test_decoded_digest_comes_from_the_joined_pieces(spark, monkeypatch, table_bytes):
     other = list(bpe.pieces(bpe.vocabulary()))
