@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ DOMAIN = r"(?U)\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.){1,126}[a-zA
 MAX_SCAN, MAX_URLS = 4 << 20, 25
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value worked out once for all its uses: a lambda over a one-element array names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -75,32 +82,44 @@ def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[^:/?#]+://([^/?#:]*)", 1))
 
 
-def extract_domains(text: Column, urls: Column) -> Column:
+def _domains(clean: Column, urls: Column) -> Column:
     """Hosts of the URLs and dotted names in the text, without common hosts, addresses and plain file names."""
-    names = F.transform(_all(refang(text), DOMAIN), lambda d: F.lower(d))
+    names = F.transform(_all(clean, DOMAIN), lambda d: F.lower(d))
     names = F.filter(names, lambda d: ~(F.regexp_count(d, F.lit(r"\.")).eqNullSafe(1) & F.substring_index(d, ".", -1).isin(FILE_SUFFIXES)))
     both = F.array_union(F.transform(urls, url_host), names)
     return F.array_sort(F.filter(both, lambda d: (d != "") & ~d.isin(*COMMON_DOMAINS) & ~d.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$")))
 
 
-def extract_ips(text: Column) -> Column:
-    """Dotted quads outside the private prefixes, whatever their numbers; sorted distinct."""
+def extract_domains(text: Column, urls: Column) -> Column:
+    """Hosts of the URLs, and dotted names of the whole text that are no file names; sorted distinct."""
+    return _domains(refang(text), urls)
+
+
+def _ips(clean: Column) -> Column:
     def public(ip: Column) -> Column:
         hit = F.lit(False)
         for prefix in PRIVATE_PREFIXES:
             hit = hit | ip.startswith(prefix)
         return ~hit
 
-    return F.array_sort(F.array_distinct(F.filter(_all(refang(text), IPV4), public)))
+    return F.array_sort(F.array_distinct(F.filter(_all(clean, IPV4), public)))
 
 
-def extract_hashes(text: Column) -> Column:
-    """Whole words of 64, 40 or 32 hexadecimal digits, case kept; sorted distinct."""
-    clean = refang(text)
+def extract_ips(text: Column) -> Column:
+    """Dotted quads outside the private prefixes, whatever their numbers; sorted distinct."""
+    return _ips(refang(text))
+
+
+def _hashes(clean: Column) -> Column:
     found = F.array_union(_all(clean, r"(?U)\b[a-fA-F0-9]{64}\b"), _all(clean, r"(?U)\b[a-fA-F0-9]{40}\b"))
     return F.array_sort(F.array_union(found, _all(clean, r"(?U)\b[a-fA-F0-9]{32}\b")))
 
 
+def extract_hashes(text: Column) -> Column:
+    """Whole words of 64, 40 or 32 hexadecimal digits, case kept; sorted distinct."""
+    return bind(refang(text), _hashes)
+
+
 def sender_domain(sender: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(sender, F.lit("")), r"(?U)@([\w.-]+)", 1))
 
@@ -112,9 +131,12 @@ def sender_address(sender: Column) -> Column:
 
 
 def extract_iocs(body: Column, sender: Column) -> Column:
-    """Struct of urls, domains, ips, hashes, sender_domain."""
-    urls = extract_urls(body)
-    return F.struct(urls.alias("urls"), extract_domains(body, urls).alias("domains"), extract_ips(body).alias("ips"), extract_hashes(body).alias("hashes"), sender_domain(sender).alias("sender_domain"))
+    """Struct of urls, domains, ips, hashes, sender_domain. The text is refanged once, and its URLs are drawn once."""
+
+    def lists(clean: Column, urls: Column) -> Column:
+        return F.struct(urls.alias("urls"), _domains(clean, urls).alias("domains"), _ips(clean).alias("ips"), _hashes(clean).alias("hashes"), sender_domain(sender).alias("sender_domain"))
+
+    return bind(refang(body), lambda clean: bind(_urls(clean), lambda urls: lists(clean, urls)))
 
 
 def is_empty(iocs: Column) -> Column:

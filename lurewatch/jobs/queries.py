@@ -10,6 +10,7 @@ from lurewatch.functions import policy
 from lurewatch.functions import text as T
 from lurewatch.jobs import views as V
 from lurewatch.operators import enrich, files, findings, policy as plans
+from lurewatch.sources.scratch import written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -91,7 +92,7 @@ def distinct_iocs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_LONG} SELECT email_id, count(*) AS n_lookups, count_if({_FOUND}) AS n_found, count_if({_FOUND} AND length(indicator) % 5 > 0) AS n_malicious, count_if({_FOUND} AND length(indicator) % 2 > 0) AS n_suspicious FROM long GROUP BY email_id")
 def enrich_email(spark: SparkSession, d: str) -> DataFrame:
-    long = enrich.explode_iocs(V.mail_iocs(spark, d))
+    long = written(enrich.explode_iocs(V.mail_iocs(spark, d)), "indicators")
     return enrich.hit_counts(enrich.enrich_long(long, V.reputation_of(enrich.distinct_iocs(long))))
 
 
@@ -102,7 +103,7 @@ fx AS (SELECT *, list_transform(fresh, lambda u: lower(regexp_extract(u, '//([^/
 
 @query(f"WITH {_FU} SELECT email_id, array_to_string(list_concat(fresh, urls), ' ') AS urls, array_to_string(list_concat(list_reverse(list_filter(h, lambda x, i: NOT list_contains(domains, x) AND list_position(h, x) = i)), domains), ' ') AS domains FROM fx")
 def merge_file_urls(spark: SparkSession, d: str) -> DataFrame:
-    m = V.mail_iocs(spark, d).select("email_id", "page_id", "iocs")
+    m = written(V.mail_iocs(spark, d).select("email_id", "page_id", "iocs"), "indicators")
     near = lambda n, s: F.concat(F.lit("https://h"), (F.col("page_id") % n).cast("string"), F.lit(f".example/{s}"))
     new = m.select("email_id", F.posexplode(F.array(near(5, "a"), F.get("iocs.urls", 0), near(7, "b"))).alias("pos", "url"))
     out = enrich.merge_file_urls(m, new)

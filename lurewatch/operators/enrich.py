@@ -24,18 +24,19 @@ def distinct_iocs(long: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def enrich_long(long: DataFrame, reputation: DataFrame) -> DataFrame:
-    """Adds the feed's columns to each indicator; one the feed lacks has found = false.
+    """Adds the feed's columns to each indicator; one the feed lacks has found = false. A feed has a row per indicator.
 
-    A campaign's URL may stand in very many mails: the feed is cut to the batch's distinct indicators first, and the hot
-    side of the join stays splittable.
+    A campaign's URL may stand in very many mails: the hot side of the join stays splittable.
     """
-    feed = reputation.join(distinct_iocs(long), ["kind", "indicator"], "left_semi")
-    return long.join(feed, ["kind", "indicator"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    return long.join(reputation, ["kind", "indicator"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def enrich_mails(mails: DataFrame, reputation: DataFrame, ip_abuse: DataFrame | None = None, url_scan: DataFrame | None = None) -> DataFrame:
-    """email_id, enrichment: per kind a map from indicator to result; mails without indicators have empty maps."""
-    rows = enrich_long(explode_iocs(mails), reputation)
+def enrich_mails(mails: DataFrame, reputation: DataFrame, ip_abuse: DataFrame | None = None, url_scan: DataFrame | None = None, long: DataFrame | None = None) -> DataFrame:
+    """email_id, enrichment: per kind a map from indicator to result; a mail without indicators has a null map for each kind.
+
+    long: the mails' indicators (see explode_iocs()), where they are at hand already.
+    """
+    rows = enrich_long(explode_iocs(mails) if long is None else long, reputation)
     if ip_abuse is not None:
         rows = rows.join(ip_abuse.select(F.lit("ips").alias("kind"), F.col("ip").alias("indicator"), F.struct("*").alias("abuse")), ["kind", "indicator"], "left")
     if url_scan is not None:
