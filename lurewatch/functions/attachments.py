@@ -174,13 +174,15 @@ def extension_signals(kind: Column, ext: Column, has_script: Column | None = Non
     return F.array_compact(F.array(by_name, by_content)).cast(f"array<{SIGNAL}>")
 
 
-# Patterns of HTML red flags.
+# Patterns of HTML red flags. The encoded block stands as two runs because the engine of the SQL in the
+# tests repeats 1000 times at most; 2000 such characters or more match either way.
 HTML_RULES = {
     "password_field": r"""(?i)type\s*=\s*["']?password|autocomplete\s*=\s*["']?(?:current|new)-password""", "form_tag": r"(?i)<form\b",
     "obfuscation": r"(?i)\batob\s*\(|fromCharCode|\bunescape\s*\(|\beval\s*\(|document\.write\s*\(", "blob_download": r"(?i)new\s+Blob\b",
     "blob_save": r"(?i)msSaveOrOpenBlob|createObjectURL|\.download\s*=", "big_encoded_blob": r"[A-Za-z0-9+/=]{1000}[A-Za-z0-9+/=]{1000}",
     "meta_refresh": r"""(?i)<meta[^<>]{0,300}http-equiv\s*=\s*["']?refresh""", "iframe": r"(?i)<iframe\b", "script_tag": r"(?i)<script\b", "svg_event": r"(?i)\bon(?:load|error|click)\s*=",
 }
+SOURCES = r"""(?i)\b(?:src|action|data-url)\s*=\s*["'](https?://[^"'\s>]+)"""
 FORM_ACTION = r"""(?i)<form[^<>]{0,500}?action\s*=\s*["']?(https?://[^\s"'>]+)"""
 
 
@@ -262,7 +264,7 @@ def binary_strings(data: Column) -> Column:
     """Printable runs of six characters or more in the first 8 MiB, narrow ones first, then wide ones."""
     text = latin(F.substring(data, 1, 8 << 20))
     narrow = F.slice(F.regexp_extract_all(text, F.lit(r"[\x20-\x7e]{6,}"), F.lit(0)), 1, MAX_STRINGS)
-    wide = F.transform(F.regexp_extract_all(text, F.lit(r"(?:[\x20-\x7e]\x00){6,2000}"), F.lit(0)), lambda s: F.replace(s, F.lit("\x00"), F.lit("")))
+    wide = F.transform(F.regexp_extract_all(text, F.lit(r"(?:[\x20-\x7e]\x00){6,}+"), F.lit(0)), lambda s: F.replace(s, F.lit("\x00"), F.lit("")))
     return F.when(F.size(narrow) >= MAX_STRINGS, narrow).otherwise(F.slice(F.concat(narrow, wide), 1, 2 * MAX_STRINGS))
 
 

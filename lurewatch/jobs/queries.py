@@ -364,12 +364,6 @@ def detect_kind(spark: SparkSession, d: str) -> DataFrame:
     return _kinds(spark, d).select("page_id", "kind", "ext")
 
 
-@query(f"SELECT page_id, CASE WHEN kind <> 'html' THEN NULL ELSE CASE page_id % 8 WHEN 1 THEN '2:type_mismatch' WHEN 2 THEN '3:dangerous_extension 2:type_mismatch' WHEN 3 THEN '2:macro_enabled_extension 2:type_mismatch' WHEN 4 THEN '2:type_mismatch' WHEN 5 THEN '3:dangerous_extension' WHEN 6 THEN '1:type_mismatch' ELSE '' END END AS signals FROM (SELECT page_id, {_KIND} AS kind FROM pages)")
-def extension_signals(spark: SparkSession, d: str) -> DataFrame:
-    s = A.extension_signals(F.col("kind"), F.col("ext"))
-    return _kinds(spark, d).select("page_id", F.when(F.col("kind") == "html", F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["severity"], x["signal"])), " ")).alias("signals"))
-
-
 _FLAGS = {k: p.replace("'", "''") for k, p in A.HTML_RULES.items()}
 
 
@@ -451,11 +445,6 @@ def rank_hash_lookups(spark: SparkSession, d: str) -> DataFrame:
     return files.rank_hash_lookups(f).select("email_id", "att_idx", "place", "looked_up")
 
 
-@query()
-def byte_entropy(spark: SparkSession, d: str) -> DataFrame:
-    return V.files(spark, d).select("page_id", files.byte_entropy("data").alias("entropy"))
-
-
 @query(f"WITH {V.FILES}, z AS (SELECT email_id, att_idx, size, row_number() OVER () AS rn FROM x) SELECT email_id, att_idx, CASE WHEN att_idx >= 10 THEN 'too many attachments' WHEN size > 6000 THEN 'larger than the limit' ELSE '' END AS skipped_reason FROM z")
 def admit_stage1(spark: SparkSession, d: str) -> DataFrame:
     f = V.files(spark, d).select("email_id", "att_idx", F.octet_length("data").cast("long").alias("size"))

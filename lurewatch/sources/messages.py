@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import email
 import email.policy
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,14 +14,11 @@ from pyspark.sql import functions as F
 from lurewatch.functions import text as T
 
 
-def _part(depth: int) -> str:
-    inner = f",parts:array<{_part(depth - 1)}>" if depth else ""
-    return f"struct<mimeType:string,filename:string,body:struct<data:string,size:bigint,attachmentId:string>{inner}>"
-
-
-#: Nested parts are read down to this depth.
-PART_DEPTH = 3
-MESSAGE = f"id string, threadId string, payload struct<mimeType:string,headers:array<struct<name:string,value:string>>,body:struct<data:string,size:bigint,attachmentId:string>,parts:array<{_part(PART_DEPTH)}>>"
+#: A message with its parts laid flat, each before what it holds.
+MESSAGE = (
+    "id string, threadId string, headers array<struct<name:string,value:string>>, "
+    "parts array<struct<mime:string,filename:string,data:string,size:bigint>>, error string"
+)
 
 
 def header(headers: Column, name: str) -> Column:
@@ -28,13 +26,22 @@ def header(headers: Column, name: str) -> Column:
     return F.coalesce(F.get(F.filter(headers, lambda h: F.lower(h["name"]) == name.lower()), 0)["value"], F.lit(""))
 
 
-def _flat(parts: Column, depth: int) -> Column:
-    """Leaf fields of parts and of what they hold, outer ones first."""
-    own = F.transform(parts, lambda p: F.struct(p["mimeType"].alias("mime"), p["filename"].alias("filename"), p["body"]["data"].alias("data"), p["body"]["size"].alias("size")))
-    if not depth:
-        return own
-    below = F.flatten(F.transform(parts, lambda p: F.coalesce(p["parts"], F.array().cast(f"array<{_part(depth - 1)}>"))))
-    return F.concat(own, _flat(below, depth - 1))
+def _message(line: str | None) -> tuple:
+    """A row of MESSAGE from one JSON document; parts may lie at any depth."""
+    try:
+        m = json.loads(line or "")
+        payload = m.get("payload") or {}
+        parts, left = [], [payload]
+        while left:
+            p = left.pop()
+            body = p.get("body") or {}
+            size = body.get("size")
+            parts.append({"mime": p.get("mimeType"), "filename": p.get("filename"), "data": body.get("data"), "size": size if isinstance(size, int) else None})
+            left += reversed(p.get("parts") or [])
+        headers = [{"name": str(h.get("name") or ""), "value": str(h.get("value") or "")} for h in payload.get("headers") or []]
+        return m.get("id"), m.get("threadId"), headers, parts, None
+    except (ValueError, AttributeError, TypeError, RecursionError) as e:
+        return None, None, [], [], f"not a message: {type(e).__name__}"
 
 
 def _b64url(data: Column) -> Column:
@@ -43,49 +50,73 @@ def _b64url(data: Column) -> Column:
 
 
 def read_messages_json(spark: SparkSession, path: str, source: str = "gmail") -> DataFrame:
-    """Mails from exported provider messages, one JSON document a line."""
-    m = spark.read.schema(MESSAGE).json(path)
-    h = F.col("payload.headers")
-    whole = F.array(F.struct(F.col("payload.mimeType").alias("mime"), F.lit("").alias("filename"), F.col("payload.body.data").alias("data"), F.col("payload.body.size").alias("size")))
-    parts = F.concat(whole, F.coalesce(_flat(F.col("payload.parts"), PART_DEPTH), F.array().cast("array<struct<mime:string,filename:string,data:string,size:bigint>>")))
-    m = m.withColumn("_p", parts)
-    texts = F.transform(F.filter("_p", lambda p: (F.coalesce(p["filename"], F.lit("")) == "") & p["data"].isNotNull()), lambda p: F.struct(p["mime"].alias("mime"), _b64url(p["data"]).alias("text")))
+    """Mails from exported provider messages, one JSON document a line; a line that is none stays, with an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([_message(x) for x in b["value"]], columns=["id", "threadId", "headers", "parts", "error"])
+
+    m = spark.read.text(path).filter("trim(value) <> ''").mapInPandas(run, MESSAGE)
+    h = F.col("headers")
+    blank = lambda p: F.coalesce(p["filename"], F.lit("")) == ""
+    texts = F.transform(F.filter("parts", lambda p: blank(p) & p["data"].isNotNull()), lambda p: F.struct(p["mime"].alias("mime"), _b64url(p["data"]).alias("text")))
     return m.select(
-        F.col("id").alias("email_id"), F.col("threadId").alias("thread_id"), F.lit(source).alias("source"), header(h, "Subject").alias("subject"), header(h, "From").alias("sender"), header(h, "Date").alias("date"), header(h, "Message-ID").alias("message_id"),
-        T.parse_auth_results(header(h, "Authentication-Results")).alias("auth"), T.select_body(texts).alias("body_text"), F.transform(F.filter("_p", lambda p: F.coalesce(p["filename"], F.lit("")) != ""), lambda p: p["filename"]).alias("attachment_names"),
+        F.col("id").alias("email_id"), F.col("threadId").alias("thread_id"), F.lit(source).alias("source"), header(h, "Subject").alias("subject"),
+        header(h, "From").alias("sender"), header(h, "Date").alias("date"), header(h, "Message-ID").alias("message_id"),
+        T.parse_auth_results(header(h, "Authentication-Results")).alias("auth"), T.select_body(texts).alias("body_text"),
+        F.transform(F.filter("parts", lambda p: ~blank(p)), lambda p: p["filename"]).alias("attachment_names"), "error",
     )
 
 
-EML = "path string, subject string, sender string, date string, message_id string, auth_header string, body_text string, attachments array<struct<att_idx:int,filename:string,content_type:string,data:binary>>"
+EML = "path string, subject string, sender string, date string, message_id string, auth_header string, body_text string, attachments array<struct<att_idx:int,filename:string,content_type:string,data:binary,skipped_reason:string>>, error string"
 
 
-def read_eml(spark: SparkSession, path: str, source: str = "yahoo") -> DataFrame:
-    """Mails from raw RFC 822 files; a file that is no mail gives a row of empty fields."""
+def _clean(value: object) -> str:
+    """Text without lone surrogates, which damaged headers can hold."""
+    return str(value or "").encode("utf-8", "replace").decode()
+
 
-    def one(name: str, raw: bytes) -> tuple:
-        m = email.message_from_bytes(raw or b"", policy=email.policy.default)
-        get = lambda k: str(m.get(k, "") or "")
+def _mail(name: str, raw: bytes) -> tuple:
+    """A row of EML; what is damaged is empty, with an error, and hides nothing else."""
+    m, errors = email.message_from_bytes(raw or b"", policy=email.policy.default), []
+
+    def attempt(what: str, f, default):
         try:
-            part = m.get_body(preferencelist=("plain", "html"))
-            body = part.get_content() if part is not None else ""
-            if part is not None and part.get_content_type() == "text/html":
-                body = "<html>" + body
-        except Exception:  # noqa: BLE001 - damaged mails are common among reports
-            body = ""
-        atts = []
-        for i, p in enumerate(m.iter_attachments() if m.is_multipart() else ()):
-            inner = p.get_content_type() == "message/rfc822"
-            data = p.get_payload()[0].as_bytes() if inner else p.get_payload(decode=True) or b""
-            atts.append({"att_idx": i, "filename": p.get_filename() or ("attached_message.eml" if inner else "unnamed_attachment"), "content_type": p.get_content_type(), "data": data})
-        return name, get("subject"), get("from"), get("date"), get("message-id"), get("authentication-results"), body, atts
+            return f()
+        except Exception as e:  # noqa: BLE001 - damaged mails are common among reports
+            errors.append(f"{what}: {type(e).__name__}")
+            return default
+
+    def body() -> str:
+        part = m.get_body(preferencelist=("plain", "html"))
+        text = _clean(part.get_content()) if part is not None else ""
+        return "<html>" + text if part is not None and part.get_content_type() == "text/html" else text
+
+    def attachment(i: int, p) -> dict:
+        inner = p.get_content_type() == "message/rfc822"
+        data = attempt("attachment", lambda: p.get_payload()[0].as_bytes() if inner else p.get_payload(decode=True) or b"", None)
+        filename = attempt("file name", p.get_filename, None) or ("attached_message.eml" if inner else "unnamed_attachment")
+        return {"att_idx": i, "filename": _clean(filename), "content_type": p.get_content_type(), "data": data, "skipped_reason": "could not be read" if data is None else ""}
+
+    heads = [attempt(k, lambda k=k: _clean(m.get(k)), "") for k in ("subject", "from", "date", "message-id", "authentication-results")]
+    text = attempt("body", body, "")
+    parts = attempt("parts", lambda: list(m.iter_attachments()) if m.is_multipart() else [], [])
+    return name, *heads, text, [attachment(i, p) for i, p in enumerate(parts)], "; ".join(errors) or None
+
+
+def read_eml(spark: SparkSession, path: str, source: str = "yahoo") -> DataFrame:
+    """Mails from raw RFC 822 files; a file that is no mail gives a row of empty fields, a damaged one says so in `error`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([one(r.path, r.content) for r in b.itertuples(index=False)], columns=["path", "subject", "sender", "date", "message_id", "auth_header", "body_text", "attachments"])
+            yield pd.DataFrame([_mail(r.path, r.content) for r in b.itertuples(index=False)], columns=["path", "subject", "sender", "date", "message_id", "auth_header", "body_text", "attachments", "error"])
 
     rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, EML)
     body = F.when(F.col("body_text").startswith("<html>"), T.html_to_text(F.substr("body_text", F.lit(7)))).otherwise(F.col("body_text"))
-    return rows.select(F.regexp_extract("path", "([^/]*)$", 1).alias("email_id"), F.lit(source).alias("source"), "subject", "sender", "date", "message_id", T.parse_auth_results(F.col("auth_header")).alias("auth"), body.alias("body_text"), "attachments")
+    return rows.select(
+        F.regexp_extract("path", "([^/]*)$", 1).alias("email_id"), F.lit(source).alias("source"), "subject", "sender", "date", "message_id",
+        T.parse_auth_results(F.col("auth_header")).alias("auth"), body.alias("body_text"), "attachments", "error",
+    )
 
 
 def read_attachments(spark: SparkSession, path: str) -> DataFrame:

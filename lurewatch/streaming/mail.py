@@ -18,8 +18,9 @@ def stream_emails(spark: SparkSession, path: str, schema: str, watermark: str =
     A row that lacks its id is kept, with an error, so that it can be tried again.
     """
     rows = spark.readStream.schema(schema).parquet(path).withWatermark("received_at", watermark)
-    once = rows.dropDuplicatesWithinWatermark(["source", "mailbox", "email_id"])
-    return once.withColumn("error", F.when(F.col("email_id").isNull(), "no id"))
+    once = rows.filter("email_id IS NOT NULL").dropDuplicatesWithinWatermark(["source", "mailbox", "email_id"])
+    without = rows.filter("email_id IS NULL")  # nulls are no common id: each row stays
+    return once.withColumn("error", F.lit(None).cast("string")).unionByName(without.withColumn("error", F.lit("no id")))
 
 
 def to_batches(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -39,13 +40,21 @@ def route_blocked(blocked_path: str, out: str) -> Callable[[DataFrame, int], Non
 
 
 def write_findings(out: str) -> Callable[[DataFrame, int], None]:
-    """Batch function: findings and planned actions; a batch that runs again replaces what it wrote."""
+    """Batch function: findings, planned actions and new block-list rows; a batch that runs again replaces what it wrote.
+
+    Block-list rows (address, source, mailbox, finding_id, created_at) are merged by findings.blocked_upsert().
+    """
+    from lurewatch.functions.text import sender_address
     from lurewatch.operators.policy import plan_auto_actions
 
     def each(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/findings/batch={n}")
         written = batch.sparkSession.read.parquet(f"{out}/findings/batch={n}")
         plan_auto_actions(written).write.mode("overwrite").parquet(f"{out}/actions/batch={n}")
+        planned = batch.sparkSession.read.parquet(f"{out}/actions/batch={n}")
+        to_block = written.join(planned.filter("action = 'block'").select("id"), "id", "left_semi")
+        blocks = to_block.select(sender_address(F.col("sender")).alias("address"), "source", "mailbox", F.col("id").alias("finding_id"), F.col("processed_at").alias("created_at"))
+        blocks.filter("address <> ''").write.mode("overwrite").parquet(f"{out}/blocked/batch={n}")
 
     return each
 
@@ -81,4 +90,5 @@ def stream_mail_state(actions: DataFrame) -> DataFrame:
 
 
 def stream_verdict_stats(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+    """Live counts per verdict and in all, as FO.verdict_stats() has them: deleted rows do not count."""
+    return FO.verdict_stats(findings)

@@ -1,9 +1,10 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from lurewatch.jobs import views as V
-from lurewatch.operators import policy
+from lurewatch.operators import findings, policy
 from lurewatch.sources import messages
 from lurewatch.streaming import mail
 
@@ -20,14 +21,14 @@ def test_mail_state_equals_batch(spark, sf_dir, tmp_path):
 
 def test_once_and_routing(spark, tmp_path):
     schema = "source string, mailbox string, email_id string, sender_address string, received_at timestamp"
-    rows = [("a", "m", "1", "x@y.z"), ("a", "m", "1", "x@y.z"), ("a", "m", "2", "ok@y.z"), ("a", "m", None, "ok@y.z")]
+    rows = [("a", "m", "1", "x@y.z"), ("a", "m", "1", "x@y.z"), ("a", "m", "2", "ok@y.z"), ("a", "m", None, "ok@y.z"), ("a", "m", None, "ok@y.z")]
     df = spark.createDataFrame(rows, "source string, mailbox string, email_id string, sender_address string").withColumn("received_at", F.lit("2024-01-01").cast("timestamp"))
     df.write.parquet(f"{tmp_path}/in")
     spark.createDataFrame([("X@y.z",)], "address string").write.parquet(f"{tmp_path}/blocked")
     stream = mail.stream_emails(spark, f"{tmp_path}/in", schema)
     mail.to_batches(stream, f"{tmp_path}/cp", mail.route_blocked(f"{tmp_path}/blocked", f"{tmp_path}/out")).awaitTermination(120)
     assert [r["email_id"] for r in spark.read.parquet(f"{tmp_path}/out/blocked").collect()] == ["1"]
-    assert sorted((r["email_id"] or "", r["error"] or "") for r in spark.read.parquet(f"{tmp_path}/out/analyse").collect()) == [("", "no id"), ("2", "")]
+    assert sorted((r["email_id"] or "", r["error"] or "") for r in spark.read.parquet(f"{tmp_path}/out/analyse").collect()) == [("", "no id"), ("", "no id"), ("2", "")]
 
 
 def test_findings_and_counts(spark, sf_dir, tmp_path):
@@ -39,7 +40,33 @@ def test_findings_and_counts(spark, sf_dir, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/actions").count() == policy.plan_auto_actions(f).count()
     q = mail.stream_verdict_stats(stream).writeStream.outputMode("complete").format("memory").queryName("stats").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp2").start()
     q.awaitTermination(120)
-    assert {r["verdict"]: r["n"] for r in spark.table("stats").collect()} == {r["verdict"]: r["count"] for r in f.groupBy("verdict").count().collect()}
+    assert [r.asDict() for r in spark.table("stats").collect()] == [r.asDict() for r in findings.verdict_stats(f).collect()]
+    blocked = spark.read.parquet(f"{tmp_path}/out/blocked")
+    assert blocked.count() == policy.plan_auto_actions(f).filter("action = 'block'").count() > 0
+
+
+def test_damaged_mails_never_end_a_read(spark, tmp_path):
+    whole = b"From: a@b.c\nSubject: =?utf-8?q?S=C3=A9?=\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=B\n\n--B\nContent-Type: text/plain\n\nbody\n--B\nContent-Type: message/rfc822\n\nSubject: in\n\n\xc3\xa9\xff inner\n--B\nContent-Type: application/octet-stream; name=x\nContent-Transfer-Encoding: base64\nContent-Disposition: attachment\n\neHg=\n--B--\n"
+    rng = random.Random(7)
+    (tmp_path / "e").mkdir()
+    for i in range(300):
+        raw = bytearray(whole)
+        for _ in range(rng.randrange(0, 9)):
+            raw[rng.randrange(len(raw))] = rng.randrange(256)
+        (tmp_path / "e" / f"{i}.eml").write_bytes(bytes(raw))
+    rows = messages.read_eml(spark, f"{tmp_path}/e").collect()
+    assert len(rows) == 300 and sum(len(r["attachments"]) for r in rows) > 300
+
+
+def test_parts_at_any_depth(spark, tmp_path):
+    part = {"mimeType": "text/plain", "body": {"data": "aGVsbG8"}}
+    for _ in range(40):
+        part = {"mimeType": "multipart/mixed", "parts": [part, {"filename": "deep.pdf"}]}
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.json").write_text(json.dumps({"id": "1", "payload": part}) + "\nno message\n" + json.dumps({"id": "2", "payload": {"parts": 7}}))
+    got = messages.read_messages_json(spark, f"{tmp_path}/m").collect()
+    good = [r for r in got if r["error"] is None]
+    assert [(r["body_text"], len(r["attachment_names"])) for r in good] == [("hello", 40)] and len(got) == 3
 
 
 def test_readers(spark, tmp_path):
