@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from lurewatch.functions import attachments as A
+from lurewatch.sources.scratch import written
 
 MAX_FILES, MAX_TOTAL, MAX_MEMBER, MAX_UNPACKED = 10, 60 << 20, 10 << 20, 50 << 20
 MAX_LISTED, MAX_DEPTH, MAX_RATIO, MAX_LOOKUPS = 50, 2, 1000, 5
@@ -194,6 +195,7 @@ def analyze_nested(files: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
         m = expand(level)
         path = F.concat_ws("/", "parent_path", F.lpad(F.col("idx").cast("string"), 3, "0"))
         level = m.select("email_id", path.alias("file_path"), F.lit(d).alias("depth"), "name", F.when(F.col("data").isNotNull(), kind).otherwise("unknown").alias("kind"), "size", "data", "reason")
+        level = written(level, "members")  # an archive is opened once, however often its members are read
         out.append(level)
     every = out[0]
     for x in out[1:]:
