@@ -109,7 +109,7 @@ def spell(rows: DataFrame, keys: list[str], path: str) -> DataFrame:
 def spelt_table(words: DataFrame, path: str) -> DataFrame:
     """word, n, h (hash), ids of a word table and spelt: what the ids decode to, null where that is the word itself.
 
-    A word's ids stay where the word was counted, so the join with the pieces shuffles nothing.
+    The pieces of a word come together again in one shuffle of the table of distinct words.
     """
     rows = spell(words, ["word", "n"], path)
     return rows.select("word", "n", F.xxhash64("word").alias("h"), "ids", F.when(F.lower(F.hex(F.encode("word", "UTF-8"))) != F.col("data"), F.unhex("data")).alias("spelt"))
@@ -127,7 +127,7 @@ class _Table:
             none = np.zeros(len(h), np.int64)
             return none.astype(bool), none, none
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        first = np.where(at > 0, self.ends[at - 1], 0)
+        first = np.where(at > 0, self.ends[at - 1], 0).astype(np.int64)
         hit = self.h[at] == h
         return hit, np.where(hit, first, 0), np.where(hit, self.ends[at] - first, 0)
 
@@ -165,13 +165,15 @@ def _hot(words: DataFrame, most: int) -> tuple[_Table, int, int]:
     ids = ids.take(pa.array(order)) if len(order) else ids
     ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
     ends = np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False)).astype(np.int64) if len(order) else np.zeros(0, np.int64)
-    return _Table(h[order], ends, pc.list_flatten(ids).to_numpy().astype(np.uint16)), least, odd
+    return _Table(h[order], ends.astype(np.uint32), pc.list_flatten(ids).to_numpy().astype(np.uint16)), least, odd
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of data laid end to end, and where each of them ends."""
     ends = np.cumsum(sizes)
-    return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)], ends
+    total = int(ends[-1]) if len(ends) else 0
+    narrow = np.int32 if max(total, len(data)) < 1 << 31 else np.int64  # index arrays are the largest of all
+    return data[np.arange(total, dtype=narrow) + np.repeat((starts - (ends - sizes)).astype(narrow), sizes)], ends
 
 
 def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES, with_ids: bool = True) -> DataFrame:
@@ -206,8 +208,8 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                yield one(whole.slice(start, 512))
+            for start in range(0, whole.num_rows, 256):
+                yield one(whole.slice(start, 256))
 
     def others(words: list[str], rare: pa.Array) -> list[tuple[list[int], bytes | None]]:
         """Ids, and decoded bytes where they are not the word's own, of words that the table lacks."""
