@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,30 +44,67 @@ def features(text: str | None) -> dict[str, float]:
     return {k: math.log1p(n) for k, n in out.items()}
 
 
+@dataclass(frozen=True)
+class _Flat:
+    """Sparse rows in flat arrays, a few bytes an entry, so that the labelled sample stays small in the driver."""
+
+    names: list[str]
+    row: np.ndarray
+    col: np.ndarray
+    value: np.ndarray
+    n_rows: int
+
+    def per_name(self, of_rows: np.ndarray | None = None) -> np.ndarray:
+        """In how many of the rows each name is found."""
+        return np.bincount(self.col if of_rows is None else self.col[of_rows[self.row]], minlength=len(self.names))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.col], self.n_rows)
+
+    def transposed_times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.value * v[self.row], len(self.names))
+
+    def only(self, names: list[str]) -> _Flat:
+        """The columns of these names, in their order."""
+        place = {k: i for i, k in enumerate(names)}
+        new = np.array([place.get(k, -1) for k in self.names], np.int32)[self.col]
+        kept = new >= 0
+        return _Flat(names, self.row[kept], new[kept], self.value[kept], self.n_rows)
+
+
+def _flat(rows: Iterable[Mapping[str, float]]) -> _Flat:
+    at: dict[str, int] = {}
+    col, value, size = array("i"), array("f"), array("i")
+    for row in rows:
+        col.extend(at.setdefault(k, len(at)) for k in row)
+        value.extend(row.values())
+        size.append(len(row))
+    sizes = np.frombuffer(size, np.int32) if size else np.zeros(0, np.int32)
+    whole = [np.frombuffer(x, t) if x else np.zeros(0, t) for x, t in ((col, np.int32), (value, np.float32))]
+    return _Flat(list(at), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), *whole, len(sizes))
+
+
 def fit_grades(texts: list[str], grades: np.ndarray) -> Model:
     """Weights shared by ordered thresholds: P(grade > k) = logistic(weights . x - threshold k)."""
-    rows = [features(t) for t in texts]
-    found, toxic = Counter(k for x in rows for k in x), Counter(k for x, g in zip(rows, grades, strict=True) if g for k in x)
+    rows = _flat(features(t) for t in texts)
+    found, toxic = rows.per_name(), rows.per_name(grades > 0)
     share = (grades > 0).mean() if len(grades) else 0.0
-    lean = {k: (toxic[k] - n * share) / np.sqrt(n) for k, n in found.items() if n >= LEAST_DOCS and toxic[k] > n * share}
+    leaning = np.flatnonzero((found >= LEAST_DOCS) & (toxic > found * share))
+    lean = {rows.names[i]: (toxic[i] - found[i] * share) / np.sqrt(found[i]) for i in leaning}
     names = sorted(lean, key=lambda k: (-lean[k], k))[:FEATURES]
     if not names or not 0 < share < 1:
         return Model({}, tuple(4.0 + k for k in range(GRADES - 1)))
-    at = {k: i for i, k in enumerate(names)}
-    x = np.zeros((len(rows), len(names)), np.float32)
-    for i, row in enumerate(rows):
-        for k, v in row.items():
-            if k in at:
-                x[i, at[k]] = v
-    above = np.stack([grades > k for k in range(GRADES - 1)], 1).astype(np.float32)
-    w, start, gaps = np.zeros(len(names), np.float32), np.float32(1.0), np.zeros(GRADES - 2, np.float32)
+    x = rows.only(names)
+    del rows
+    above = np.stack([grades > k for k in range(GRADES - 1)], 1)
+    w, start, gaps = np.zeros(len(names)), 1.0, np.zeros(GRADES - 2)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, start, gaps)]
     for step in range(1, 301):
-        theta = start + np.concatenate([[0], np.cumsum(np.exp(gaps))]).astype(np.float32)
-        p = 1 / (1 + np.exp(-np.clip((x @ w)[:, None] - theta, -30, 30)))
-        error = (p - above) / len(rows)
+        theta = start + np.concatenate([[0], np.cumsum(np.exp(gaps))])
+        p = 1 / (1 + np.exp(-np.clip(x.times(w)[:, None] - theta, -30, 30)))
+        error = (p - above) / x.n_rows
         to_theta = -error.sum(0)
-        grads = [x.T @ error.sum(1) + RIDGE * w, to_theta.sum(), np.array([to_theta[j + 1 :].sum() * np.exp(gaps[j]) for j in range(GRADES - 2)], np.float32)]
+        grads = [x.transposed_times(error.sum(1)) + RIDGE * w, to_theta.sum(), np.array([to_theta[j + 1 :].sum() * np.exp(gaps[j]) for j in range(GRADES - 2)])]
         moves = []
         for (m, v), g in zip(state, grads, strict=True):
             m[...], v[...] = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -86,10 +124,10 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
     sample = labelled_sample(labelled, text, label, key, MAX_ROWS, MAX_CHARS)
     texts, y = [t for t, _, _ in sample], np.array([of for _, of, _ in sample], int)
     if len(set(y)) == 2:
-        words = [Counter(_WORD.findall(t.lower())) for t in texts]
-        found, toxic = Counter(k for c in words for k in c), Counter(k for c, g in zip(words, y, strict=True) if g for k in c)
-        leaning = {k for k, n in found.items() if toxic[k] > 0.9 * n}
-        share = np.array([sum(n for k, n in c.items() if k in leaning) / max(1, sum(c.values())) for c in words])
+        words = _flat(Counter(_WORD.findall(t.lower())) for t in texts)
+        leaning = words.per_name(y == 1) > 0.9 * words.per_name()
+        share = words.times(leaning.astype(float)) / np.maximum(1, words.times(np.ones(len(words.names))))
+        del words
         y = y + ((y == 1) & (share > np.median(share[y == 1])))
     return fit_grades(texts, y)
 
@@ -130,9 +168,13 @@ def severity(text: Column, model: Model) -> Column:
 
 
 def grade(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds severity, p_toxic, grade and toxic (p_toxic of CUT or more) to every row; empty in, empty out."""
-    out = docs.withColumn("_s", severity(F.col(text), model))
-    return out.withColumns({c: F.col(f"_s.{c}") for c in ("severity", "p_toxic", "grade")}).withColumn("toxic", F.col("p_toxic") >= CUT).drop("_s")
+    """Adds severity, p_toxic, grade and toxic (p_toxic of CUT or more) to every row; empty in, empty out.
+
+    Columns of these four names in the input are replaced, all others stay.
+    """
+    own = "_s" + "_" * max(map(len, docs.columns))  # no column has so long a name
+    out = docs.withColumn(own, severity(F.col(text), model))
+    return out.withColumns({c: F.col(f"{own}.{c}") for c in ("severity", "p_toxic", "grade")}).withColumn("toxic", F.col("p_toxic") >= CUT).drop(own)
 
 
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

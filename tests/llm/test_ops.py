@@ -220,6 +220,35 @@ def test_toxicity_held_out(spark):
     assert toxicity.grade(empty_docs(spark), toxicity.fit(rows.filter("false"))).count() == 0
 
 
+def test_grades_are_ordered_by_planted_severity():
+    """Words of three strengths: shared weights and rising thresholds put the texts in order."""
+    rng = np.random.default_rng(11)
+    plain, mild, harsh = ([f"{c}{i}" for i in range(40)] for c in ("plain", "mild", "harsh"))
+    texts, grades = [], []
+    for i in range(900):
+        g = i % 3
+        extra = {0: [], 1: rng.choice(mild, 4), 2: [*rng.choice(mild, 4), *rng.choice(harsh, 6)]}[g]
+        texts.append(" ".join([*rng.choice(plain, 30), *extra]))
+        grades.append(g)
+    model = toxicity.fit_grades(texts[:600], np.array(grades[:600]))
+    assert len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1]
+
+    def expected(t):
+        z = sum(model.weights.get(k, 0.0) * v for k, v in toxicity.features(t).items())
+        return sum(1 / (1 + math.exp(x - z)) for x in model.thresholds)
+
+    by = [[expected(t) for t, g in zip(texts[600:], grades[600:], strict=True) if g == k] for k in range(3)]
+    assert np.mean(by[0]) < 0.5 < np.mean(by[1]) < 1.5 < np.mean(by[2])
+    assert np.mean([x < y for x in by[1] for y in by[2]]) > 0.95
+
+
+def test_toxicity_keeps_columns_of_helper_names(spark):
+    model = toxicity.Model({"bad": 3.0}, (1.0, 2.0))
+    df = spark.createDataFrame([(1, "bad bad", 7, 8), (2, None, 7, 8)], "doc_id long, text string, _s long, severity long")
+    got = {r["doc_id"]: r for r in toxicity.grade(df, model).collect()}
+    assert got[1]["_s"] == got[2]["_s"] == 7 and got[1]["severity"] > got[2]["severity"] and got[1]["toxic"] and not got[2]["toxic"]
+
+
 # --- packing ---
 
 
@@ -236,25 +265,16 @@ def test_best_fit_brute_force():
     rng = np.random.default_rng(3)
     sizes = sorted(rng.integers(0, 60, 400).tolist(), reverse=True)
     sources, clusters = rng.integers(0, 7, 400).tolist(), rng.integers(0, 250, 400).tolist()
-    room, held, want = [], [], []
-    for n, s, c in zip(sizes, sources, clusters, strict=True):
-        fits = [b for b in range(len(room)) if room[b] >= n and s not in held[b][0] and c not in held[b][1]]
-        tight = min((room[b] for b in fits), default=None)
-        want.append(tight)
-        b = next((b for b in fits if room[b] == tight), len(room))
-        if b == len(room):
-            room.append(100)
-            held.append((set(), set()))
-        room[b] -= n
-        held[b][0].add(s)
-        held[b][1].add(c)
     bins = packing.best_fit(sizes, sources, clusters, 100)
-    left, seen = collections.defaultdict(lambda: 100), collections.defaultdict(set)
+    room, held = {}, {}
     for b, n, s, c in zip(bins, sizes, sources, clusters, strict=True):
-        assert left[b] >= n and ("s", s) not in seen[b] and ("c", c) not in seen[b]
-        left[b] -= n
-        seen[b] |= {("s", s), ("c", c)}
-    assert len(set(bins)) <= 1.05 * len(room)
+        fits = [room[k] for k in room if room[k] >= n and s not in held[k][0] and c not in held[k][1]]
+        # The tightest compatible bin, and a new one only where none is compatible.
+        assert (b in room and room[b] == min(fits) and s not in held[b][0] and c not in held[b][1]) if fits else b not in room
+        room[b] = room.get(b, 100) - n
+        held.setdefault(b, (set(), set()))
+        held[b][0].add(s)
+        held[b][1].add(c)
 
 
 def test_packing_whole(spark):
