@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.ml import Pipeline
+import csv
+from importlib.resources import files
+from importlib.resources.abc import Traversable
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -16,16 +19,15 @@ from lurewatch.llm.common import ascii_lower, table
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 #: Lengths of the n-grams, buckets of the feature hash, and the most labelled URLs that a fit takes.
 GRAMS, BUCKETS, MAX_LABELLED = (3, 4, 5), 1 << 14, 10_000
-#: A small labelled table: words of hosts that carry junk, and of hosts that carry prose.
-BLOCK_WORDS = "spam-farm cheap-pills casino-win free-bets adult-x ads-track".split()
-ALLOW_WORDS = "theran thister ouneaing library herald notes-team city-museum tionreads weather-desk open-atlas thinor estand".split()
-SUBDOMAINS = ("", "www.", "m.", "blog.")
+#: A small labelled table (url, label; 1: block): junk such as betting, pills, adult, click tracking, link farms, scams, and
+#: sites that carry prose. Half of it each.
+LABELLED = files(__package__) / "labelled_urls.csv"
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table: url, label (1.0: block)."""
-    rows = [(f"https://{sub}{word}.example.{('com', 'net', 'org')[i % 3]}/{('en', 'de', 'fr', 'es')[(i + k) % 4]}/{100 * i + k}", float(words is BLOCK_WORDS)) for words in (BLOCK_WORDS, ALLOW_WORDS) for i, word in enumerate(words) for k, sub in enumerate(SUBDOMAINS)]
-    return spark.createDataFrame(rows, "url string, label double")
+def labelled_urls(spark: SparkSession, file: Traversable = LABELLED) -> DataFrame:
+    """The labelled table that comes with the library, or one like it: url, label (1.0: block)."""
+    with file.open(encoding="utf-8", newline="") as rows:
+        return spark.createDataFrame([(r["url"], float(r["label"])) for r in csv.DictReader(rows)], "url string, label double")
 
 
 def host(url: Column) -> Column:

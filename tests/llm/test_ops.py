@@ -195,10 +195,28 @@ def test_url_rules(spark):
     assert all(r["verdict"] in ("allow", "block") for r in got.values())
 
 
+JUNK = """mega-casino-night.top/bonus/claim slots-free-play.biz/jackpot cheap-meds-store.info/buy/pills xxx-dating-club.live/adult
+ads.popup-traffic.biz/click/redirect loan-cash-today.top/apply-now download-keygen-free.info/crack winner-prize-today.club/claim
+buy-cheap-replica.top/sale double-your-bitcoin.biz/earn secure-verify-login.top/account/confirm free-followers-bot.info/buy"""
+PROSE = """orchard-society.org/articles/apple-trees harbour-news.com/local/council old-maps.org/collections/atlas teaching-notes.edu/lectures/algebra
+public-health.gov/advice/measles village-history.org/records/1850 walking-guide.net/trails/coast recipe-journal.net/bread/rye
+music-review.org/concerts/spring river-agency.gov/reports/levels novel-readers.com/reviews/fiction field-botany.org/species/fern"""
+
+
 def test_url_model_held_out(spark):
-    rows = [(f"http://{sub}{w}.example.org/de/{i}", int(w in url_filter.BLOCK_WORDS)) for i, sub in enumerate(("shop.", "news.", "old.")) for w in (*url_filter.BLOCK_WORDS, "tionsh", "ththe", "garden", "railway")]
-    out = url_filter.judge(spark.createDataFrame(rows, "url string, label int"), url_filter.fit(url_filter.labelled_urls(spark))).collect()
-    assert np.mean([(r["verdict"] == "block") == bool(r["label"]) for r in out]) > 0.9
+    """Words of hosts that the labelled table lacks; and the model's numbers are those of its formula."""
+    rows = [(f"https://{u}", y) for text, y in ((JUNK, 1), (PROSE, 0)) for u in text.split()]
+    table_of = url_filter.LABELLED.read_text()
+    assert not any(u.split("/")[0] in table_of for u, _ in ((r[0][8:], r[1]) for r in rows))
+    model = url_filter.fit(url_filter.labelled_urls(spark))
+    out = url_filter.judge(spark.createDataFrame(rows, "url string, label int"), model, rules=()).collect()
+    assert np.mean([(r["verdict"] == "block") == bool(r["label"]) for r in out]) > 0.8
+    weights, start = model.stages[1].coefficients.toArray(), model.stages[1].intercept
+    hashed = model.stages[0]
+    for r in out:
+        text = f"^{r['host']}|{r['path']}$"
+        found = {hashed.indexOf(text[i : i + n]) for n in url_filter.GRAMS for i in range(len(text) - n + 1)}
+        assert np.isclose(r["block_probability"], 1 / (1 + math.exp(-(start + sum(weights[k] for k in found)))))
 
 
 # --- toxicity ---
