@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -75,6 +76,24 @@ def test_classifier_held_out(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
 
 
+def test_classifier_score_is_its_formula(spark):
+    d = "/root/testdata/sf0.001"
+    model = quality_classifier.fit(quality_classifier.training_rows(spark, d))
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+
+    def size(data, dictionary):
+        more = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+        packer = zstandard.ZstdCompressor(level=3, write_content_size=False, write_dict_id=False, **more)
+        return sum(len(packer.compress(data[i : i + 512])) for i in range(0, len(data), 512))
+
+    for r in quality_classifier.op2_quality_classifier(spark, d).collect():
+        data = (texts[r["doc_id"]] or "").encode()
+        good, bad, plain = size(data, model.good), size(data, model.bad), size(data, None)
+        x = (1, (bad - good) / (bad + good), plain / len(data)) if data else (1, 0, 1)
+        assert np.isclose(r["score"], 1 / (1 + math.exp(-sum(w * v for w, v in zip(model.weights, x, strict=True)))))
+        assert r["predicted"] == (r["score"] >= 0.5)
+
+
 def test_classifier_odd_rows(spark):
     labelled = spark.createDataFrame([(i, f"good words number {i} " * 9 if i % 2 else f"#$ {i} %% " * 30, i % 2) for i in range(200)], "doc_id long, text string, quality int")
     model = quality_classifier.fit(labelled)
