@@ -158,6 +158,21 @@ def read_reputation(spark: SparkSession, d: str) -> DataFrame:
     return enrich.read_reputation(raw, "reputation").select("indicator", "found", "malicious", "harmless", "threat_label")
 
 
+@query("""WITH l AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'https://campaign.example/' ELSE 'https://h' || user_id || '.example/' || event_id % 4 END AS url FROM events),
+feed AS (SELECT 'https://h' || o_custkey || '.example/' || o_orderkey % 4 AS url, max(o_orderkey % 6) AS malicious FROM orders GROUP BY 1 UNION ALL SELECT 'https://campaign.example/', 5)
+SELECT event_id, url, feed.url IS NOT NULL AS found, malicious::INT AS malicious FROM l LEFT JOIN feed USING (url)""")
+def enrich_hot(spark: SparkSession, d: str) -> DataFrame:
+    """Look-ups of events, a third of which name one campaign's URL, in a feed of other URLs mostly."""
+    e, o = V.table(spark, d, "events"), V.table(spark, d, "orders")
+    url = lambda host, page: F.concat(F.lit("https://h"), F.col(host).cast("string"), F.lit(".example/"), (F.col(page) % 4).cast("string"))
+    campaign = F.lit("https://campaign.example/")
+    long = e.select(F.col("event_id").alias("email_id"), F.lit("urls").alias("kind"), F.lit(0).alias("pos"), F.when(F.col("event_id") % 3 == 0, campaign).otherwise(url("user_id", "event_id")).alias("indicator"))
+    feed = o.groupBy(url("o_custkey", "o_orderkey").alias("indicator")).agg(F.max(F.col("o_orderkey") % 6).cast("int").alias("malicious"))
+    feed = feed.unionByName(spark.range(1).select(campaign.alias("indicator"), F.lit(5).alias("malicious")))
+    out = enrich.enrich_long(long, feed.select(F.lit("urls").alias("kind"), "indicator", F.lit(True).alias("found"), "malicious"))
+    return out.select(F.col("email_id").alias("event_id"), F.col("indicator").alias("url"), "found", "malicious")
+
+
 # --- readers, writers, tables ---
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lurewatch.operators import skew
+from lurewatch.sources.scratch import written
+
 KINDS = ("urls", "domains", "ips", "hashes")
 #: Look-ups per mail and kind; URLs that also get a scan.
 PER_KIND, SCANNED = 5, 2
@@ -23,12 +26,35 @@ def distinct_iocs(long: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return out.join(known, ["kind", "indicator"], "left_anti") if known is not None else out
 
 
-def enrich_long(long: DataFrame, reputation: DataFrame) -> DataFrame:
-    """Adds the feed's columns to each indicator; one the feed lacks has found = false. A feed has a row per indicator.
+def look_ups(known: DataFrame, about: int, reputation: DataFrame, ip_abuse: DataFrame | None = None, url_scan: DataFrame | None = None) -> DataFrame:
+    """kind, indicator and what the feeds know, a row for each distinct indicator. Each feed has a row per indicator.
 
-    A campaign's URL may stand in very many mails: the hot side of the join stays splittable.
+    A feed may be far larger than the batch: it is cut to what the batch may ask for (see skew.prefilter()) before it
+    is shuffled. about: number of indicators, as a guess.
     """
-    return long.join(reputation, ["kind", "indicator"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    keys = ["kind", "indicator"]
+    out = known.join(skew.prefilter(reputation, known, keys, about), keys, "left")
+    if ip_abuse is not None:
+        abuse = ip_abuse.select(F.lit("ips").alias("kind"), F.col("ip").alias("indicator"), F.struct("*").alias("abuse"))
+        out = out.join(skew.prefilter(abuse, known, keys, about), keys, "left")
+    if url_scan is not None:
+        scan = url_scan.select(F.lit("urls").alias("kind"), F.col("url").alias("indicator"), F.struct("*").alias("scan"))
+        out = out.join(skew.prefilter(scan, known, keys, about), keys, "left")
+    return out.withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def enrich_long(long: DataFrame, reputation: DataFrame, ip_abuse: DataFrame | None = None, url_scan: DataFrame | None = None) -> DataFrame:
+    """Adds the feeds' columns to each indicator (struct columns abuse and scan for the other two feeds); one that the feed lacks has found = false.
+
+    Feeds are met once for each distinct indicator, and the results come back to the mails. A campaign's URL may stand
+    in very many mails: indicators of a large share of all look-ups are found by a sketch and their rows are not
+    shuffled. Reads `long` several times: hand in a written table.
+    """
+    keys = ["kind", "indicator"]
+    profile = skew.Profile(long, keys)
+    found = look_ups(distinct_iocs(long), profile.distinct, reputation, ip_abuse, url_scan)
+    out = skew.join_keyed(long, found, profile).withColumn("found", F.coalesce("found", F.lit(False)))
+    return out if url_scan is None else out.withColumn("scan", F.when(F.col("pos") < SCANNED, F.col("scan")))
 
 
 def enrich_mails(mails: DataFrame, reputation: DataFrame, ip_abuse: DataFrame | None = None, url_scan: DataFrame | None = None, long: DataFrame | None = None) -> DataFrame:
@@ -36,12 +62,7 @@ def enrich_mails(mails: DataFrame, reputation: DataFrame, ip_abuse: DataFrame |
 
     long: the mails' indicators (see explode_iocs()), where they are at hand already.
     """
-    rows = enrich_long(explode_iocs(mails) if long is None else long, reputation)
-    if ip_abuse is not None:
-        rows = rows.join(ip_abuse.select(F.lit("ips").alias("kind"), F.col("ip").alias("indicator"), F.struct("*").alias("abuse")), ["kind", "indicator"], "left")
-    if url_scan is not None:
-        scan = url_scan.select(F.lit("urls").alias("kind"), F.col("url").alias("indicator"), F.struct("*").alias("scan"))
-        rows = rows.join(scan, ["kind", "indicator"], "left").withColumn("scan", F.when(F.col("pos") < SCANNED, F.col("scan")))
+    rows = enrich_long(written(explode_iocs(mails), "long") if long is None else long, reputation, ip_abuse, url_scan)
     value = F.struct(*[c for c in rows.columns if c not in ("email_id", "kind", "pos", "indicator")])
     maps = [F.map_from_entries(F.collect_list(F.when(F.col("kind") == k, F.struct("indicator", value.alias("value"))))).alias(k) for k in KINDS]
     grouped = rows.groupBy("email_id").agg(*maps)
