@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurewatch.functions import attachments as A
 from lurewatch.functions import text as T
 from lurewatch.jobs import views as V
 from lurewatch.jobs.queries import _ADM, _KIND, _LONG, _admitted, query
-from lurewatch.operators import enrich, files, findings, report
+from lurewatch.operators import enrich, files, findings, policy, report
 from lurewatch.sources import messages
 from lurewatch.sources.scratch import scratch, written
 from lurewatch.streaming import mail
+from lurewatch.streaming.commits import CommitLog
 
 # --- attachments ---
 
@@ -259,23 +260,107 @@ def stream_route_blocked(spark: SparkSession, d: str) -> DataFrame:
     return read("blocked").select("email_id", F.lit(True).alias("bypassed")).unionByName(read("analyse").select("email_id", F.lit(False).alias("bypassed")))
 
 
-@query(f"""WITH {V.FINDINGS}, h AS (SELECT * FROM f WHERE confidence = 'high'),
-t AS (SELECT id, sender_address, CASE WHEN verdict = 'malicious' OR verdict = 'suspicious' AND category IN ('phishing', 'malware', 'scam') THEN 'block' WHEN category = 'spam' THEN 'spam' END AS a FROM h)
-SELECT (SELECT count(*) FROM f) AS n_findings, count_if(a = 'spam') AS n_spam, count_if(a = 'block') AS n_block, count(DISTINCT sender_address) FILTER (a = 'block') AS n_addresses FROM t""")
+#: Entries of the never-block list in the stream queries: a domain and an address.
+_NEVER = ("@d3.example", "S5@d5.example")
+_OUTCOMES = f"""{V.FINDINGS}, t AS (
+  SELECT *, CASE WHEN verdict = 'malicious' OR verdict = 'suspicious' AND category IN ('phishing', 'malware', 'scam') THEN 'block' WHEN category = 'spam' THEN 'spam' END AS a,
+    CASE WHEN sender_address = lower(mailbox) THEN 'own address' WHEN ends_with(sender_address, '@d3.example') OR sender_address = 's5@d5.example' THEN 'protected address'
+         WHEN dmarc = 'fail' OR spf = 'fail' AND dkim = 'fail' THEN 'sender looks forged' ELSE '' END AS why FROM f WHERE confidence = 'high')"""
+
+
+@query(f"""WITH {_OUTCOMES}
+SELECT 'findings' AS part, id, NULL::INT AS step, NULL AS action, NULL::INT AS success, NULL AS said FROM f
+UNION ALL SELECT 'actions', id, 0, CASE WHEN a = 'spam' THEN 'spam' ELSE 'trash' END, 1, 'planned ' || CASE WHEN a = 'spam' THEN 'spam' ELSE 'trash' END FROM t WHERE a IS NOT NULL
+UNION ALL SELECT 'actions', id, 1, 'block', (why = '')::INT, CASE WHEN why = '' THEN 'planned block' ELSE 'not blocked: ' || why END FROM t WHERE a = 'block'
+UNION ALL SELECT 'blocked', id, NULL, NULL, NULL, sender_address FROM t WHERE a = 'block' AND why = ''""")
 def stream_findings(spark: SparkSession, d: str) -> DataFrame:
-    """Findings, their planned actions and new block-list rows as a stream writes them."""
-    stream, path = _stream(spark, V.findings(spark, d), "findings")
-    mail.to_batches(stream, f"{path}/checkpoint", mail.write_findings(f"{path}/out")).awaitTermination()
-    read = lambda part: spark.read.parquet(f"{path}/out/{part}")
-    acts = read("actions").agg(F.count_if(F.col("action") == "spam").alias("n_spam"), F.count_if(F.col("action") == "block").alias("n_block"))
-    history = read("blocked").select("address", "source", "mailbox", "finding_id", "created_at", F.col("finding_id").alias("seq"), F.lit(None).cast("string").alias("filter_id"))
-    blocks = findings.blocked_upsert(history).agg(F.count(F.lit(1)).alias("n_addresses"))
-    return read("findings").agg(F.count(F.lit(1)).alias("n_findings")).join(acts, F.lit(True)).join(blocks, F.lit(True))
+    """Findings, actions and new block-list rows as a stream of three batches and a restart commits them, as rows."""
+    f, path = V.findings(spark, d), scratch(spark, "findings")
+    never = spark.createDataFrame([(x,) for x in _NEVER], "entry string")
+    stream = lambda: spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    for parts in ((0, 1), (2,)):
+        for k in parts:
+            f.filter(F.pmod(F.hash("id"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        mail.to_batches(stream(), f"{path}/checkpoint", mail.write_findings(f"{path}/out", never)).awaitTermination()
+    log, no = CommitLog(spark, f"{path}/out"), lambda kind: F.lit(None).cast(kind)
+    rows = log.read("findings").select(F.lit("findings").alias("part"), "id", no("int").alias("step"), no("string").alias("action"), no("int").alias("success"), no("string").alias("said"))
+    rows = rows.unionAll(log.read("actions").select(F.lit("actions"), "finding_id", "step", "action", "success", "message"))
+    return rows.unionAll(log.read("blocked").select(F.lit("blocked"), "finding_id", no("int"), no("string"), no("int"), "address"))
+
+
+_TURNS = """e AS (SELECT event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'hot@x.example' ELSE 'u' || user_id || '@x.example' END AS address,
+  event_type = 'error' AS blocks, event_type = 'purchase' AS unblocks, CASE WHEN event_type <> 'purchase' THEN 'm' || event_id END AS mail_id FROM events)"""
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    """Events as mails and changes of the block list in one order; a third of them concern one sender."""
+    e = V.table(spark, d, "events")
+    address = F.when(F.col("event_id") % 3 == 0, "hot@x.example").otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@x.example")))
+    mail_id = F.when(F.col("event_type") != "purchase", F.concat(F.lit("m"), F.col("event_id").cast("string")))
+    return e.select(address.alias("address"), F.col("event_id").alias("seq"), mail_id.alias("mail_id"), (F.col("event_type") == "error").alias("blocks"), (F.col("event_type") == "purchase").alias("unblocks"))
+
+
+_ROUTED = f"""WITH {_TURNS}, s AS (SELECT *, last_value(CASE WHEN unblocks THEN 0 WHEN blocks THEN 1 END IGNORE NULLS) OVER (PARTITION BY address ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM e)
+SELECT mail_id, address, coalesce(b, 0) = 1 AS bypassed FROM s WHERE mail_id IS NOT NULL"""
+
+
+@query(_ROUTED)
+def route_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """Mails routed by the blocks made before them in the same run."""
+    return policy.route_in_order(_turns(spark, d)).select("mail_id", "address", "bypassed")
+
+
+def _with_state(spark: SparkSession, run) -> None:
+    """Runs a stream that needs the store of keyed state."""
+    name, kept = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, kept)
+    try:
+        run()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
-def _last_batch(stream: DataFrame, path: str, mode: str) -> None:
+def _dealt_at_random(spark: SparkSession, rows: DataFrame, key: str, path: str, stream_of) -> DataFrame:
+    """Last word on each key of a stream over rows that arrive in no order: three batches, the last after a restart."""
+    stream = lambda: stream_of(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"))
+    for run, parts in enumerate(((2, 0), (1,))):
+        for k in parts:
+            rows.filter(F.pmod(F.hash(*rows.columns), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        _last_batch(stream(), path, "update", f"run-{run}")
+    out = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/out")
+    return out.groupBy(key).agg(F.max_by(F.struct(*out.columns), "version").alias("r")).select("r.*")
+
+
+@query(_ROUTED)
+def stream_route_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a stream whose rows arrive in no order."""
+    found: list[DataFrame] = []
+    _with_state(spark, lambda: found.append(_dealt_at_random(spark, _turns(spark, d), "mail_id", scratch(spark, "turns"), mail.stream_route_in_order)))
+    return found[0].select("mail_id", "address", "bypassed")
+
+
+@query("""SELECT 'done' AS part, event_id, event_id % 5 + 1 AS attempts FROM events WHERE event_id % 5 < 3 UNION ALL SELECT 'given_up', event_id, 3 FROM events WHERE event_id % 5 >= 3""")
+def stream_retries(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that fail nought to four times before they go through, with three attempts for each, over three batches and a restart."""
+    e, path, hour = V.table(spark, d, "events").select("event_id"), scratch(spark, "retries"), iter(range(0, 10**9, 3600))
+    step = lambda rows: rows.withColumn("error", F.when(F.col("attempts") < F.col("event_id") % 5, "service away"))
+    now = lambda: F.timestamp_seconds(F.lit(next(hour)))
+    stream = lambda: spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    for parts in ((0, 1), (2,)):
+        for k in parts:
+            e.filter(F.pmod(F.hash("event_id"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        mail.to_batches(stream(), f"{path}/checkpoint", mail.with_retries(step, f"{path}/out", 3, now)).awaitTermination()
+    while mail.retry_waiting(spark, step, f"{path}/out", 3, now):
+        pass
+    log = CommitLog(spark, f"{path}/out")
+    part = lambda name: log.read(name).select(F.lit(name).alias("part"), "event_id", F.col("attempts").cast("long").alias("attempts"))
+    return part("done").unionAll(part("given_up"))
+
+
+def _last_batch(stream: DataFrame, path: str, mode: str, run: str = "run") -> None:
     def each(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+        batch.write.mode("overwrite").parquet(f"{path}/out/{run}/batch={n}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
 
@@ -285,7 +370,7 @@ def stream_verdict_stats(spark: SparkSession, d: str) -> DataFrame:
     """Live counts after the last batch."""
     stream, path = _stream(spark, V.findings(spark, d), "findings")
     _last_batch(mail.stream_verdict_stats(stream), path, "complete")
-    out = spark.read.parquet(f"{path}/out")
+    out = spark.read.parquet(f"{path}/out/run")
     return out.join(out.agg(F.max("batch").alias("batch")), "batch").drop("batch")
 
 
@@ -296,15 +381,7 @@ s AS (SELECT m.finding_id, max(id) FILTER (action = 'trash') AS t, max(id) FILTE
 
 @query(f"WITH {_STATES} SELECT finding_id, CASE WHEN t IS NOT NULL THEN 'trash' WHEN p IS NOT NULL THEN 'spam' ELSE 'none' END AS mail_state, coalesce(p0 < t0, false) AS was_spam FROM k LEFT JOIN s USING (finding_id)")
 def stream_mail_state(spark: SparkSession, d: str) -> DataFrame:
-    """Where each finding's mail is after the last batch of actions."""
-    name, kept = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, kept)
-    try:
-        stream, path = _stream(spark, V.mail_actions(spark, d), "actions")
-        _last_batch(mail.stream_mail_state(stream), path, "update")
-    finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
-    last = Window.partitionBy("finding_id").orderBy(F.desc("last_id"))
-    out = spark.read.parquet(f"{path}/out").withColumn("_n", F.row_number().over(last)).filter("_n = 1")
-    return out.select("finding_id", "mail_state", "was_spam")
+    """Where each finding's mail is after the last of several batches of actions, which arrive in no order."""
+    found: list[DataFrame] = []
+    _with_state(spark, lambda: found.append(_dealt_at_random(spark, V.mail_actions(spark, d), "finding_id", scratch(spark, "actions"), mail.stream_mail_state)))
+    return found[0].select("finding_id", "mail_state", "was_spam")

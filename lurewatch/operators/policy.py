@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lurewatch.functions import policy
+from lurewatch.operators import skew
 
 
 def protected_senders(rows: DataFrame, never_block: DataFrame) -> DataFrame:
@@ -34,6 +35,43 @@ def plan_auto_actions(findings: DataFrame, enabled: bool = True) -> DataFrame:
     return rows.select("id", F.posexplode(steps).alias("step", "action"))
 
 
+def auto_outcomes(findings: DataFrame, never_block: DataFrame, enabled: bool = True) -> DataFrame:
+    """finding_id, step, action, trigger, success, message: automatic actions as they are logged. Needs what check_blocks() needs.
+
+    A sender that must not be blocked gives a failed step with the reason; force is for people only.
+    """
+    planned = plan_auto_actions(findings, enabled)
+    judged = check_blocks(findings.select("id", "sender_address", "mailbox", "auth"), never_block).select("id", "block")
+    rows = planned.join(judged, "id")
+    refused = (F.col("action") == "block") & ~F.col("block.allowed")
+    message = F.when(refused, F.concat(F.lit("not blocked: "), F.col("block.reason"))).otherwise(F.concat(F.lit("planned "), F.col("action")))
+    return rows.select(F.col("id").alias("finding_id"), "step", "action", F.lit("auto").alias("trigger"), F.when(refused, 0).otherwise(1).alias("success"), message.alias("message"))
+
+
+def route_in_order(rows: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """Mails with bypassed: whether their sender is blocked by what comes before them in one order of mails and changes.
+
+    rows: address, seq, mail_id (null: no mail), blocks, unblocks (see streaming.mail.stream_route_in_order()); listed:
+    address of senders blocked before all rows. Between two unblocks only the first block matters, so blocks
+    are reduced to one row per address and gap before they meet the mails; one sender may send any share of them.
+    """
+    named = rows.filter("address IS NOT NULL")
+    unblocks = named.filter("unblocks").groupBy("address").agg(F.array_sort(F.collect_set("seq")).alias("_undone"))
+    profile = skew.Profile(named, ["address"])
+    placed = skew.join_keyed(named, unblocks, profile)
+    gap = F.size(F.filter(F.coalesce("_undone", F.array().cast("array<bigint>")), lambda u: u < F.col("seq")))
+    placed = placed.withColumn("_gap", gap).drop("_undone")
+    blocks = placed.filter(F.col("blocks") & ~F.coalesce("unblocks", F.lit(False))).select("address", "_gap", "seq")
+    if listed is not None:
+        blocks = blocks.unionByName(listed.select("address", F.lit(0).alias("_gap"), F.lit(-(1 << 62)).alias("seq")))
+    firsts = blocks.groupBy("address", "_gap").agg(F.min("seq").alias("_first"))
+    of_address = firsts.groupBy("address").agg(F.map_from_entries(F.collect_list(F.struct("_gap", "_first"))).alias("_by_gap"))
+    mails = skew.join_keyed(placed.filter("mail_id IS NOT NULL"), of_address, profile)
+    bypassed = F.coalesce(F.try_element_at("_by_gap", F.col("_gap")) < F.col("seq"), F.lit(False))
+    out = mails.withColumn("bypassed", bypassed).drop("_gap", "_by_gap")
+    return out.unionByName(rows.filter("address IS NULL AND mail_id IS NOT NULL").withColumn("bypassed", F.lit(False)))
+
+
 def plan_manual_actions(findings: DataFrame, requests: DataFrame) -> DataFrame:
     """finding_id, step, action, ok, message, needs_confirm for requests (finding_id, action, force).
 

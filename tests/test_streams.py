@@ -1,22 +1,169 @@
 import json
 import random
 
+import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from lurewatch.jobs import views as V
 from lurewatch.operators import findings, policy
 from lurewatch.sources import messages
 from lurewatch.streaming import mail
+from lurewatch.streaming.commits import CommitLog
 
 
-def test_mail_state_equals_batch(spark, sf_dir, tmp_path):
+def run(frame, path, name="q", mode="update"):
+    """One run of a stream over what is there: all its batches, with a checkpoint that the next run goes on from."""
+
+    def each(batch, n):
+        batch.write.mode("overwrite").parquet(f"{path}/{name}/batch={n}")
+
+    frame.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/{name}-cp").trigger(availableNow=True).foreachBatch(each).start().awaitTermination(300)
+
+
+def last(spark, path, key, name="q"):
+    rows = spark.read.parquet(f"{path}/{name}")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), "version").alias("r")).select("r.*").drop("batch", "version")
+
+
+def test_mail_state_equals_batch_over_random_batches_and_a_restart(spark, sf_dir, tmp_path):
     actions = V.mail_actions(spark, sf_dir)
-    actions.repartitionByRange(2, "id").write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(actions.schema).parquet(f"{tmp_path}/in")
-    q = mail.stream_mail_state(stream).writeStream.outputMode("update").format("memory").queryName("states").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {r["finding_id"]: (r["mail_state"], r["was_spam"]) for r in spark.table("states").orderBy("last_id").collect()}
-    assert got == {r["finding_id"]: (r["mail_state"], r["was_spam"]) for r in policy.mail_state(actions).collect()}
+    dealt = actions.withColumn("part", F.abs(F.hash("id")) % 4)
+    stream = lambda: mail.stream_mail_state(spark.readStream.schema(actions.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    for parts in ((2, 0), (3, 1)):
+        for part in parts:
+            dealt.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        run(stream(), tmp_path)
+    assert spark.read.parquet(f"{tmp_path}/q").select("batch").distinct().count() >= 4
+    want = policy.mail_state(actions)
+    got = last(spark, tmp_path, "finding_id").select(*want.columns)
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+def test_mail_state_starts_from_earlier_actions(spark, sf_dir, tmp_path):
+    actions = V.mail_actions(spark, sf_dir)
+    old, new = actions.filter("id % 2 = 0"), actions.filter("id % 2 = 1")
+    new.coalesce(1).write.parquet(f"{tmp_path}/in")
+    run(mail.stream_mail_state(spark.readStream.schema(actions.schema).parquet(f"{tmp_path}/in"), old), tmp_path)
+    want = policy.mail_state(actions).join(new.filter("success = 1 AND action IN ('spam', 'trash', 'restore')").select("finding_id").distinct(), "finding_id")
+    got = last(spark, tmp_path, "finding_id").select(*want.columns)
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+ROUTE = "address string, seq long, mail_id string, blocks boolean, unblocks boolean"
+
+
+def by_hand(rows):
+    blocked, out = set(), {}
+    for address, seq, mail_id, blocks, unblocks in sorted(rows, key=lambda r: r[1]):
+        if mail_id is not None:
+            out[mail_id] = address in blocked
+        if unblocks:
+            blocked.discard(address)
+        elif blocks:
+            blocked.add(address)
+    return out
+
+
+def routed(seed, n=600):
+    rng = random.Random(seed)
+    rows = []
+    for seq in range(n):
+        address = "hot@x.y" if rng.random() < 0.4 else f"s{rng.randrange(25)}@x.y"
+        kind = rng.random()
+        rows.append((address, seq, f"m{seq}" if kind < 0.9 else None, kind < 0.2, kind >= 0.94))
+    return rows
+
+
+def test_a_block_acts_on_the_next_mail(spark):
+    rows = routed(3)
+    df = spark.createDataFrame(rows + [(None, 9999, "m9999", True, False)], ROUTE).repartition(4)
+    got = {r["mail_id"]: r["bypassed"] for r in policy.route_in_order(df).collect()}
+    assert got == by_hand(rows) | {"m9999": False} and 0 < sum(got.values()) < len(got)
+    two = spark.createDataFrame([("a@b", 1, "x", True, False), ("a@b", 2, "y", False, False), ("c@d", 3, "z", False, False)], ROUTE)
+    listed = spark.createDataFrame([("c@d",)], "address string")
+    assert {r["mail_id"]: r["bypassed"] for r in policy.route_in_order(two, listed).collect()} == {"x": False, "y": True, "z": True}
+    assert policy.route_in_order(two.limit(0)).count() == 0
+
+
+def test_route_stream_equals_batch_over_shuffled_arrival_and_a_restart(spark, tmp_path):
+    rows = routed(4)
+    random.Random(1).shuffle(rows)
+    stream = lambda: mail.stream_route_in_order(spark.readStream.schema(ROUTE).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    for k in range(0, 600, 300):
+        for j in (k, k + 150):
+            spark.createDataFrame(rows[j : j + 150], ROUTE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        run(stream(), tmp_path)
+    got = {r["mail_id"]: r["bypassed"] for r in last(spark, tmp_path, "mail_id").collect()}
+    assert got == by_hand(rows) and spark.read.parquet(f"{tmp_path}/q").agg(F.max("version")).first()[0] > 1
+
+
+def test_a_row_that_fails_twice_appears_once(spark, tmp_path):
+    schema = "email_id string, fails int"
+    asked = []
+
+    def step(rows):
+        asked.append(1)
+        return rows.withColumn("error", F.when(F.col("attempts") < F.col("fails"), "service away"))
+
+    clock = iter(range(0, 10**9, 10_000_000))
+    now = lambda: F.timestamp_seconds(F.lit(next(clock)))
+    each = mail.with_retries(step, f"{tmp_path}/out", 3, now)
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    for rows in ([("a", 2), ("b", 0)], [("c", 0), ("d", 9)], [("e", 1)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if rows[0][0] != "a":  # the first run has two batches, the second goes on from its checkpoint
+            mail.to_batches(stream(), f"{tmp_path}/cp", each).awaitTermination(120)
+    while mail.retry_waiting(spark, step, f"{tmp_path}/out", 3, now):
+        pass
+    log = CommitLog(spark, f"{tmp_path}/out")
+    done = {r["email_id"]: r["attempts"] for r in log.read("done").collect()}
+    assert log.read("done").count() == 4 and done == {"a": 3, "b": 1, "c": 1, "e": 2}
+    assert [(r["email_id"], r["attempts"], r["error"]) for r in log.read("given_up").collect()] == [("d", 3, "service away")]
+    assert log.read("waiting", last=True).count() == 0 and not mail.retry_waiting(spark, step, f"{tmp_path}/out", 3, now)
+
+
+def test_waiting_rows_are_not_tried_early(spark, tmp_path):
+    log = CommitLog(spark, f"{tmp_path}/out")
+    step = lambda rows: rows.withColumn("error", F.lit("no"))
+    at = lambda s: lambda: F.timestamp_seconds(F.lit(s))
+    mail.with_retries(step, f"{tmp_path}/out", 3, at(0))(spark.createDataFrame([("a",)], "email_id string"), 0)
+    mail.with_retries(step, f"{tmp_path}/out", 3, at(mail.WAIT - 1))(spark.createDataFrame([("b",)], "email_id string"), 1)
+    assert sorted((r["email_id"], r["attempts"]) for r in log.read("waiting", last=True).collect()) == [("a", 1), ("b", 1)]
+    mail.with_retries(step, f"{tmp_path}/out", 3, at(mail.WAIT))(spark.createDataFrame([("b",)], "email_id string"), 1)  # a batch that counts already
+    assert log.read("tried").count() == 2
+    assert mail.retry_waiting(spark, step, f"{tmp_path}/out", 3, at(mail.WAIT)) and sorted((r["email_id"], r["attempts"]) for r in log.read("waiting", last=True).collect()) == [("a", 2), ("b", 1)]
+
+
+def test_readers_see_a_batch_whole_or_not_at_all(spark, sf_dir, tmp_path, monkeypatch):
+    f = V.findings(spark, sf_dir)
+    planned = policy.plan_auto_actions(f).filter("action = 'block'").join(f, "id").orderBy("id").first()
+    never = spark.createDataFrame([("@d3.example",), (planned["sender_address"].upper(),)], "entry string")
+    each, log = mail.write_findings(f"{tmp_path}/out", never), CommitLog(spark, f"{tmp_path}/out")
+    halves = [f.filter(F.col("id") % 2 == k) for k in (0, 1)]
+    each(halves[0], 0)
+    for table in ("actions", "blocked"):  # ends between two writes
+        whole = DataFrameWriter.parquet
+
+        def broken(self, path, *a, table=table, whole=whole, **k):
+            if f"/{table}/" in path:
+                raise OSError("lost")
+            return whole(self, path, *a, **k)
+
+        with monkeypatch.context() as m:
+            m.setattr(DataFrameWriter, "parquet", broken)
+            with pytest.raises(OSError, match="lost"):
+                each(halves[1], 1)
+        assert {t: log.read(t).select("batch").distinct().count() for t in ("findings", "actions", "blocked")} == {"findings": 1, "actions": 1, "blocked": 1}
+    each(halves[1], 1)
+    each(halves[1], 1)
+    assert log.read("findings").count() == f.count() and len(log.commits()) == 2
+    acts, blocked = log.read("actions").drop("batch"), log.read("blocked").drop("batch")
+    assert acts.exceptAll(policy.auto_outcomes(f, never)).isEmpty() and acts.count() == policy.auto_outcomes(f, never).count()
+    judged = policy.check_blocks(f, never)
+    assert blocked.join(judged.filter("NOT block.allowed").select(F.col("id").alias("finding_id")), "finding_id").isEmpty()
+    assert blocked.count() == acts.filter("action = 'block' AND success = 1").count() > 0 and acts.filter("success = 0").count() > 0
+    assert log.vacuum("findings") == 2 and log.vacuum("findings") == 0 and log.read("findings").count() == f.count()
 
 
 def test_once_and_routing(spark, tmp_path):
@@ -36,13 +183,11 @@ def test_findings_and_counts(spark, sf_dir, tmp_path):
     f.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(f.schema).parquet(f"{tmp_path}/in")
     mail.to_batches(stream, f"{tmp_path}/cp", mail.write_findings(f"{tmp_path}/out")).awaitTermination(120)
-    assert spark.read.parquet(f"{tmp_path}/out/findings").count() == f.count()
-    assert spark.read.parquet(f"{tmp_path}/out/actions").count() == policy.plan_auto_actions(f).count()
+    log = CommitLog(spark, f"{tmp_path}/out")
+    assert log.read("findings").count() == f.count() and log.read("actions").count() == policy.plan_auto_actions(f).count()
     q = mail.stream_verdict_stats(stream).writeStream.outputMode("complete").format("memory").queryName("stats").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp2").start()
     q.awaitTermination(120)
     assert [r.asDict() for r in spark.table("stats").collect()] == [r.asDict() for r in findings.verdict_stats(f).collect()]
-    blocked = spark.read.parquet(f"{tmp_path}/out/blocked")
-    assert blocked.count() == policy.plan_auto_actions(f).filter("action = 'block'").count() > 0
 
 
 def test_damaged_mails_never_end_a_read(spark, tmp_path):
