@@ -1,7 +1,9 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Words are split in Spark, every distinct word is encoded once, and the ids come back to the texts by position.
-Decoding joins ids to the pieces of the vocabulary. The file of the tokenizer is a parameter.
+Words are split in Spark, every distinct common word is encoded once, and the ids come back to the texts by position. The
+table has a bounded number of words at every size of the corpus; a rarer word is encoded where it stands, once for a
+task while that remembers it, since bringing its ids back would shuffle every text. Decoding joins ids to the pieces
+of the vocabulary. The file of the tokenizer is a parameter.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from lurewatch.llm.common import materialize, table
 SPECIAL = "<|endoftext|>"
 #: What byte-level tokenizers cut a text into (fixed value), with Unicode classes.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Most bytes of the word table that goes to every worker; words beyond it travel to the texts that hold them.
-TABLE_BYTES = 96 << 20
+#: Words of the table that goes to every worker, and the longest of them in bytes: 15 MB at most, about 4 in fact.
+TABLE_WORDS, LONGEST = 200_000, 32
+#: Other words that a task remembers.
+REMEMBERED = 50_000
 
 
 def vocabulary() -> str:
@@ -82,9 +86,18 @@ def _laid_out(path: str) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...
     return laid(of), laid([b"%d," % i for i in range(len(of))])
 
 
-def word_table(texts: DataFrame, path: str) -> DataFrame:
-    """word, n (texts that hold it), ids: every distinct word of the `words` column, encoded once."""
-    words = texts.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+def common_words(texts: DataFrame, most: int) -> DataFrame:
+    """word, n (texts that hold it) of the commonest words of the `words` column: `most` at most, each in two texts or more.
+
+    Words are counted over all texts; counts that cannot be held whole are left out whole.
+    """
+    counted = texts.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counted = materialize(counted.filter((F.col("n") > 1) & (F.octet_length("word") <= LONGEST)), "word-counts")
+    return counted.filter(F.col("n") > _least_count(counted, F.lit(1), most))
+
+
+def word_table(words: DataFrame, path: str) -> DataFrame:
+    """word, n, ids: every word encoded once."""
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -133,11 +146,14 @@ class _Table:
 
 
 def _least_count(words: DataFrame, size: Column, most: int) -> int:
-    """The smallest count such that the words of higher counts take `most` bytes at most; 0 if all do.
+    """The smallest count such that the words of higher counts take `most` at most; 0 if all do.
 
     Counts are summed in bins that grow finer where the bound is crossed, so a few rows reach the driver each time.
     """
-    above, low, high = 0, 0, (words.agg(F.max("n")).first()[0] or 0) + 1  # bytes of counts from `high` on; the bound is crossed in low..high
+    total, high = words.agg(F.sum(size), F.max("n")).first()
+    if (total or 0) <= most:
+        return 0
+    above, low, high = 0, 0, high + 1  # size of counts from `high` on; the bound is crossed in low..high
     while high - low > 1:
         step = -(-(high - low) // 1_000)
         bins = words.filter((F.col("n") > low) & (F.col("n") < high)).groupBy(F.expr(f"(n - {low}) div {step}").alias("k")).agg(F.sum(size).alias("b")).collect()
@@ -153,19 +169,16 @@ def _least_count(words: DataFrame, size: Column, most: int) -> int:
     return low
 
 
-def _hot(words: DataFrame, most: int) -> tuple[_Table, int, int]:
-    """The commonest words within `most` bytes (all, if they fit) that decode to themselves, how many texts hold the commonest one left out, and how many words decode to something else."""
-    size = F.lit(16) + 2 * F.size("ids")
-    total, odd = words.agg(F.sum(size), F.count("spelt")).first()
-    least = _least_count(words, size, most) if (total or 0) > most else 0
-    rows = words.filter((F.col("n") > least) & F.col("spelt").isNull()).select("h", "ids").toArrow() if total else pa.table({"h": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
+def _held(spelt: DataFrame) -> _Table:
+    """The table as arrays, from words of a spelt_table() that decode to themselves: as many as common_words() gives at most."""
+    rows = spelt.filter("spelt IS NULL").select("h", "ids").toArrow()
     h = rows.column("h").to_numpy()
     order = np.argsort(h, kind="stable")
     ids = rows.column("ids").combine_chunks()
     ids = ids.take(pa.array(order)) if len(order) else ids
     ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
     ends = np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False)).astype(np.int64) if len(order) else np.zeros(0, np.int64)
-    return _Table(h[order], ends.astype(np.uint32), pc.list_flatten(ids).to_numpy().astype(np.uint16)), least, odd
+    return _Table(h[order], ends.astype(np.uint32), pc.list_flatten(ids).to_numpy().astype(np.uint16) if len(order) else np.zeros(0, np.uint16))
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,32 +189,23 @@ def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np
     return data[np.arange(total, dtype=narrow) + np.repeat((starts - (ends - sizes)).astype(narrow), sizes)], ends
 
 
-def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", table_words: int = TABLE_WORDS, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (with_ids), decoded (with_ids), ids_sha256, decoded_sha256: one row per input row.
 
     Ids are those of the whole text without added special tokens; a special token's own text gives its id. A
-    null or empty text has no ids. Of the table of distinct words the commonest, `table_bytes` at most, go to the
-    workers; the others are joined to the texts that hold them, by doc_id, but for those that a single text holds,
-    which are encoded there. Rows that share a doc_id are encoded one by one; an empty table gives an empty table.
+    null or empty text has no ids. The `table_words` commonest words are encoded once and go to the workers; other
+    words are encoded in the task that meets them. No text is shuffled, whatever its id. Rows that share a doc_id are
+    encoded one by one; an empty table gives an empty table. Other columns are not read. The vocabulary must have fewer
+    than 65,536 ids.
 
-    Decoded text is made of what the distinct words' ids give in a join with the id-to-piece table (spelt_table()).
-    A word that comes back as itself needs no second copy of its bytes; one that does not travels with them.
+    Decoded text is made of what the words' ids give in the id-to-piece table (a join for the table of words, see
+    spelt_table()). A word that comes back as itself needs no second copy of its bytes.
     """
     path = path or vocabulary()
+    assert len(pieces(path)) < 1 << 16, "ids are held in 16 bits"
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).alias("doc_id"), split_words(F.col(text)).alias("words"))
-    words = materialize(spelt_table(word_table(texts, path), path), "words")
-    found, least, odd = _hot(words, table_bytes)
-    hot = spark.sparkContext.broadcast(found)
-    rare_type = "array<struct<word:string,ids:array<int>,spelt:binary>>"
-    if least > 1 or odd:
-        left = words.filter((F.col("n") <= least) & (F.col("n") > 1) | F.col("spelt").isNotNull()).select("word", "ids", "spelt")
-        held = texts.select("doc_id", F.explode(F.array_distinct("words")).alias("word")).join(left, "word").distinct()
-        rare = held.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("word", "ids", "spelt")).alias("rare"))
-        whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-        texts = whole.join(rare, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", split_words(F.col("text")).alias("words"), "rare")
-    else:
-        texts = texts.withColumn("rare", F.lit(None).cast(rare_type))
+    hot = spark.sparkContext.broadcast(_held(spelt_table(word_table(common_words(texts, table_words), path), path)))
     texts = texts.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
     kind = next(f.dataType.simpleString() for f in texts.schema if f.name == "doc_id")
     schema = f"doc_id {kind}, n_tokens bigint, " + ("ids array<int>, decoded binary, " if with_ids else "") + "ids_sha256 string, decoded_sha256 string"
@@ -211,14 +215,17 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
             for start in range(0, whole.num_rows, 256):
                 yield one(whole.slice(start, 256))
 
-    def others(words: list[str], rare: pa.Array) -> list[tuple[list[int], bytes | None]]:
+    known: dict[str, tuple[list[int], bytes | None]] = {}
+
+    def others(words: list[str]) -> list[tuple[list[int], bytes | None]]:
         """Ids, and decoded bytes where they are not the word's own, of words that the table lacks."""
-        own = {r["word"]: (r["ids"], r["spelt"]) for row in rare.to_pylist() if row for r in row}
-        new = [w for w in words if w not in own]
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = [w for w in words if w not in known]
         for w, e in zip(new, _tokenizer(path).encode_batch(new, add_special_tokens=False) if new else (), strict=True):
             data = b"".join([pieces(path)[i] for i in e.ids])
-            own[w] = (e.ids, None if data == w.encode() else data)
-        return [own[w] for w in words]
+            known[w] = (e.ids, None if data == w.encode() else data)
+        return [known[w] for w in words]
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists, piece_of, number_of = batch.column("words"), *_laid_out(path)
@@ -245,7 +252,7 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
             true[np.repeat(held, length[held])[mine != theirs]] = False
             left = np.flatnonzero(~true)
             coded = flat.take(pa.array(left)).dictionary_encode()
-            new = others(coded.dictionary.to_pylist(), batch.column("rare"))
+            new = others(coded.dictionary.to_pylist())
             which = coded.indices.to_numpy()
             n = np.array([len(x) for x, _ in new], np.int64)
             more = np.array([i for x, _ in new for i in x], np.uint16)

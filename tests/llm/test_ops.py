@@ -469,12 +469,12 @@ def test_shards_are_those_of_the_last_run(spark, tmp_path):
 # --- BPE ---
 
 
-@pytest.mark.parametrize("table_bytes", [bpe.TABLE_BYTES, 200])
-def test_bpe_equals_library(spark, table_bytes):
+@pytest.mark.parametrize("table_words", [bpe.TABLE_WORDS, 3])
+def test_bpe_equals_library(spark, table_words):
     tokenizer = bpe._tokenizer(bpe.vocabulary())
     texts = [*ODD, "it's 'S I'll", "😀👍🏽 ok 12３٤", "\x1c\x1d a\x85b\u200bc", "á नमस्ते 你好", "\r\n\r\n x", "!!<|endoftext|>"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    encoded = bpe.encode(df, table_bytes=table_bytes)
+    encoded = bpe.encode(df, table_words=table_words)
     for r in encoded.collect():
         ids = tokenizer.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
         assert r["ids"] == ids and r["decoded"].decode() == tokenizer.decode(ids, skip_special_tokens=False)
@@ -482,6 +482,27 @@ def test_bpe_equals_library(spark, table_bytes):
     assert bpe.encode(empty_docs(spark)).count() == 0 and bpe.encode(odd_docs(spark)).count() == len(ODD) + 2
 
 
+def test_rows_of_one_id_and_without_an_id(spark):
+    texts = [f"word{i % 7} common common rare{i}" for i in range(300)]
+    df = spark.createDataFrame([(None if i % 2 else 5, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    out = bpe.encode(df, table_words=20)
+    tokenizer = bpe._tokenizer(bpe.vocabulary())
+    want = collections.Counter((None if i % 2 else 5, tuple(tokenizer.encode(t, add_special_tokens=False).ids)) for i, t in enumerate(texts))
+    assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in out.collect()) == want
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Exchange") == 1  # the one made here; no text moves
+
+
+@pytest.mark.parametrize("most", [0, 1, 5, 100])
+def test_common_words_are_the_commonest(spark, most):
+    texts = [" ".join(f"w{j}" for j in range(i)) + " " + "x" * 60 for i in range(1, 40)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(bpe.split_words(F.col("text")).alias("words"))
+    count = collections.Counter(w for r in rows.collect() for w in set(r["words"]) if len(w) <= bpe.LONGEST)
+    held = {r["word"]: r["n"] for r in bpe.common_words(rows, most).collect()}
+    assert len(held) <= most and all(count[w] == n > 1 for w, n in held.items())
+    least = min(held.values(), default=max(count.values()) + 1)
+    assert all(n < least for w, n in count.items() if w not in held and n > 1) or most == 100
+
+
 def test_decoding_keeps_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "d"), (None, "a b c"), (None, "a b c"), (2, None)], "doc_id long, text string")
     got = bpe.decode(bpe.encode(df)).collect()
@@ -509,12 +530,12 @@ def test_word_table_stays_within_its_bound(spark, most):
     assert held <= most and (least == 0 or held + size.get(least, 0) > most)
 
 
-@pytest.mark.parametrize("table_bytes", [bpe.TABLE_BYTES, 200])
-def test_decoded_digest_comes_from_the_joined_pieces(spark, monkeypatch, table_bytes):
+@pytest.mark.parametrize("table_words", [bpe.TABLE_WORDS, 1])
+def test_decoded_digest_comes_from_the_joined_pieces(spark, monkeypatch, table_words):
     other = list(bpe.pieces(bpe.vocabulary()))
     other[bpe._tokenizer(bpe.vocabulary()).encode("cat", add_special_tokens=False).ids[0]] = b"dog"
     monkeypatch.setattr(bpe, "pieces", lambda path: other)
     df = spark.createDataFrame([(1, "cat is a word"), (1, "cat is a word"), (2, "is a word"), (3, None)], "doc_id long, text string")
-    got = bpe.encode(df, table_bytes=table_bytes).collect()
+    got = bpe.encode(df, table_words=table_words).collect()
     assert collections.Counter(r["decoded"].decode() for r in got) == {"dog is a word": 2, "is a word": 1, "": 1}
     assert all(r["decoded_sha256"] == hashlib.sha256(r["decoded"]).hexdigest() for r in got)
