@@ -13,13 +13,20 @@ from lurewatch.llm.common import table
 
 #: Segments of a vector at each resolution, and rows of a block of queries and of candidates.
 LEVELS, QUERY_BLOCK, BLOCK = (1, 4, 16), 2_048, 16_384
+#: Bounds within which every product fits a long: 2**52 times 2**11.
+LARGEST, MAX_DIM = 1 << 26, 2_047
 
 
 def quantise(vector: Column) -> Column:
-    """floor(256 * x) of every component; null for a vector that is null, empty, or holds a null or non-finite component."""
+    """floor(256 * x) of every component; null for a vector that is null, empty, or holds a null or non-finite component.
+
+    A vector whose products might not fit a long (a component of LARGEST or more, over MAX_DIM components) ends the run.
+    """
     x = F.transform(vector, lambda v: v.cast("double"))
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return F.when((F.size(x) > 0) & fine, F.transform(x, lambda v: F.floor(v * 256).cast("bigint")))
+    far = F.exists(x, lambda v: F.abs(v * 256) >= LARGEST) | (F.size(x) > MAX_DIM)
+    whole = F.transform(x, lambda v: F.floor(v * 256).cast("bigint"))
+    return F.when((F.size(x) > 0) & fine, F.when(far, F.raise_error(F.lit("a vector is too large for exact products in a long"))).otherwise(whole))
 
 
 class _Stats:
@@ -80,7 +87,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     Every block of queries meets every block of candidates. Rows with a null id or a vector without a quantised
     form take no part; only vectors of one length are compared; rows with the query's id are its own. A repeated
     candidate row counts each time, a repeated query id once (with its smallest vector). An empty table gives an
-    empty table. Products must stay below 2**53.
+    empty table. Vectors too large for exact products end the run with a message (see quantise()).
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), quantise(F.col(vector)).alias("v"), is_query.alias("is_query")).filter("id IS NOT NULL AND v IS NOT NULL")
     n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if("is_query")).first()

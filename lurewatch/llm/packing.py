@@ -105,11 +105,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, cluster:
     """
     path = path or ranks()
     counts = materialize(near_copy_counts(docs, path) if near else token_counts(docs, path, cluster), "token-counts")
-    pieces = counts.select("doc_id", "source", "cluster", "n_tokens", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n_tokens") / capacity) - 1, F.lit(0)).cast("int"))).alias("piece"))
+    # Rows are told apart by their place in the written counts: those without an id, or of one id, are dealt like any others.
+    counts = counts.withColumn("_row", F.monotonically_increasing_id())
+    pieces = counts.select("_row", "doc_id", "source", "cluster", "n_tokens", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n_tokens") / capacity) - 1, F.lit(0)).cast("int"))).alias("piece"))
     start = F.col("piece") * F.lit(capacity).cast("long")
-    pieces = pieces.select("doc_id", "source", "cluster", "piece", start.alias("start"), F.least(F.col("n_tokens") - start, F.lit(capacity)).alias("n"))
+    pieces = pieces.select("_row", "doc_id", "source", "cluster", "piece", start.alias("start"), F.least(F.col("n_tokens") - start, F.lit(capacity)).alias("n"))
     groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("_row", "piece"), F.lit(groups))).drop("_row")
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("n", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("cluster", "ascending")])
@@ -131,7 +133,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the places of all pieces. Of near copies an earlier stage has kept one."""
+    """Pipeline stage: the places of all pieces. Of near copies an earlier stage has kept one.
+
+    A row per piece as pack() has it; repeated rows and rows without an id or a text are packed each for itself, other
+    columns are not read, an empty table gives an empty one.
+    """
     return pack(docs)
 
 

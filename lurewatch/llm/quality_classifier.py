@@ -112,7 +112,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier, fitted as in op2, does not reject."""
+    """Pipeline stage: documents that the classifier, fitted as in op2, does not reject.
+
+    Each row is judged for itself, a repeated one each time; a null text as an empty one. All columns stay as they are,
+    whatever their names; an empty table gives an empty one.
+    """
     model = fit(training_rows(spark, sf_dir))
     names = docs.columns
     scored = docs.select(F.struct(*[F.col(c) for c in names]).alias("_row"), score(F.col("text"), model).alias("_score"))

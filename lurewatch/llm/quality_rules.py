@@ -117,7 +117,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that break no rule."""
+    """Pipeline stage: documents that break no rule.
+
+    Each row is judged for itself, a repeated one each time; a null text as an empty one. All columns stay as they are,
+    whatever their names; an empty table gives an empty one.
+    """
     return docs.filter(judged(F.col("text"))["kept"])
 
 

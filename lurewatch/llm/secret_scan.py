@@ -128,8 +128,8 @@ def _count(field: str, value: str) -> Column:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans and counts of every document. Owners are counted as the SQL counts them: each source of a copied text is one."""
-    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    """Spans and counts of every document. A text copied word for word into several sources has one owner."""
+    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), one_of_copies=True)
     kinds = [_count("kind", k) for k in ("assign", "access", "hex")]
     classes = [_count("class", k) for k in ("live", "example")]
     return out.select("doc_id", *kinds, F.sha2(_joined(F.filter("secrets", lambda s: s["base"])), 256).alias("base_sha256"), _joined(F.col("secrets")).alias("spans"), *classes)
@@ -151,15 +151,15 @@ def redact(text: Column, spans: Column, mark: str = "<SECRET>") -> Column:
 def hide_live_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: values of few owners are replaced by a mark (see `hide` of scan()); all documents stay.
 
-    Every row is cut by its own spans, whatever its id. A text copied into many sources is no example.
+    Every row is cut by its own spans, whatever its id. A text copied into many sources is no example. All columns stay,
+    whatever their names; only `text`, and `n_chars` where there is one, change. An empty table gives an empty one.
     """
     out = scan(docs, whole=True, one_of_copies=True).select("row", F.filter("secrets", lambda s: s["hide"]).alias("_hide"))
     hidden = F.size("_hide") > 0
     new = {"text": F.when(hidden, redact(F.col("row.text"), F.col("_hide"))).otherwise(F.col("row.text")).alias("text")}
-    out = out.select(*[new.get(c, F.col("row")[c].alias(c)) for c in docs.columns], hidden.alias("_hidden"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_hidden"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = out.select(F.struct(*[new.get(c, F.col("row")[c].alias(c)) for c in docs.columns]).alias("row"), hidden.alias("hidden"))
+    chars = F.when(F.col("hidden"), F.char_length("row.text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None
+    return out.select(*[(chars if c == "n_chars" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def _sql() -> str:
@@ -167,15 +167,15 @@ def _sql() -> str:
     for rank, (kind, pattern, group, least, base) in enumerate(KINDS):
         p = pattern.replace("'", "''")
         parts.append(f"""
-  SELECT r, doc_id, source, {rank} AS rank, '{kind}' AS kind, {str(base).lower()} AS base, v[i] AS value,
+  SELECT r, doc_id, source, copy, {rank} AS rank, '{kind}' AS kind, {str(base).lower()} AS base, v[i] AS value,
          list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS s, length(h[i]) AS n, {least} AS least
-  FROM (SELECT r, doc_id, source, h, v, g, unnest(range(1, len(h) + 1)) AS i FROM (
-    SELECT r, doc_id, source, regexp_extract_all(text, '{p}', 0) AS h, regexp_extract_all(text, '{p}', {group}) AS v, string_split_regex(text, '{p}') AS g FROM d))""")
+  FROM (SELECT r, doc_id, source, copy, h, v, g, unnest(range(1, len(h) + 1)) AS i FROM (
+    SELECT r, doc_id, source, copy, regexp_extract_all(text, '{p}', 0) AS h, regexp_extract_all(text, '{p}', {group}) AS v, string_split_regex(text, '{p}') AS g FROM d))""")
     one = "kind || ':' || s::BIGINT || ':' || (s + n)::BIGINT"
     return f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, md5(coalesce(text, '')) AS copy FROM documents),
 f AS (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE length(value) >= least),
-o AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners FROM f GROUP BY value),
+o AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners FROM (SELECT value, copy, min(source) AS source FROM f GROUP BY value, copy) GROUP BY value),
 j AS (SELECT f.*, owners, len(list_distinct(string_split(value, ''))) >= {LIVE_VARIETY} AND regexp_matches(value, '[0-9]') OR kind = 'pem' AS live FROM f JOIN o USING (value)),
 a AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
              string_agg({one}, ',' ORDER BY s, rank) FILTER (base) AS base_spans, string_agg({one}, ',' ORDER BY s, rank) AS spans,

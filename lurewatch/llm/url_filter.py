@@ -62,26 +62,30 @@ def _joiner(chars: Column, n: int):
     return lambda c, i: F.concat(*[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(n)])
 
 
-def fit(labelled: DataFrame) -> PipelineModel:
-    """Fits hashed n-grams -> logistic regression on at most MAX_LABELLED rows (url, label)."""
+def fit(labelled: DataFrame) -> PipelineModel | None:
+    """Fits hashed n-grams -> logistic regression on at most MAX_LABELLED rows (url, label); None if no row has both."""
     rows = labelled.filter("url IS NOT NULL AND label IS NOT NULL").orderBy(F.xxhash64("url"), "url").limit(MAX_LABELLED)
     rows = rows.select(grams(host(F.col("url")), path(F.col("url"))).alias("grams"), "label")
+    if rows.isEmpty():
+        return None
     steps = [HashingTF(inputCol="grams", outputCol="features", numFeatures=BUCKETS, binary=True), LogisticRegression(regParam=0.01, maxIter=50)]
     return Pipeline(stages=steps).fit(rows)
 
 
-def judge(pages: DataFrame, model: PipelineModel, url: str = "url", rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, model: PipelineModel | None, url: str = "url", rules=RULES) -> DataFrame:
     """Adds host, path, rule, block_probability and verdict (allow or block) to every row.
 
     A fitting rule decides; else the model does (block from one half up). A null URL or one without `://` has
     an empty host and path and is judged by the model alone. Equal URLs get equal verdicts; an empty table gives
-    an empty table. Columns of these names in the input are replaced.
+    an empty table. Without a model what no rule fits is allowed (probability 0). Columns of these names in the input are replaced.
     """
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "block_probability")]
     out = pages.select(F.struct(*names).alias("_row"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    out = model.transform(out.withColumns({"rule": rule, "_said": said, "grams": grams(F.col("host"), F.col("path"))}))
-    p = vector_to_array("probability")[1]
+    out = out.withColumns({"rule": rule, "_said": said})
+    if model is not None:
+        out = model.transform(out.withColumn("grams", grams(F.col("host"), F.col("path"))))
+    p = F.lit(0.0) if model is None else vector_to_array("probability")[1]
     return out.select("_row.*", "host", "path", "rule", p.alias("block_probability"), F.coalesce("_said", F.when(p >= 0.5, "block").otherwise("allow")).alias("verdict"))
 
 
