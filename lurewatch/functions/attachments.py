@@ -5,6 +5,8 @@ A signal is a struct severity (0 none to 3 high), signal, detail; a list of them
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,6 +102,8 @@ _MAGIC = (
     ("bzip2", 1, ("425A68",)), ("xz", 1, ("FD377A585A00",)), ("cab", 1, ("4D534346",)), ("vhd", 1, ("636F6E6563746978", "7668647866696C65")), ("iso", 0x8002, ("4344303031", "4245413031")),
     ("png", 1, ("89504E470D0A1A0A",)), ("jpeg", 1, ("FFD8FF",)), ("gif", 1, ("47494638",)), ("tiff", 1, ("49492A00", "4D4D002A")),
 )
+#: How a mail begins (fixed value).
+_MAIL_START = r"(?i)\A\s*(?:Received|From|Date|Subject|MIME-Version|Return-Path|Message-ID|To|Delivered-To|X-[\w-]+|Content-Type):"
 
 
 def detect_kind(data: Column, filename: Column, content_type: Column) -> Column:
@@ -127,7 +131,7 @@ def detect_kind(data: Column, filename: Column, content_type: Column) -> Column:
     is_text = wide | (~F.contains(text, F.lit("\x00")) & (F.char_length(sample) - odd >= 0.95 * F.char_length(sample)))
     plain = F.when(wide, F.replace(text, F.lit("\x00"), F.lit(""))).otherwise(text)
     low, typed = F.lower(plain), F.contains(F.lower(F.coalesce(content_type, F.lit(""))), F.lit("rfc822"))
-    mail = text.rlike(r"(?i)\A\s*(?:Received|From|Date|Subject|MIME-Version|Return-Path|Message-ID|To|Delivered-To|X-[\w-]+|Content-Type):") & (
+    mail = text.rlike(_MAIL_START) & (
         (file_extension(filename) == "eml") | typed | F.contains(text, F.lit("\nSubject:")) | F.contains(text, F.lit("\nFrom:"))
     )
     kind = kind.when(is_text & mail, "eml").when(is_text & F.contains(F.substr(low, F.lit(1), F.lit(2000)), F.lit("<svg")), "svg")
@@ -135,6 +139,27 @@ def detect_kind(data: Column, filename: Column, content_type: Column) -> Column:
     return kind.otherwise("unknown")
 
 
+def container_kind(data: bytes, filename: str, content_type: str) -> str | None:
+    """zip or eml where detect_kind() says so, for bytes that are unpacked within a task."""
+    head = data[:8192]
+    if head[:2] == b"MZ":
+        return None
+    for name, offset, marks in _MAGIC:
+        if b"%PDF-" in head[:1024] if name == "pdf" else any(data[offset - 1 : offset + 31].startswith(bytes.fromhex(m)) for m in marks):
+            return "zip" if name == "zip" else None
+    text = head.decode("latin-1")
+    if head[:4] == b"RIFF" and head[8:12] == b"WEBP" or text.lstrip("\u00ef\u00bb\u00bf \t\r\n").startswith("{\\rt"):
+        return None
+    typed, sample = "rfc822" in (content_type or "").lower(), text[:4096]
+    odd = sum(c < "\t" or "\x0b" <= c <= "\x0c" or "\x0e" <= c < " " or c == "\x7f" for c in sample)
+    is_text = head[:2] in (b"\xff\xfe", b"\xfe\xff") or "\0" not in text and len(sample) - odd >= 0.95 * len(sample)
+    named = (filename or "")[:500].strip(" ").rstrip(". ").lower().rpartition(".")
+    mail = re.search(_MAIL_START, text, re.ASCII) and ((named[1] and named[2] == "eml") or typed or "\nSubject:" in text or "\nFrom:" in text)
+    if is_text:
+        return "eml" if mail else None
+    return "eml" if typed else None
+
+
 def _little_endian(digits: Column) -> Column:
     turned = F.concat(*[F.substring(digits, i, 2) for i in (7, 5, 3, 1)])
     return F.coalesce(F.conv(F.when(F.length(digits) == 8, turned), 16, 10).cast("bigint"), F.lit(0))
@@ -222,6 +247,16 @@ def script_signals(text: Column, ext: Column) -> Column:
 PDF_KEYS = "JavaScript JS OpenAction AA Launch EmbeddedFile RichMedia XFA AcroForm Encrypt URI SubmitForm GoToR GoToE ImportData ObjStm".split()
 
 
+#: Target of a link in a PDF, escaped brackets included (fixed value).
+PDF_URI = r"/URI\s*\(([^()\\]*+(?:\\.[^()\\]*+)*+)\)"
+
+
+def pdf_link_targets(corpus: Column) -> Column:
+    """Targets of the links of a PDF's text (see operators.files.pdf_text), brackets without their escapes."""
+    undone = lambda t: F.replace(F.replace(t, F.lit("\\("), F.lit("(")), F.lit("\\)"), F.lit(")"))
+    return F.transform(F.regexp_extract_all(corpus, F.lit(PDF_URI), F.lit(1)), undone)
+
+
 def pdf_features(corpus: Column) -> Column:
     """Struct of counts (map), pages, links, signals over text of a PDF (see operators.files.pdf_text)."""
     counts = {k: F.regexp_count(corpus, F.lit(f"/{k}(?![A-Za-z0-9])")) for k in PDF_KEYS}
@@ -229,7 +264,7 @@ def pdf_features(corpus: Column) -> Column:
     js, auto = some("JavaScript", "JS"), some("OpenAction", "AA", "Launch")
     pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), n.alias("value")) for k, n in counts.items()]), lambda p: p["value"] > 0)
     return F.struct(
-        F.map_from_entries(pairs).alias("counts"), F.regexp_count(corpus, F.lit(r"/Type\s*/Page(?![A-Za-z])")).alias("pages"), F.regexp_count(corpus, F.lit(r"/URI\s*\([^()\\]*+(?:\\.[^()\\]*+)*+\)")).alias("links"),
+        F.map_from_entries(pairs).alias("counts"), F.regexp_count(corpus, F.lit(r"/Type\s*/Page(?![A-Za-z])")).alias("pages"), F.regexp_count(corpus, F.lit(PDF_URI)).alias("links"),
         _found(
             (some("Launch"), signal("high", "pdf_launch_action", "Can launch a program.")), (js & auto, signal("high", "pdf_javascript_autorun", "Script runs on opening.")), (js & ~auto, signal("medium", "pdf_javascript", "Holds script.")),
             (some("EmbeddedFile"), signal("medium", "pdf_embedded_file", "Carries a file.")), (some("RichMedia"), signal("medium", "pdf_rich_media", "Embeds media.")),

@@ -12,7 +12,7 @@ import io
 import re
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -103,9 +103,13 @@ def admit_analysis(atts: DataFrame) -> DataFrame:
 # --- unpacking ---
 
 MEMBER = "email_id string, parent_path string, parent_kind string, idx int, name string, content_type string, size bigint, compressed bigint, encrypted boolean, bomb boolean, reason string, entries int, data binary"
+#: Parts of a package that signals are read from, and bytes of members that a task holds before it hands them on.
+SIGNAL_PARTS = re.compile(r"^\[Content_Types\]\.xml$|\.rels$|^word/[^/]*\.xml$|^xl/workbook\.xml$|^xl/worksheets/.*\.xml$")
+HELD = 8 << 20
 
 
-def _zip_rows(data: bytes) -> Iterator[dict]:
+def _zip_members(data: bytes) -> Iterator[tuple[dict, Callable[[], bytes] | None]]:
+    """What is said of each member, and how to read it; None where it is not read for the reason given."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         infos = z.infolist()
         for i, m in enumerate(infos):
@@ -113,52 +117,78 @@ def _zip_rows(data: bytes) -> Iterator[dict]:
                 continue
             encrypted = bool(m.flag_bits & 1)
             bomb = m.file_size > 1 << 20 and m.file_size / max(m.compress_size, 1) > MAX_RATIO
-            row = {"idx": i, "name": m.filename, "content_type": "", "size": m.file_size, "compressed": m.compress_size, "encrypted": encrypted, "bomb": bomb, "reason": None, "entries": len(infos), "data": None}
-            if i >= MAX_LISTED:
-                row["reason"] = "not listed"
-            elif encrypted:
-                row["reason"] = "encrypted"
-            elif bomb or m.file_size > MAX_MEMBER:
-                row["reason"] = "too large or suspicious ratio"
-            else:
-                try:
-                    with z.open(m) as f:
-                        row["data"] = f.read(MAX_MEMBER + 1)
-                except Exception:  # noqa: BLE001 - damaged members are common in hostile mail
-                    row["reason"] = "could not be read"
-            yield row
+            reason = "not listed" if i >= MAX_LISTED else "encrypted" if encrypted else "too large or suspicious ratio" if bomb or m.file_size > MAX_MEMBER else None
+            row = {"idx": i, "name": m.filename, "content_type": "", "size": m.file_size, "compressed": m.compress_size, "encrypted": encrypted, "bomb": bomb, "reason": reason, "entries": len(infos), "data": None}
+
+            def read(m: zipfile.ZipInfo = m) -> bytes:
+                with z.open(m) as f:
+                    return f.read(MAX_MEMBER + 1)
 
+            yield row, None if reason else read
 
-def _mail_rows(data: bytes) -> Iterator[dict]:
+
+def _mail_members(data: bytes) -> Iterator[tuple[dict, Callable[[], bytes] | None]]:
     parts = list(email.message_from_bytes(data, policy=email.policy.default).iter_attachments())
     for i, p in enumerate(parts[:MAX_LISTED]):
         try:
             inner = p.get_content_type() == "message/rfc822"
             raw = p.get_payload()[0].as_bytes() if inner else p.get_payload(decode=True) or b""
+            name = p.get_filename() or "unnamed"
         except Exception:  # noqa: BLE001 - damaged parts are common in hostile mail
             continue
-        yield {"idx": i, "name": p.get_filename() or "unnamed", "content_type": p.get_content_type(), "size": len(raw), "compressed": len(raw), "encrypted": False, "bomb": False, "reason": None, "entries": len(parts), "data": raw}
+        yield {"idx": i, "name": name, "content_type": p.get_content_type(), "size": len(raw), "compressed": len(raw), "encrypted": False, "bomb": False, "reason": None, "entries": len(parts), "data": None}, lambda raw=raw: raw
+
+
+def _members(kind: str, data: bytes | None) -> Iterator[tuple[dict, Callable[[], bytes] | None]]:
+    """Members of a container; those before the place where it turns out to be damaged."""
+    try:
+        yield from (_zip_members if kind == "zip" else _mail_members)(data or b"")
+    except Exception:  # noqa: BLE001 - damaged containers are common in hostile mail
+        return
+
+
+def _fill(row: dict, read: Callable[[], bytes]) -> None:
+    try:
+        row["data"] = read()
+        row["size"] = len(row["data"])
+    except Exception:  # noqa: BLE001 - damaged members are common in hostile mail
+        row["reason"] = "could not be read"
+
+
+def _in_parts(rows: Iterator[dict], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of rows, handed on before more than HELD bytes have gathered."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row["data"] or b"") + 200
+        if size >= HELD:
+            yield pd.DataFrame(held)[names]
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held)[names]
 
 
 def expand(files: DataFrame) -> DataFrame:
-    """Members of ZIP files and attachments of mails as rows (MEMBER). Needs email_id, file_path, kind, data.
+    """Members of ZIP files and attachments of mails as rows (MEMBER) for the signals of containers. Needs email_id, file_path, kind, data.
 
+    Bytes are given for those parts of packages alone that signals are read from, MAX_UNPACKED of them for a container at most.
     A container that cannot be read gives no rows. A member that is encrypted, too large or too well compressed
-    is listed without bytes and with a reason.
+    is listed with a reason.
     """
     names = [c.split()[0] for c in MEMBER.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                try:
-                    rows = list((_zip_rows if r.kind == "zip" else _mail_rows)(r.data))
-                except Exception:  # noqa: BLE001 - damaged containers are common in hostile mail
-                    continue
-                if rows:
-                    yield pd.DataFrame([{"email_id": r.email_id, "parent_path": r.file_path, "parent_kind": r.kind, **x} for x in rows])[names]
+                used = 0
+                for row, read in _members(r.kind, r.data):
+                    if read and r.kind == "zip" and SIGNAL_PARTS.search(row["name"]) and used + row["size"] <= MAX_UNPACKED:
+                        _fill(row, read)
+                        used += row["size"]
+                    yield {"email_id": r.email_id, "parent_path": r.file_path, "parent_kind": r.kind, **row}
 
-    return files.filter(F.col("kind").isin("zip", "eml")).select("email_id", "file_path", "kind", "data").mapInPandas(run, MEMBER)
+    chosen = files.filter(F.col("kind").isin("zip", "eml")).select("email_id", "file_path", "kind", "data")
+    return chosen.mapInPandas(lambda batches: _in_parts(rows(batches), names), MEMBER)
 
 
 def inner_mail(files: DataFrame) -> DataFrame:
@@ -182,41 +212,69 @@ def inner_mail(files: DataFrame) -> DataFrame:
     return files.filter("kind = 'eml'").select("email_id", "file_path", "data").mapInPandas(run, schema)
 
 
+UNPACKED = "email_id string, file_path string, depth int, name string, content_type string, size bigint, data binary, reason string"
+
+
+def unpack(containers: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """Members of a mail's containers and of theirs, down to `depth`, as rows (UNPACKED). Needs email_id, file_path, kind, data.
+
+    The containers of a mail go to one task (no other bytes are shuffled) and are walked in order, each member before
+    the next and with all below it, under one budget of MAX_UNPACKED: a member beyond it is not unpacked, and at no time
+    more than one member of each level is held. A member beyond the budget stays as a row with a reason and takes none of it.
+    """
+    names = [c.split()[0] for c in UNPACKED.split(", ")]
+
+    def walk(mail: str, kind: str, data: bytes, path: str, level: int, used: list[int]) -> Iterator[dict]:
+        for row, read in _members(kind, data):
+            if read and used[0] + row["size"] > MAX_UNPACKED:
+                row["reason"], read = "unpack limit reached", None
+            if read:
+                _fill(row, read)
+            if row["data"] is not None and (row["size"] > MAX_MEMBER or used[0] + row["size"] > MAX_UNPACKED):
+                row["data"], row["reason"] = None, "too large or suspicious ratio" if row["size"] > MAX_MEMBER else "unpack limit reached"
+            used[0] += len(row["data"] or b"")
+            at = f"{path}/{row['idx']:03d}"
+            yield {"email_id": mail, "file_path": at, "depth": level, **row}
+            inner = A.container_kind(row["data"], row["name"], row["content_type"]) if row["data"] and level < depth else None
+            if inner:
+                yield from walk(mail, inner, row["data"], at, level + 1, used)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+        now, used = None, [0]
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                if r.email_id != now:
+                    now, used = r.email_id, [0]
+                yield from walk(r.email_id, r.kind, r.data, r.file_path, 1, used)
+
+    chosen = containers.filter(F.col("kind").isin("zip", "eml")).select("email_id", "file_path", "kind", "data")
+    by_mail = chosen.repartition("email_id").sortWithinPartitions("email_id", "file_path")
+    return by_mail.mapInPandas(lambda batches: _in_parts(rows(batches), names), UNPACKED)
+
+
 def analyze_nested(files: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """All files down to `depth`: email_id, file_path, depth, name, kind, size, data, reason.
 
-    What a mail's containers hold is unpacked in walk order up to MAX_UNPACKED bytes in all; a member that would go
-    beyond it stays as a row with a reason and takes none of the budget. Needs email_id, file_path, name, content_type, data.
+    What a mail's containers hold is unpacked once, in walk order and within its budget (see unpack()), and written to
+    the shared folder. Needs email_id, file_path, name, content_type, data.
     """
     kind = A.detect_kind(F.col("data"), F.col("name"), F.col("content_type"))
-    level = files.select("email_id", "file_path", F.lit(0).alias("depth"), "name", kind.alias("kind"), F.octet_length("data").cast("long").alias("size"), "data", F.lit(None).cast("string").alias("reason"))
-    out = [level]
-    for d in range(1, depth + 1):
-        m = expand(level)
-        path = F.concat_ws("/", "parent_path", F.lpad(F.col("idx").cast("string"), 3, "0"))
-        level = m.select("email_id", path.alias("file_path"), F.lit(d).alias("depth"), "name", F.when(F.col("data").isNotNull(), kind).otherwise("unknown").alias("kind"), "size", "data", "reason")
-        level = written(level, "members")  # an archive is opened once, however often its members are read
-        out.append(level)
-    every = out[0]
-    for x in out[1:]:
-        every = every.unionByName(x)
-    order = F.array_sort(F.collect_list(F.when((F.col("depth") > 0) & F.col("reason").isNull(), F.struct("file_path", "size"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("over"))
-
-    def step(a: Column, x: Column) -> Column:
-        fits = a["used"] + x["size"] <= MAX_UNPACKED
-        return F.struct((a["used"] + F.when(fits, x["size"]).otherwise(0)).cast("long").alias("used"), F.when(fits, a["over"]).otherwise(F.concat(a["over"], F.array(x["file_path"]))).alias("over"))
-
-    over = every.groupBy("email_id").agg(F.aggregate(order, start, step, lambda a: a["over"]).alias("_over")).filter(F.size("_over") > 0)
-    named = over.select("email_id", F.explode("_over").alias("file_path"), F.lit("unpack limit reached").alias("_limit"))
-    return every.join(named, ["email_id", "file_path"], "left").select("email_id", "file_path", "depth", "name", "kind", "size", F.when(F.col("_limit").isNull(), F.col("data")).alias("data"), F.coalesce("reason", "_limit").alias("reason"))
+    top = files.select("email_id", "file_path", F.lit(0).alias("depth"), "name", kind.alias("kind"), F.octet_length("data").cast("long").alias("size"), "data", F.lit(None).cast("string").alias("reason"))
+    if depth < 1:
+        return top
+    members = written(unpack(top, depth), "members")
+    below = members.select("email_id", "file_path", "depth", "name", F.when(F.col("data").isNotNull(), kind).otherwise("unknown").alias("kind"), "size", "data", "reason")
+    return top.unionByName(below)
 
 
 # --- signals of containers ---
 
 
 def archive_signals(members: DataFrame) -> DataFrame:
-    """email_id, parent_path, package, signals of plain archives and Java or Android packages. members: expand()."""
+    """email_id, parent_path, package, signals of plain archives and Java or Android packages. members: expand().
+
+    What the name of a member of a plain archive gives is given as `member_...`, once, with the first such name.
+    """
     ext = A.file_extension(F.col("name"))
     rows = members.filter("parent_kind = 'zip'").withColumns({"ext": ext, "runs": ext.isin(A.RUNNABLE_EXT + A.DISK_IMAGE_EXT), "nested": ext.isin("zip", "rar", "7z", "cab", "gz", "iso", "img")})
     named = lambda c: F.array_sort(F.collect_list(F.when(F.col(c), F.struct("idx", A.safe_filename(F.col("name")).alias("n")))))
@@ -226,14 +284,19 @@ def archive_signals(members: DataFrame) -> DataFrame:
         has((F.col("name") == "[Content_Types].xml")).alias("ct"), has(F.col("name").rlike("^(word|xl|ppt|visio)/")).alias("office"), has(F.col("name") == "META-INF/MANIFEST.MF").alias("jar"), has(F.col("name") == "AndroidManifest.xml").alias("apk"),
     )
     package = F.when(F.col("ct") & F.col("office"), "ooxml").when(F.col("jar"), "jar").when(F.col("apk"), "apk").otherwise("zip")
-    g = g.withColumn("package", package)
+    named = rows.select("email_id", "parent_path", "idx", A.safe_filename(F.col("name")).alias("shown"), F.explode(A.filename_signals(F.col("name"))).alias("s"))
+    tricks = named.groupBy("email_id", "parent_path", "s.signal").agg(F.max("s.severity").alias("severity"), F.min(F.struct("idx", F.concat_ws(": ", "shown", "s.detail").alias("detail"))).alias("first"))
+    trick = F.struct("severity", F.concat(F.lit("member_"), F.col("signal")).alias("signal"), F.col("first.detail").alias("detail"))
+    tricks = tricks.groupBy("email_id", "parent_path").agg(F.array_sort(F.collect_list(F.struct("first.idx", trick.alias("s")))).alias("tricks"))
+    g = g.withColumn("package", package).join(tricks, ["email_id", "parent_path"], "left")
     plain = F.col("package") == "zip"
-    return g.select("email_id", "parent_path", "package", A._found(
+    of_members = F.when(plain, F.transform("tricks", lambda x: x["s"].cast(A.SIGNAL)))
+    return g.select("email_id", "parent_path", "package", F.concat(F.coalesce(of_members, F.array().cast(f"array<{A.SIGNAL}>")), A._found(
         (F.col("package") == "jar", A.signal("high", "java_archive", "Runs code when opened.")), (F.col("package") == "apk", A.signal("medium", "android_package", "Android application.")),
         (plain & (F.col("enc") > 0), A.signal("medium", "encrypted_archive", F.concat(F.col("enc").cast("string"), F.lit(" of "), F.col("entries").cast("string"), F.lit(" encrypted")))),
         (plain & F.col("bomb"), A.signal("high", "compression_bomb", "Expands like a bomb; not unpacked.")), (plain & (F.size("runs") > 0), A.signal("high", "archive_contains_runnable", F.array_join("runs", ", "))),
         (plain & (F.col("nested") > 0), A.signal("low", "nested_archive", F.concat(F.col("nested").cast("string"), F.lit(" nested")))),
-    ).alias("signals"))
+    )).alias("signals"))
 
 
 _REL = r"(?i)<Relationship\b([^<>]{0,2000})>"
@@ -244,7 +307,7 @@ def _attr(x: Column, name: str) -> Column:
 
 
 def ooxml_signals(members: DataFrame, names: DataFrame) -> DataFrame:
-    """email_id, parent_path, signals of Office packages. names: email_id, parent_path, ext (of the package's own name)."""
+    """email_id, parent_path, signals, link_urls (targets of outside links) of Office packages. names: email_id, parent_path, ext (of the package's own name)."""
     text = F.make_valid_utf8(F.col("data").cast("string"))
     rels = F.transform(F.when(F.col("name").endswith(".rels"), F.regexp_extract_all(text, F.lit(_REL), F.lit(1))), lambda x: F.struct(F.lower(_attr(x, "TargetMode")).alias("mode"), F.substring_index(_attr(x, "Type"), "/", -1).alias("type"), _attr(x, "Target").alias("target")))
     outside = F.filter(rels, lambda r: r["mode"] == "external")
@@ -270,7 +333,7 @@ def ooxml_signals(members: DataFrame, names: DataFrame) -> DataFrame:
         (any_rel(local), A.signal("high", "unc_or_file_link", "Link to a file or network path.")), (any_rel(of("attachedTemplate", "oleObject", "subDocument", "mailMerge")), A.signal("high", "remote_content_link", "Content from a remote place.")),
         (any_rel(of("externalLink", "frame", "externalLinkPath")), A.signal("medium", "external_data_link", "Data from outside.")), (any_rel(of("image")), A.signal("low", "remote_image", "Remote picture.")),
         (F.col("dde_field"), A.signal("high", "dde_field", "Field starts a command.")), (F.col("dde_cell"), A.signal("high", "dde_cell_formula", "Formula starts a command.")),
-    ).alias("signals"))
+    ).alias("signals"), F.array_distinct(F.filter(F.transform("rels", lambda r: r["target"]), lambda t: F.lower(t).rlike("^(https?://|hxxp)"))).alias("link_urls"))
 
 
 # --- report ---

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -105,11 +109,44 @@ def list_blocked(blocked: DataFrame) -> DataFrame:
     return blocked.orderBy(F.desc("created_at"), "address")
 
 
-def select_messages(mails: DataFrame, n: int | None, newest: bool = False) -> DataFrame:
-    """First n of each source by pos, or the newest n; at most 2000 in any case."""
-    most = min(n or 2_000, 2_000)
-    by = Window.partitionBy("source").orderBy(F.desc("pos") if newest else F.asc("pos"), "email_id")
-    return mails.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= most).drop("_n")
+#: Messages of a source that a run takes at most.
+MOST = 2_000
+
+
+def _best_of_parts(keys: DataFrame, n: int, newest: bool) -> DataFrame:
+    """source, pos, email_id of the first n (or newest n) rows of each source in each partition: no more is held or sent on."""
+    order = [("source", "ascending"), ("pos", "descending" if newest else "ascending"), ("email_id", "ascending")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            rows = (new if held is None else pa.concat_tables([held, new])).sort_by(order)
+            source = rows.column("source").combine_chunks().dictionary_encode(null_encoding="encode")
+            source = source.indices.to_numpy(zero_copy_only=False) if isinstance(source, pa.DictionaryArray) else source.combine_chunks().indices.to_numpy(zero_copy_only=False)
+            begin = np.r_[True, source[1:] != source[:-1]] if len(source) else np.zeros(0, bool)
+            place = np.arange(len(source)) - np.flatnonzero(begin)[np.cumsum(begin) - 1] if len(source) else np.zeros(0, int)
+            held = rows.filter(pa.array(place < n)).combine_chunks()
+        if held is not None:
+            yield from held.to_batches()
+
+    return keys.mapInArrow(run, keys.schema)
+
+
+def select_messages(mails: DataFrame, n: int | None = None, newest: bool = False) -> DataFrame:
+    """First n of each source by pos, or the newest n; at most MOST in any case. Equal pos by email_id; rows without a pos come last.
+
+    In two steps: each partition keeps its own first n places, and what is left is cut at the place of the nth; then
+    the mails up to that place are numbered. No task sorts a source, however many mails it has.
+    """
+    most = min(n or MOST, MOST)
+    place = F.struct(F.isnull("pos").alias("none"), (-F.col("pos") if newest else F.col("pos")).alias("pos"), "email_id")
+    by = Window.partitionBy("source").orderBy("_place")
+    best = _best_of_parts(mails.select("source", "pos", "email_id"), most, newest).withColumn("_place", place)
+    last = best.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= most)
+    cut = last.groupBy(F.col("source").alias("_source")).agg(F.max("_place").alias("_cut"))
+    some = mails.withColumn("_place", place).join(cut, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_place") <= F.col("_cut")))
+    return some.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= most).drop("_n", "_place", "_source", "_cut")
 
 
 # --- aggregates ---

@@ -41,7 +41,7 @@ def own_findings(files: DataFrame) -> DataFrame:
         ((kind == "onenote") & ((F.size(hits) > 0) | (F.size(A.runnable_names(strings)) > 0)), A.signal("high", "onenote_embedded_launcher", "Notebook names runnable files or command-line tools.")),
     )
     harvested = F.concat(F.regexp_extract_all(text, F.lit(A.FORM_ACTION), F.lit(1)), F.regexp_extract_all(text, F.lit(A.SOURCES), F.lit(1)), T.urls_from_text(text))
-    urls = F.when(is_page, T.urls_from_text(F.array_join(harvested, "\n"))).when(F.col("is_script"), T.urls_from_text(text)).when(kind == "pdf", T.urls_from_text(F.col("pdf"))).otherwise(T.urls_from_text(strings))
+    urls = F.when(is_page, T.urls_from_text(F.array_join(harvested, "\n"))).when(F.col("is_script"), T.urls_from_text(text)).when(kind == "pdf", T.urls_from_text(F.array_join(A.pdf_link_targets(F.col("pdf")), "\n"))).otherwise(T.urls_from_text(strings))
     by_content = F.when(is_page, A.html_signals(text, kind == "svg")).when(F.col("is_script"), A.script_signals(text, ext)["signals"].cast(SIGNALS)).when(kind == "pdf", A.pdf_features(F.col("pdf"))["signals"]).when(kind == "rtf", F.col("rtf")).otherwise(_none())
     found = F.concat(A.filename_signals(F.col("name")), A.kind_signals(kind), by_content, commands)
     return rows.select("email_id", "file_path", "kind", "ext", found.alias("found"), F.coalesce(urls, F.array().cast("array<string>")).alias("urls"))
@@ -52,12 +52,13 @@ def container_findings(files: DataFrame) -> DataFrame:
     members = O.expand(files)
     names = files.select("email_id", F.col("file_path").alias("parent_path"), A.file_extension(F.col("name")).alias("ext"))
     by_zip = O.archive_signals(members).unionByName(O.ooxml_signals(members, names), allowMissingColumns=True)
-    by_zip = by_zip.groupBy("email_id", F.col("parent_path").alias("file_path")).agg(F.flatten(F.collect_list("signals")).alias("of_zip"), F.max("package").alias("package"))
+    by_zip = by_zip.groupBy("email_id", F.col("parent_path").alias("file_path")).agg(F.flatten(F.collect_list("signals")).alias("of_zip"), F.flatten(F.collect_list("link_urls")).alias("link_urls"), F.max("package").alias("package"))
     mails = O.inner_mail(files).select("email_id", "file_path", T.urls_from_text(F.col("body")).alias("inner_urls"))
     of = files.filter(F.col("kind").isin("zip", "eml")).select("email_id", "file_path", "kind")
     out = of.join(by_zip, ["email_id", "file_path"], "left").join(mails, ["email_id", "file_path"], "left")
     unread = A._found(((F.col("kind") == "zip") & F.col("of_zip").isNull(), A.signal("low", "unparseable_zip", "Looks like an archive that could not be read, or holds nothing.")))
-    return out.select("email_id", "file_path", F.concat(F.coalesce("of_zip", _none()), unread).alias("of_container"), "inner_urls", "package")
+    urls = F.coalesce("link_urls", "inner_urls")
+    return out.select("email_id", "file_path", F.concat(F.coalesce("of_zip", _none()), unread).alias("of_container"), F.when(F.size(urls) > 0, urls).otherwise(F.col("inner_urls")).alias("inner_urls"), "package")
 
 
 def analyze_attachments(files: DataFrame, depth: int = O.MAX_DEPTH) -> DataFrame:

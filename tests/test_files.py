@@ -1,13 +1,14 @@
 import email.message
 import io
 import random
+import time
 import zipfile
 import zlib
 
 from pyspark.sql import functions as F
 
 from lurewatch.functions import attachments as A
-from lurewatch.operators import files
+from lurewatch.operators import files, report
 
 
 def names(spark, value, f, kind="string"):
@@ -90,10 +91,67 @@ def test_archives_nested(spark):
     assert got["m1", "0/001"]["kind"] == "zip" and got["m1", "1/000"]["name"] == "setup.exe" and ("m2", "0") in got
     members = files.expand(df.withColumn("kind", A.detect_kind(F.col("data"), F.col("name"), F.col("content_type"))))
     signals = {r["parent_path"]: [s["signal"] for s in r["signals"]] for r in files.archive_signals(members).collect()}
-    assert signals == {"0": ["archive_contains_runnable", "nested_archive"]}
+    assert signals == {"0": ["member_double_extension", "archive_contains_runnable", "nested_archive"]}
     assert files.inner_mail(df.withColumn("kind", F.lit("eml")).filter("file_path = '1'")).first()["subject"] == "inner"
 
 
+def test_member_names_are_judged(spark):
+    df = _files(spark, [("m", "0", "a.zip", "", zipped({"invoice.pdf.exe": "MZ", "b\u202efdp.exe": "x", "other.doc.js": "y", "plain.txt": "z"}))])
+    members = files.expand(df.withColumn("kind", F.lit("zip")))
+    got = {s["signal"]: (s["severity"], s["detail"]) for s in files.archive_signals(members).first()["signals"]}
+    assert set(got) == {"member_double_extension", "member_bidi_filename_trick", "archive_contains_runnable"}
+    assert got["member_double_extension"][0] == 3 and got["member_double_extension"][1].startswith("invoice.pdf.exe: ") and "<U+202E>" in got["member_bidi_filename_trick"][1]
+
+
+def test_unpacking_stays_within_the_budget_of_a_mail(spark):
+    mib = 1 << 20
+    block = random.Random(1).randbytes(9000)
+    bomb = zipped({f"{i:02}.bin": block * (9 * mib // 9000) for i in range(30)})  # 30 members of 9 MiB, each well below the ratio of a bomb
+    assert len(bomb) < 4 * mib and 9 * mib / (len(bomb) / 30) < files.MAX_RATIO
+    rows = [("m", str(k), f"{k}.zip", "", bomb) for k in range(10)] + [("n", "0", "n.zip", "", zipped({"in.zip": bomb, "small.txt": "s"}))]
+    df = _files(spark, rows)
+    began = time.time()
+    out = files.unpack(df.withColumn("kind", F.lit("zip"))).select("email_id", "file_path", "size", "reason", F.octet_length("data").alias("held")).collect()
+    assert time.time() - began < 60
+    by_mail = {m: [r for r in out if r["email_id"] == m] for m in ("m", "n")}
+    assert {m: sum(r["held"] or 0 for r in rs) <= files.MAX_UNPACKED for m, rs in by_mail.items()} == {"m": True, "n": True}
+    assert [r["file_path"] for r in by_mail["m"] if r["held"]] == [f"0/{i:03}" for i in range(5)] and len(by_mail["m"]) == 300
+    assert all((r["held"] is None) == (r["reason"] == "unpack limit reached") for r in out)
+    inner = [r["file_path"] for r in by_mail["n"] if r["held"]]
+    assert inner == ["0/000", *(f"0/000/{i:03}" for i in range(5)), "0/001"]  # what is small still fits after what is not
+
+
+def test_parts_for_signals_are_handed_on_in_parts(spark):
+    doc = zipped({"[Content_Types].xml": "x", "word/document.xml": "y" * 100, "word/media/a.png": "z" * 100, "xl/worksheets/s1.xml": "w"})
+    got = {r["name"]: r["data"] for r in files.expand(_files(spark, [("m", "0", "a.docx", "", doc)]).withColumn("kind", F.lit("zip"))).collect()}
+    assert {k for k, v in got.items() if v} == {"[Content_Types].xml", "word/document.xml", "xl/worksheets/s1.xml"} and len(got) == 4
+
+
+def test_kind_of_containers_in_a_task_is_that_of_the_column(spark):
+    rng = random.Random(11)
+    seeds = [zipped({"a": "b"}), b"From: a\nSubject: b\n\nhi", b"X-Thing: 1\nno", b"\xef\xbb\xbf {\\rtf1 From: x", b"%PDF PK", b"MZ From:", "From: a\nSubject: b".encode("utf-16"), b"From:\x00\x01", b"RIFF    WEBPFrom:", b"PK\x05\x06", b"subject: x", b"", b" \x1cFrom: a\nFrom: b", b"\xa0From: a\nFrom: b", b"Date: 1" + b"\x01" * 9]
+    rows = []
+    for k in range(600):
+        d = bytearray(rng.choice(seeds))
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            if d:
+                d[rng.randrange(len(d))] = rng.choice(b"PK\x00\x01\nF:%a")
+        rows.append((bytes(d), rng.choice(("a.eml", "b.EML. ", "c", "", "eml")), rng.choice(("", "message/rfc822"))))
+    want = [k if k in ("zip", "eml") else None for k in kinds(spark, rows)]
+    assert [A.container_kind(*r) if r[0] else None for r in rows] == want and {"zip", "eml", None} <= set(want)
+
+
+def test_links_of_pdf_files_and_packages(spark):
+    pdf = b"%PDF-1.4 <x xmlns='http://www.w3.example/ns'> /URI (https://real.example/a\\(1\\)b) stream\n" + zlib.compress(b"/URI(http://deep.example/z)") + b"\nendstream"
+    rels = '<Relationships><Relationship Type="x/hyperlink" Target="https://lure.example/login" TargetMode="External"/><Relationship Type="x/hyperlink" Target="hxxp://defanged.example" TargetMode="External"/><Relationship Type="x/image" Target="media/a.png"/></Relationships>'
+    doc = zipped({"[Content_Types].xml": "x", "word/document.xml": "y", "word/_rels/document.xml.rels": rels})
+    df = _files(spark, [("m", "0", "a.pdf", "", pdf), ("m", "1", "b.docx", "", doc), ("m", "2", "c.zip", "", zipped({"in.docx": doc, "x.pdf.exe": "MZ"}))]).withColumn("reason", F.lit(None).cast("string"))
+    got = {r["file_path"]: r for r in report.analyze_attachments(df).collect()}
+    assert sorted(got["0"]["urls"]) == ["http://deep.example/z", "https://real.example/a(1)b"]
+    assert got["1"]["urls"] == ["https://lure.example/login", "hxxp://defanged.example"] and got["2/000"]["urls"] == got["1"]["urls"]
+    assert "member_double_extension" in [s["signal"] for s in got["2"]["signals"]] and got["2"]["risk"] == 3
+
+
 def test_office_packages(spark):
     rels = '<Relationships><Relationship Type="http://x/attachedTemplate" Target="http://t.example/a" TargetMode="External"/><Relationship Type="x/image" Target="file:///c" TargetMode="External"/></Relationships>'
     doc = zipped({"[Content_Types].xml": "macroEnabled", "word/document.xml": '<w:instrText a="b">DDEAUTO c</w:instrText>', "word/vbaProject.bin": "x", "word/_rels/document.xml.rels": rels, "word/embeddings/a.exe": "x"})
