@@ -203,8 +203,8 @@ def result_logs(spark: SparkSession, d: str) -> DataFrame:
     f = V.findings(spark, d)
     path = scratch(spark, "logs")
     messages.write_result_logs(f.select("source", "email_id", F.when(F.col("verdict") != "unknown", F.col("verdict")).alias("verdict"), "category", F.array("confidence").alias("key_indicators")), path)
-    back = spark.read.schema(messages.RESULT).json(path).drop("source").join(f.select("email_id", "source"), "email_id")
-    return findings.normalize_finding(back).select("email_id", "source", "verdict", "category", "key_indicators", "enrichment", "summary")
+    back = messages.import_result_logs(spark, path)
+    return back.select("email_id", "source", "verdict", "category", "key_indicators", "enrichment", "summary")
 
 
 @query(f"WITH {V.FINDINGS} SELECT id, verdict, CASE WHEN id % 2 = 0 THEN mailbox END AS mailbox FROM f")

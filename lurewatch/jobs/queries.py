@@ -152,14 +152,19 @@ def notification_text(spark: SparkSession, d: str) -> DataFrame:
     return V.findings(spark, d).select("id", policy.notification_text(c("verdict"), c("confidence"), c("sender"), c("subject"), none, none).alias("note"))
 
 
-_REPLY = "CASE conv_id % 4 WHEN 0 THEN '{\"verdict\": \"malicious\", \"category\": \"phishing\"}' WHEN 1 THEN 'Here it is: {\"verdict\": \"suspicious\", \"category\": \"spam\"} Done.' WHEN 2 THEN '{''verdict'': ''malicious''}' ELSE 'no reply' END"
-
-
-@query("SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'malicious' WHEN 1 THEN 'suspicious' ELSE 'unknown' END AS verdict, CASE conv_id % 4 WHEN 0 THEN 'phishing' WHEN 1 THEN 'spam' ELSE 'unclear' END AS category, conv_id % 4 < 2 AS parsed FROM conversations")
+@query("""WITH c AS (SELECT *, length(text) % 4 AS i, CASE WHEN length(text) % 3 = 0 THEN 'malicious' ELSE 'suspicious' END AS v FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, CASE WHEN i < 2 THEN v ELSE 'unknown' END AS verdict, CASE WHEN i < 2 THEN role ELSE 'unclear' END AS category, i < 2 AS parsed,
+  md5(CASE WHEN i < 2 THEN text ELSE 'The reply could not be read.' END) AS summary, md5(CASE i WHEN 2 THEN text WHEN 3 THEN text || '{''verdict'': ''' || v || '''}' END) AS raw FROM c""")
 def parse_reply(spark: SparkSession, d: str) -> DataFrame:
-    c = V.table(spark, d, "conversations")
-    reply = F.when(F.col("conv_id") % 4 == 0, '{"verdict": "malicious", "category": "phishing"}').when(F.col("conv_id") % 4 == 1, 'Here it is: {"verdict": "suspicious", "category": "spam"} Done.').when(F.col("conv_id") % 4 == 2, "{'verdict': 'malicious'}").otherwise("no reply")
-    return c.select("conv_id", "turn", findings.parse_triage_reply(reply).alias("r")).select("conv_id", "turn", "r.verdict", "r.category", "r.parsed")
+    """Turns of conversations as replies: an object that holds the text, one between sentences, the text alone, and the text with what is no JSON."""
+    c = V.table(spark, d, "conversations").filter("text IS NOT NULL")
+    i, v = F.char_length("text") % 4, F.when(F.char_length("text") % 3 == 0, "malicious").otherwise("suspicious")
+    one = F.to_json(F.struct(v.alias("verdict"), F.col("role").alias("category"), F.col("text").alias("summary")))
+    plain = F.regexp_replace("text", "[{}]", "")
+    reply = F.when(i == 0, one).when(i == 1, F.concat(plain, one, plain)).when(i == 2, F.col("text")).otherwise(F.concat("text", F.lit("{'verdict': '"), v, F.lit("'}")))
+    md5 = lambda x: F.md5(x.cast("binary"))
+    r = F.col("r")
+    return c.select("conv_id", "turn", findings.parse_triage_reply(reply).alias("r")).select("conv_id", "turn", "r.verdict", "r.category", "r.parsed", md5(r["summary"]).alias("summary"), md5(r["raw_response"]).alias("raw"))
 
 
 def _payloads(spark: SparkSession, d: str) -> DataFrame:
@@ -345,10 +350,21 @@ def file_hashes(spark: SparkSession, d: str) -> DataFrame:
     return V.files(spark, d).select("page_id", A.file_hashes(F.col("data")).alias("h")).select("page_id", "h.*")
 
 
-@query("SELECT page_id, CASE page_id % 8 WHEN 2 THEN 'double_extension' WHEN 7 THEN 'trailing_dots_or_spaces' ELSE '' END AS signals FROM pages")
+#: What a URL becomes a file name with, by its length.
+_ENDS = (".pdf.exe", ".doc .js", ".doc   .scr", ". ", ".html", ".docx", ".txt_.HTML", "\u202egpj.exe")
+_ENDS_SQL = "[" + ", ".join(f"'{x}'" for x in _ENDS) + "]"
+_DOUBLE = rf"(?i)\.({'|'.join(sorted(A.DOC_LIKE_EXT))})[\s. _-]*\.([a-z0-9]{{2,8}})\s*$"
+_OUTER = ", ".join(f"'{x}'" for x in (*A.RUNNABLE_EXT, *A.MACRO_OFFICE_EXT, *A.HTML_EXT))
+
+
+@query(f"""WITH n AS (SELECT page_id, replace(url, '/', '_') || {_ENDS_SQL}[length(url) % 8 + 1] AS raw FROM pages), s AS (SELECT page_id, raw, regexp_replace(raw, '[{A._BIDI}]', '', 'g') AS seen FROM n)
+SELECT page_id, concat_ws(' ', CASE WHEN regexp_matches(raw, '[{A._BIDI}]') THEN 'bidi_filename_trick' END, CASE WHEN lower(regexp_extract(seen, '{_DOUBLE}', 2)) IN ({_OUTER}) THEN 'double_extension' END,
+  CASE WHEN regexp_matches(seen, '(?i)\\.[a-z0-9]{{2,5}}\\s{{3,}}\\.[a-z0-9]{{2,5}}$') THEN 'padded_extension' END, CASE WHEN seen <> rtrim(seen, '. ') THEN 'trailing_dots_or_spaces' END) AS signals FROM s""")
 def filename_signals(spark: SparkSession, d: str) -> DataFrame:
-    s = A.filename_signals(F.col("name"))
-    return V.files(spark, d).select("page_id", F.array_join(F.transform(s, lambda x: x["signal"]), " ").alias("signals"))
+    """Names made of the URLs of pages with ends of many kinds."""
+    end = F.get(F.array(*map(F.lit, _ENDS)), (F.char_length("url") % 8).cast("int"))
+    s = A.filename_signals(F.concat(F.replace("url", F.lit("/"), F.lit("_")), end))
+    return V.table(spark, d, "pages").select("page_id", F.array_join(F.transform(s, lambda x: x["signal"]), " ").alias("signals"))
 
 
 def _kinds(spark: SparkSession, d: str) -> DataFrame:

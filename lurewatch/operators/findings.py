@@ -36,14 +36,14 @@ def parse_triage_reply(text: Column) -> Column:
     )
 
 
-def normalize_finding(results: DataFrame) -> DataFrame:
-    """Findings rows with defaults from results (source, verdict, key_indicators, extracted_iocs, enrichment, ...)."""
+def normalize_finding(results: DataFrame, more: tuple[Column, ...] = ()) -> DataFrame:
+    """Findings rows with defaults from results (source, verdict, key_indicators, extracted_iocs, enrichment, ...), and further columns."""
     has = set(results.columns)
     text = lambda c, default="": (F.coalesce(F.col(c).cast("string"), F.lit(default)) if c in has else F.lit(default)).alias(c)
     nested = lambda c, empty: (F.coalesce(F.to_json(c), F.lit(empty)) if c in has else F.lit(empty)).alias(c)
     return results.select(
         text("source", "gmail"), text("mailbox"), text("email_id"), text("subject"), text("sender"), text("email_date"), text("verdict", "unknown"), text("category"), text("confidence"), text("summary"),
-        nested("key_indicators", "[]"), text("recommended_action"), nested("extracted_iocs", "{}"), nested("enrichment", "{}"), text("processed_at"), text("message_id"), text("mail_folder"), text("uidvalidity"),
+        nested("key_indicators", "[]"), text("recommended_action"), nested("extracted_iocs", "{}"), nested("enrichment", "{}"), text("processed_at"), text("message_id"), text("mail_folder"), text("uidvalidity"), *more,
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lurewatch.jobs import byte_queries as _bytes  # noqa: F401 - adds its queries to the same tables
 from lurewatch.jobs import more_queries as _more  # noqa: F401 - adds its queries to the same tables
 from lurewatch.jobs import queries as _q
 

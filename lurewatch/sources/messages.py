@@ -8,10 +8,11 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lurewatch.functions import text as T
+from lurewatch.sources.scratch import written
 
 
 #: A message with its parts laid flat, each before what it holds.
@@ -126,17 +127,36 @@ def read_attachments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("path").rlike(m)).select(part(1).alias("email_id"), part(2).cast("int").alias("att_idx"), part(3).alias("filename"), F.col("length").alias("size"), F.col("content").alias("data"))
 
 
-RESULT = "source string, mailbox string, email_id string, subject string, sender string, email_date string, verdict string, category string, confidence string, summary string, key_indicators array<string>, recommended_action string, processed_at string"
-
-
-def import_result_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Results from log files of one JSON document each, with the order of their paths in `file`."""
-    return spark.read.schema(RESULT).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_path"))
+RESULT = "source string, mailbox string, email_id string, subject string, sender string, email_date string, verdict string, category string, confidence string, summary string, key_indicators array<string>, recommended_action string, processed_at string, log string"
 
 
 def write_result_logs(results: DataFrame, path: str) -> None:
-    """One JSON record per finding, in a folder per source."""
-    results.write.mode("append").partitionBy("source").json(path)
+    """One JSON record per finding, named in `log` by time, source and id, in a folder per source; a folder's records in the order of their names."""
+    time = F.coalesce(F.col("processed_at").cast("timestamp"), F.current_timestamp()) if "processed_at" in results.columns else F.current_timestamp()
+    named = results.withColumn("log", F.concat_ws("_", F.date_format(time, "yyyyMMdd'T'HHmmss'Z'"), "source", "email_id"))
+    named.sortWithinPartitions("source", "log").write.mode("append").partitionBy("source").json(path)
+
+
+def import_result_logs(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Findings (see findings.normalize_finding()) from result logs, with log and position (1, 2, ... in the order of the names).
+
+    Reads what write_result_logs() wrote, or with whole_files files of one JSON document each, named by their file.
+    The order is worked out range by range; only a count of each range reaches the driver.
+    """
+    from lurewatch.operators.findings import normalize_finding
+
+    rows = spark.read.schema(RESULT).option("multiLine", whole_files).json(path)
+    rows = rows.withColumn("log", F.coalesce("log", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = written(rows.repartitionByRange(ranges, "log", "email_id").withColumn("range", F.spark_partition_id()), "logs")
+    before, first = 0, []
+    for r in sorted(held.groupBy("range").count().collect(), key=lambda r: r["range"]):
+        first.append((r["range"], before))
+        before += r["count"]
+    starts = spark.createDataFrame(first, "range int, before bigint")
+    place = F.row_number().over(Window.partitionBy("range").orderBy("log", "email_id"))
+    numbered = held.withColumn("place", place).join(starts, "range")
+    return normalize_finding(numbered, more=(F.col("log"), (F.col("before") + F.col("place")).alias("position")))
 
 
 def append_rows(rows: DataFrame, path: str) -> None:
