@@ -69,6 +69,18 @@ def word_hashes(data: bytes | np.ndarray, ends: np.ndarray) -> tuple[np.ndarray,
     return h, counts
 
 
+def _new(x: np.ndarray) -> np.ndarray:
+    """Where sorted values differ from those before them."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[_new(x)]
+
+
 def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a text of fewer words has its whole sequence as one, one without words none."""
     at = 0
@@ -86,7 +98,7 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
         first = 0
         for n in counts:
             if n >= width:
-                yield np.unique(rolled[first : first + n - width + 1])
+                yield _distinct(rolled[first : first + n - width + 1])
             elif n:
                 whole = np.uint64(n)
                 for x in h[first : first + n]:
@@ -113,7 +125,7 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
         bins = ((x >> np.uint64(32)) * np.uint64(BINS)) & np.uint64(0xFFFFFFFF00000000)
         x = np.sort(bins | (x & np.uint64(0xFFFFFFFF)))
         at = (x >> np.uint64(32)).astype(np.int64)
-        new = np.r_[True, at[1:] != at[:-1]]
+        new = _new(at)
         out[i, at[new]] = (x[new] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         empty[i, at[new]] = False
     row, col = np.nonzero(empty)

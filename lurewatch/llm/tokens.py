@@ -74,6 +74,12 @@ def word_starts(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
     return start
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """The encoder of a worker, with the words it has met in earlier tasks."""
+    return Encoder(path)
+
+
 class Encoder:
     """Ids of texts as little-endian 16-bit numbers; a special token's own text is ordinary text here."""
 
