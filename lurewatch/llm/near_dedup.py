@@ -118,15 +118,15 @@ def _probes(attempts: int = 2048) -> np.ndarray:
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Densified one-permutation sketches (rows of BINS values) of non-empty sets."""
+    """Densified one-permutation sketches (rows of BINS values) of non-empty sets.
+
+    Hashes of a set are mixed and sorted: their upper halves name bins in rising order, and the first of a bin is its least.
+    """
     out, empty = np.zeros((len(sets), BINS), np.uint32), np.ones((len(sets), BINS), bool)
     for i, s in enumerate(sets):
-        x = _mix(s ^ np.uint64(0x5851F42D4C957F2D))
-        bins = ((x >> np.uint64(32)) * np.uint64(BINS)) & np.uint64(0xFFFFFFFF00000000)
-        x = np.sort(bins | (x & np.uint64(0xFFFFFFFF)))
-        at = (x >> np.uint64(32)).astype(np.int64)
+        at = (((s >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64)
         new = _new(at)
-        out[i, at[new]] = (x[new] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        out[i, at[new]] = (s[new] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         empty[i, at[new]] = False
     row, col = np.nonzero(empty)
     for probe in _probes():
@@ -146,8 +146,10 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _digest(s: np.ndarray, salt: int) -> int:
-    return int(_mix(s ^ np.uint64(salt)).sum().view(np.int64))
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    """Two digests of a set: sums of its hashes mixed once more, and of their squares."""
+    m = _mix(s ^ np.uint64(1))
+    return int(m.sum().view(np.int64)), int((m * m).sum().view(np.int64))
 
 
 def signatures(docs: DataFrame, width: int = WIDTH, also: tuple[str, Callable[[], Callable[[list[bytes]], list[int]]]] | None = None) -> DataFrame:
@@ -177,7 +179,7 @@ def signatures(docs: DataFrame, width: int = WIDTH, also: tuple[str, Callable[[]
                 bands, small = [None] * len(sets), [None] * len(sets)
                 for i, k, s in zip(full, key, sk.astype(np.uint8), strict=True):
                     bands[i], small[i] = k, s.tobytes()
-                digest = [[_digest(s, salt) if len(s) else None for s in sets] for salt in (1, 2)]
+                digest = list(zip(*[_digest(s) if len(s) else (None, None) for s in sets], strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(d, pa.int64()) for d in digest], pa.array(bands, pa.list_(pa.int64())), pa.array(small, pa.binary()), *batch.columns[2:], *drawn], names=["doc_id", "n", "d1", "d2", "bands", "sketch", *(a for a, _ in more)])
 
     return docs.mapInArrow(run, schema)
@@ -269,7 +271,7 @@ def _compared(texts: DataFrame, places: DataFrame, width: int, percent: int) ->
         found: list[tuple[int, int]] = []
         for _, part in rows.groupby("part", sort=False):
             sets = list(shingle_sets([t.encode("utf-8", "surrogatepass") for t in part["text"]], width))
-            meant = [len(s) > 0 and _digest(s, 1) == d for s, d in zip(sets, part["d1"], strict=True)]
+            meant = [len(s) > 0 and _digest(s)[0] == d for s, d in zip(sets, part["d1"], strict=True)]
             part = part[meant]
             part, sets = part.assign(k=range(len(part))).drop_duplicates(["id", "d1"]), [s for s, m in zip(sets, meant, strict=True) if m]
             hub = part["is_hub"].to_numpy()
