@@ -124,10 +124,26 @@ def sender_domain(sender: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(sender, F.lit("")), r"(?U)@([\w.-]+)", 1))
 
 
+#: A quoted string, and a comment (comments in it to a depth of three); possessive, so long headers stay linear.
+_QUOTED = r'"(?:[^"\\]|\\.)*+"'
+_COMMENT = r"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*+\))*+\))*+\)"
+
+
 def sender_address(sender: Column) -> Column:
-    """What stands in the last angle brackets, else the bare text; trimmed, lower-cased."""
-    s = F.coalesce(sender, F.lit(""))
-    return F.lower(F.trim(F.when(s.rlike("<[^<>]*>"), F.regexp_extract(s, "<([^<>]*)>[^<>]*$", 1)).otherwise(s)))
+    """The address of a sender, lower-cased: of `Name <address>`, `address (Name)` or the address alone; empty for null.
+
+    Quoted strings may hold any character, comments are left out, and space around dots and the at sign is. Several
+    addresses, or text behind the brackets, give an empty one; text without an at sign gives its first word.
+    """
+    s = F.regexp_replace(F.coalesce(sender, F.lit("")), rf"(?s)(\\.|{_QUOTED})|{_COMMENT}", "$1")  # an escape as one, so that no quote is tried twice
+    within = lambda chars: rf"(?:[^\"{chars}]|{_QUOTED})*+"
+    named = rf"(?s)^{within('<>,;@')}<({within('<>,;')})>?\s*$"
+    bare = rf"(?s)^\s*({within('<>,;')}),?\s*$"
+    tight = lambda a: F.regexp_replace(F.trim(a), r"(?<!\s)\s*+([.@])\s*+", "$1")
+    routed = F.regexp_replace(F.regexp_extract(s, named, 1), r"^\s*@[^:]*+:", "")
+    alone = F.trim(F.regexp_extract(s, bare, 1))
+    alone = F.when(F.contains(alone, F.lit("@")), tight(alone)).otherwise(F.regexp_extract(alone, r"^\S*+", 0))
+    return F.lower(F.when(s.rlike(named), tight(routed)).otherwise(alone))
 
 
 def extract_iocs(body: Column, sender: Column) -> Column:

@@ -1,3 +1,6 @@
+import time
+from email.utils import parseaddr
+
 from pyspark.sql import functions as F
 
 from lurewatch.functions import policy, text as T
@@ -75,3 +78,26 @@ def test_old_tables_gain_columns(spark, tmp_path):
     append_rows(spark.createDataFrame([(1, "a")], "id long, verdict string"), old)
     append_rows(spark.createDataFrame([(2, "b", "x")], "id long, verdict string, mail_state string"), new)
     assert sorted((r["id"], r["mail_state"]) for r in read_findings_evolving(spark, old, new).collect()) == [(1, None), (2, "x")]
+
+
+ODD_SENDERS = [
+    "a@b (Name)", '"Doe, John" <a@b.c>', "Name <A@b.c>", "<a@b.c>", "a@b.c", '"a<x>" <b@c>', 'N <"odd local"@b.c>', "a@b <c@d>", "A <a@b>, B <c@d>", "Doe, John <a@b>", "foo", "foo bar", "(c) a@b", "a (x) @ b . c",
+    "Name (c (nested)) <a@b>", '"q\\"uote" <a@b>', "", "  A@B.C  ", "<>", "Name <>", "Name <a@b", "a@b>", "<a@b> trailing", '"<evil@x>" real@y', "(a@b) c@d", "a,b@c", "a@b,", "Name <a@b (x)>", "=?utf-8?q?x?= <a@b>", '"x"@y.z', "Name < a@b >",
+    "<<a@b>>", "x <y> z@w", "me@x; you@y", "<@route:a@b>",
+]
+
+
+def test_addresses_of_odd_senders(spark):
+    """As the standard library's parser has them."""
+    df = spark.createDataFrame([(s,) for s in ODD_SENDERS], "s string")
+    got = {r["s"]: r["a"] for r in df.select("s", T.sender_address(F.col("s")).alias("a")).collect()}
+    assert got == {s: parseaddr(s)[1].strip().lower() for s in ODD_SENDERS}
+    assert spark.createDataFrame([(None,)], "s string").select(T.sender_address(F.col("s")).alias("a")).first()["a"] == ""
+
+
+def test_addresses_of_long_senders_take_linear_time(spark):
+    n = 100_000
+    texts = ["<" * n, '"' * n, "(" * n, "()" * n, '\\"' * n, "a" * n + "<x@y>", '"' + "b" * n + '" <x@y>', "(" + "c" * n + ") x@y", "a," * n, " " * n, ". @" * n]
+    began = time.time()
+    got = [r["a"] for r in spark.createDataFrame([(t,) for t in texts], "s string").select(T.sender_address(F.col("s")).alias("a")).collect()]
+    assert got[5:8] == ["x@y"] * 3 and time.time() - began < 60
