@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import email
 import email.policy
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,34 +14,67 @@ from lurewatch.functions import text as T
 from lurewatch.sources.scratch import written
 
 
-#: A message with its parts laid flat, each before what it holds.
-MESSAGE = (
-    "id string, threadId string, headers array<struct<name:string,value:string>>, "
-    "parts array<struct<mime:string,filename:string,data:string,size:bigint>>, error string"
-)
-
-
 def header(headers: Column, name: str) -> Column:
     """First header of a name, whatever its case; empty if there is none."""
     return F.coalesce(F.get(F.filter(headers, lambda h: F.lower(h["name"]) == name.lower()), 0)["value"], F.lit(""))
 
 
-def _message(line: str | None) -> tuple:
-    """A row of MESSAGE from one JSON document; parts may lie at any depth."""
-    try:
-        m = json.loads(line or "")
-        payload = m.get("payload") or {}
-        parts, left = [], [payload]
-        while left:
-            p = left.pop()
-            body = p.get("body") or {}
-            size = body.get("size")
-            parts.append({"mime": p.get("mimeType"), "filename": p.get("filename"), "data": body.get("data"), "size": size if isinstance(size, int) else None})
-            left += reversed(p.get("parts") or [])
-        headers = [{"name": str(h.get("name") or ""), "value": str(h.get("value") or "")} for h in payload.get("headers") or []]
-        return m.get("id"), m.get("threadId"), headers, parts, None
-    except (ValueError, AttributeError, TypeError, RecursionError) as e:
-        return None, None, [], [], f"not a message: {type(e).__name__}"
+#: Levels of parts that one pass lays flat; messages with deeper ones take further passes.
+LEVELS = 5
+PART = "struct<mime:string,filename:string,data:string,size:bigint>"
+
+
+def _inside(parts: Column) -> Column:
+    """The parts held by an array of (path, p), each with its path: p is a VARIANT, a path the place at every level."""
+    held = lambda x: F.coalesce(F.try_variant_get(x["p"], "$.parts", "array<variant>"), F.array().cast("array<variant>"))
+    return F.flatten(F.transform(parts, lambda x: F.transform(held(x), lambda c, i: F.struct(F.concat(x["path"], F.array(i)).alias("path"), c.alias("p")))))
+
+
+def _flat(parts: Column) -> Column:
+    """(path, part) of parts."""
+    get = lambda x, path, kind: F.try_variant_get(x["p"], path, kind)
+    return F.transform(parts, lambda x: F.struct(x["path"].alias("path"), F.struct(get(x, "$.mimeType", "string").alias("mime"), get(x, "$.filename", "string").alias("filename"), get(x, "$.body.data", "string").alias("data"), get(x, "$.body.size", "bigint").alias("size")).alias("part")))
+
+
+def _odd_parts(parts: Column) -> Column:
+    """Whether a part says it holds parts that are no list."""
+    said = lambda x: F.try_variant_get(x["p"], "$.parts", "variant")
+    return F.exists(parts, lambda x: said(x).isNotNull() & ~F.is_variant_null(said(x)) & F.try_variant_get(x["p"], "$.parts", "array<variant>").isNull())
+
+
+def _levels(rows: DataFrame, *keep: str) -> DataFrame:
+    """From row, l0 (array of path, p) and the kept columns: these, row, parts (path, part of LEVELS levels), odd, deeper (what lies below them)."""
+    for k in range(LEVELS):
+        rows = rows.withColumn(f"l{k + 1}", _inside(F.col(f"l{k}")))
+    own = [f"l{k}" for k in range(LEVELS)]
+    odd = _odd_parts(F.col(own[0]))
+    for c in own[1:]:
+        odd = odd | _odd_parts(F.col(c))
+    return rows.select("row", *keep, F.concat(*[_flat(F.col(c)) for c in own]).alias("parts"), odd.alias("odd"), F.col(f"l{LEVELS}").alias("deeper"))
+
+
+def flat_parts(messages: DataFrame) -> DataFrame:
+    """From row, v (VARIANT of a message) and m: row, m, parts (each before what it holds), odd. No part is too deep.
+
+    Most messages are done in one projection without a shuffle. Parts below LEVELS levels go through the same
+    projection pass after pass, until none is left, and only what was so deep meets its message again.
+    """
+    root = F.array(F.struct(F.array().cast("array<int>").alias("path"), F.try_variant_get("v", "$.payload", "variant").alias("p")))
+    now = written(_levels(messages.select("row", "m", root.alias("l0")), "m"), "parts")
+    found, more = now.filter(F.size("deeper") == 0).select("row", "m", "parts", "odd"), []
+    deep = below = now.filter(F.size("deeper") > 0)
+    while not below.isEmpty():
+        more.append(below.select("row", "parts", "odd"))
+        below = written(_levels(below.select("row", F.explode(F.transform("deeper", lambda x: F.array(x))).alias("l0"))), "parts")
+        more.append(below.filter(F.size("deeper") == 0).select("row", "parts", "odd"))
+        below = below.filter(F.size("deeper") > 0)
+    if more:
+        every = more[0]
+        for m in more[1:]:
+            every = every.unionByName(m)
+        gathered = every.groupBy("row").agg(F.flatten(F.collect_list("parts")).alias("parts"), F.bool_or("odd").alias("odd"))
+        found = found.unionByName(deep.select("row", "m").join(gathered, "row"))
+    return found.select("row", "m", F.transform(F.array_sort("parts"), lambda x: x["part"]).alias("parts"), "odd")
 
 
 def _b64url(data: Column) -> Column:
@@ -51,14 +83,22 @@ def _b64url(data: Column) -> Column:
 
 
 def read_messages_json(spark: SparkSession, path: str, source: str = "gmail") -> DataFrame:
-    """Mails from exported provider messages, one JSON document a line; a line that is none stays, with an error."""
+    """Mails from exported provider messages, one JSON document a line; a line that is none stays, with an error.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([_message(x) for x in b["value"]], columns=["id", "threadId", "headers", "parts", "error"])
-
-    m = spark.read.text(path).filter("trim(value) <> ''").mapInPandas(run, MESSAGE)
-    h = F.col("headers")
+    Documents are VARIANT values, whose parts may lie at any depth (see flat_parts()).
+    """
+    lines = spark.read.text(path).filter("trim(value) <> ''")
+    m = written(lines.select(F.monotonically_increasing_id().alias("row"), F.try_parse_json("value").alias("v")), "messages")
+    is_message = F.schema_of_variant("v").startswith("OBJECT")
+    get = lambda p, kind="string": F.try_variant_get("v", p, kind)
+    heads = F.coalesce(get("$.payload.headers", "array<struct<name:string,value:string>>"), F.array().cast("array<struct<name:string,value:string>>"))
+    head = F.struct(get("$.id").alias("id"), get("$.threadId").alias("threadId"), heads.alias("headers"))
+    of = flat_parts(m.filter(is_message).select("row", "v", head.alias("m"))).select("row", "m.*", "parts", "odd")
+    good = of.filter(~F.coalesce("odd", F.lit(False))).select("id", "threadId", "headers", "parts", F.lit(None).cast("string").alias("error"))
+    none = lambda kind: F.lit(None).cast(kind)
+    bad = m.filter(~F.coalesce(is_message, F.lit(False))).select("row").unionByName(of.filter("odd").select("row"))
+    bad = bad.select(none("string").alias("id"), none("string").alias("threadId"), F.array().cast("array<struct<name:string,value:string>>").alias("headers"), F.array().cast(f"array<{PART}>").alias("parts"), F.lit("not a message").alias("error"))
+    m, h = good.unionByName(bad), F.col("headers")
     blank = lambda p: F.coalesce(p["filename"], F.lit("")) == ""
     texts = F.transform(F.filter("parts", lambda p: blank(p) & p["data"].isNotNull()), lambda p: F.struct(p["mime"].alias("mime"), _b64url(p["data"]).alias("text")))
     return m.select(
