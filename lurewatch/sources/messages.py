@@ -161,7 +161,7 @@ def read_eml(spark: SparkSession, path: str, source: str = "yahoo") -> DataFrame
 
 
 def read_attachments(spark: SparkSession, path: str) -> DataFrame:
-    """Files `<mail>/<position>_<name>` as rows: email_id, att_idx, filename, size, data."""
+    """Files `<mail>/<position>_<name>` as rows: email_id, att_idx, filename, size, data. Spark's reader leaves out files without bytes."""
     m = r"([^/]+)/(\d+)_([^/]*)$"
     part = lambda i: F.regexp_extract("path", m, i)
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("path").rlike(m)).select(part(1).alias("email_id"), part(2).cast("int").alias("att_idx"), part(3).alias("filename"), F.col("length").alias("size"), F.col("content").alias("data"))
