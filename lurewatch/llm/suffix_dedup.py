@@ -27,8 +27,8 @@ LENGTH, TRIGGER = 100, 16
 CHUNK = 4 << 20
 #: Distinct phrases of one trigger, in a chunk or in all, beyond which its strings are compared one by one, each under a hash of its own.
 HOT_HERE, HOT = 64, 4_096
-#: Phrases whose suffixes are sorted together.
-GROUP = 16_384
+#: Phrases whose suffixes are sorted together; strings of hot triggers that a task holds before it sends them on.
+GROUP, SINGLES = 16_384, 100_000
 #: Kinds of what a task finds: a phrase, one of a hot trigger, a mark of a hot trigger, strings that are known to repeat.
 PHRASE, OF_HOT, MARK, REPEATED = range(4)
 
@@ -210,22 +210,40 @@ def extracted(texts: DataFrame, wanted: DataFrame, groups: int, length: int = LE
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []  # bucket, o, d, start, n, data
         singles: dict[bytes, list[tuple]] = {}
+        held = 0
+
+        def settle() -> None:
+            """Of strings that stand alone: the first place of each goes on with its bytes, the others repeat it."""
+            nonlocal held
+            for data, places in singles.items():
+                first = min(places)
+                found.append((xxhash.xxh3_64_intdigest(data) % groups, *first, 1, data))
+                found.extend((hash(p) % groups, *p, 0, b"") for p in set(places) - {first})
+            singles.clear()
+            held = 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            for k in range(0, len(found), GROUP):
+                columns = list(zip(*found[k : k + GROUP], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["bucket", "o", "d", "start", "n", "data"])
+            found.clear()
+
         for o, d, text, items in zip(*(batch.column(c).to_pylist() for c in ("o", "d", "text", "wanted")), strict=True):
             hot = {i["start"] for i in items if i["kind"] == OF_HOT}
             for start, n, key, kind in dict.fromkeys((i["start"], i["n"], i["key"], i["kind"]) for i in items):
                 if kind == OF_HOT:
                     for k in range(start, start + n):
                         singles.setdefault(text[k : k + length], []).append((o, d, k))
+                    held += n
+                    if held >= SINGLES:
+                        settle()
                 elif start not in hot:
                     found.append((key % groups, o, d, start, n, text[start : start + n + length - 1]))
-        for data, places in singles.items():
-            first = min(places)
-            found.append((xxhash.xxh3_64_intdigest(data) % groups, *first, 1, data))
-            found += [(hash(p) % groups, *p, 0, b"") for p in set(places) - {first}]
-        for k in range(0, len(found), GROUP):
-            columns = list(zip(*found[k : k + GROUP], strict=True))
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["bucket", "o", "d", "start", "n", "data"])
+                if len(found) >= GROUP:
+                    yield from sent()
+        settle()
+        yield from sent()
 
     rows = texts.join(lists, ["o", "d"]).select("o", "d", "doc_id", "text", "copies", "wanted")
     return rows.mapInArrow(run, "bucket int, o bigint, d bigint, start bigint, n int, data binary")

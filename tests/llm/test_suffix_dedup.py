@@ -55,7 +55,7 @@ def test_brute_force(spark, length, seed):
     assert got == by_hand(docs, length) and any(r[2] for r in got)
 
 
-@pytest.mark.parametrize("limits", [{"HOT_HERE": 2}, {"HOT": 3}, {"GROUP": 5}, {"CHUNK": 700}, {"CHUNK": 300, "HOT_HERE": 1, "GROUP": 9}])
+@pytest.mark.parametrize("limits", [{"HOT_HERE": 2}, {"HOT": 3}, {"GROUP": 5}, {"CHUNK": 700}, {"CHUNK": 300, "HOT_HERE": 1, "GROUP": 9}, {"HOT_HERE": 1, "SINGLES": 40}])
 def test_limits_change_nothing(spark, monkeypatch, limits):
     """Workers get the limits with the functions, which are sent by value here."""
     from pyspark import cloudpickle
