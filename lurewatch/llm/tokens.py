@@ -75,23 +75,22 @@ def word_starts(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 @cache
-def encoder(path: str) -> Encoder:
-    """The encoder of a worker, with the words it has met in earlier tasks."""
-    return Encoder(path)
+def _vocabulary(path: str):
+    """The library's encoder and the id of a line end, read once a worker. Words met so far are a task's own."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        known = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    assert len(known) < 1 << 16
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={}), known[b"\n"]
 
 
 class Encoder:
     """Ids of texts as little-endian 16-bit numbers; a special token's own text is ordinary text here."""
 
     def __init__(self, path: str) -> None:
-        import public_tokenizers
-        import tiktoken
-
-        with open(path, "rb") as f:
-            known = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        assert len(known) < 1 << 16
-        self.of = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
-        self.stop = known[b"\n"]
+        self.of, self.stop = _vocabulary(path)
         self._forget()
 
     def _forget(self) -> None:
