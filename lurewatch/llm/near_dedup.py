@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lurewatch.llm.common import materialize, table
 from lurewatch.llm.graph import connected_components, join_spread
+from lurewatch.llm.tokens import powers
 
 #: Words of a shingle for general use, and least similarity in per cent.
 WIDTH, PERCENT = 5, 80
@@ -26,8 +27,10 @@ LOOSE, SLACK, SURE = 0.5, 0.16, 64
 BLOCK = 256
 #: Bands from whose buckets the centre of a star is chosen.
 RANKING_BANDS = 8
-#: Bytes of text that are hashed at a time.
-CHUNK = 4 << 20
+#: Bytes of text that are hashed at a time; a longer text is hashed alone.
+CHUNK = 1 << 17
+#: Hashes that are sketched at a time.
+PIECE = 1 << 16
 
 _P = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
@@ -42,15 +45,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-@cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    with np.errstate(over="ignore"):
-        up, down = np.full(n, _P, np.uint64), np.full(n, pow(_P, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        return np.cumprod(up), np.cumprod(down)
-
-
 def word_hashes(data: bytes | np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of several texts laid end to end, and the number of words of each text."""
     raw = np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data
@@ -61,7 +55,7 @@ def word_hashes(data: bytes | np.ndarray, ends: np.ndarray) -> tuple[np.ndarray,
     cut[0], cut[ends] = True, True
     begin = np.flatnonzero(inside & (cut[:-1] | ~np.r_[False, inside[:-1]]))
     stop = np.flatnonzero(inside & (cut[1:] | ~np.r_[inside[1:], False])) + 1
-    up, down = _powers(max(12, int(len(raw)).bit_length()))
+    up, down = powers(len(raw))
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((_LOWER[raw] + np.uint64(1)) * up[: len(raw)], out=total[1:])
     h = _mix((total[stop] - total[begin]) * down[begin])
@@ -76,11 +70,6 @@ def _new(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _distinct(x: np.ndarray) -> np.ndarray:
-    x = np.sort(x)
-    return x[_new(x)]
-
-
 def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a text of fewer words has its whole sequence as one, one without words none."""
     at = 0
@@ -95,10 +84,19 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
         for k in range(width):
             rolled = rolled * np.uint64(_P) + h[k : k + len(rolled)]
         rolled = _mix(rolled)
-        first = 0
-        for n in counts:
+        first, parts = 0, []
+        fresh_from = np.zeros(len(rolled), bool)
+        for n in counts.tolist():
+            if n >= width:
+                rolled[first : first + n - width + 1].sort()
+                fresh_from[first] = True
+            parts.append((first, n))
+            first += n
+        fresh = _new(rolled) | fresh_from
+        for first, n in parts:
             if n >= width:
-                yield _distinct(rolled[first : first + n - width + 1])
+                own = slice(first, first + n - width + 1)
+                yield rolled[own][fresh[own]]
             elif n:
                 whole = np.uint64(n)
                 for x in h[first : first + n]:
@@ -106,7 +104,6 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
                 yield _mix(np.array([whole]))
             else:
                 yield np.zeros(0, np.uint64)
-            first += n
         at = stop
 
 
@@ -117,17 +114,29 @@ def _probes(attempts: int = 2048) -> np.ndarray:
     return (x % np.uint64(BINS)).astype(np.int64).reshape(attempts, BINS)
 
 
+def _pieces(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Sets laid end to end, PIECE hashes or so at a time: the number of the first, which of the piece's sets each hash is of, the hashes."""
+    at = 0
+    while at < len(sets):
+        stop, size = at, 0
+        while stop < len(sets) and (stop == at or size + len(sets[stop]) <= PIECE):
+            size += len(sets[stop])
+            stop += 1
+        yield at, np.repeat(np.arange(stop - at), [len(s) for s in sets[at:stop]]), np.concatenate(sets[at:stop])
+        at = stop
+
+
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
     """Densified one-permutation sketches (rows of BINS values) of non-empty sets.
 
     Hashes of a set are mixed and sorted: their upper halves name bins in rising order, and the first of a bin is its least.
     """
     out, empty = np.zeros((len(sets), BINS), np.uint32), np.ones((len(sets), BINS), bool)
-    for i, s in enumerate(sets):
-        at = (((s >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64)
+    for i, row, s in _pieces(sets):
+        at = (((s >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64) + (row + i) * BINS
         new = _new(at)
-        out[i, at[new]] = (s[new] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        empty[i, at[new]] = False
+        out.ravel()[at[new]] = (s[new] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        empty.ravel()[at[new]] = False
     row, col = np.nonzero(empty)
     for probe in _probes():
         if not len(row):
@@ -146,10 +155,11 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _digest(s: np.ndarray) -> tuple[int, int]:
-    """Two digests of a set: sums of its hashes mixed once more, and of their squares."""
-    m = _mix(s ^ np.uint64(1))
-    return int(m.sum().view(np.int64)), int((m * m).sum().view(np.int64))
+def _digests(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Two digests of each non-empty set: sums of its hashes mixed once more, and of their squares."""
+    for _, row, s in _pieces(sets):
+        m, first = _mix(s ^ np.uint64(1)), np.flatnonzero(_new(row))
+        yield from zip(*(np.add.reduceat(x, first).view(np.int64).tolist() for x in (m, m * m)), strict=True)
 
 
 def signatures(docs: DataFrame, width: int = WIDTH, also: tuple[str, Callable[[], Callable[[list[bytes]], list[int]]]] | None = None) -> DataFrame:
@@ -179,7 +189,8 @@ def signatures(docs: DataFrame, width: int = WIDTH, also: tuple[str, Callable[[]
                 bands, small = [None] * len(sets), [None] * len(sets)
                 for i, k, s in zip(full, key, sk.astype(np.uint8), strict=True):
                     bands[i], small[i] = k, s.tobytes()
-                digest = list(zip(*[_digest(s) if len(s) else (None, None) for s in sets], strict=True))
+                of = iter(_digests([sets[i] for i in full]))
+                digest = list(zip(*[next(of) if len(s) else (None, None) for s in sets], strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(d, pa.int64()) for d in digest], pa.array(bands, pa.list_(pa.int64())), pa.array(small, pa.binary()), *batch.columns[2:], *drawn], names=["doc_id", "n", "d1", "d2", "bands", "sketch", *(a for a, _ in more)])
 
     return docs.mapInArrow(run, schema)
@@ -271,7 +282,8 @@ def _compared(texts: DataFrame, places: DataFrame, width: int, percent: int) ->
         found: list[tuple[int, int]] = []
         for _, part in rows.groupby("part", sort=False):
             sets = list(shingle_sets([t.encode("utf-8", "surrogatepass") for t in part["text"]], width))
-            meant = [len(s) > 0 and _digest(s)[0] == d for s, d in zip(sets, part["d1"], strict=True)]
+            of = iter(_digests([s for s in sets if len(s)]))
+            meant = [len(s) > 0 and next(of)[0] == d for s, d in zip(sets, part["d1"], strict=True)]
             part = part[meant]
             part, sets = part.assign(k=range(len(part))).drop_duplicates(["id", "d1"]), [s for s, m in zip(sets, meant, strict=True) if m]
             hub = part["is_hub"].to_numpy()

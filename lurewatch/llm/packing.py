@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lurewatch.llm.common import materialize, table
 from lurewatch.llm.near_dedup import PERCENT, WIDTH, signatures, with_components
-from lurewatch.llm.tokens import Encoder, ranks
+from lurewatch.llm.tokens import Encoder, counter, ranks
 
 #: Tokens of a bin, and pieces that are packed together: a group this large fills its bins nearly as well as all would.
 CAPACITY, GROUP = 2_048, 4_096
@@ -65,7 +65,7 @@ def token_counts(docs: DataFrame, path: str, cluster: str | None = None) -> Data
     """doc_id, source, cluster, n_tokens. Without a cluster column, equal words in equal order make a cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = counter(path)
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 x = whole.slice(start, 1024)
@@ -85,11 +85,11 @@ def near_copy_counts(docs: DataFrame, path: str) -> DataFrame:
     """
     rows = _rows(docs, None).drop("cluster")
 
-    def counter():
-        encoder = Encoder(path)
+    def draw():
+        encoder = counter(path)
         return lambda texts: encoder.count([t.decode("utf-8", "surrogatepass") for t in texts])
 
-    sig = materialize(signatures(rows, WIDTH, ("n_tokens", counter)), "signatures")
+    sig = materialize(signatures(rows, WIDTH, ("n_tokens", draw)), "signatures")
     out = with_components(rows, sig, WIDTH, PERCENT)
     return out.select("doc_id", "source", F.col("component_id").alias("cluster"), "n_tokens")
 
