@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lurewatch.functions import policy
-from lurewatch.operators import skew
+from lurewatch.sources.scratch import written
 
 
 def protected_senders(rows: DataFrame, never_block: DataFrame) -> DataFrame:
@@ -48,28 +48,35 @@ def auto_outcomes(findings: DataFrame, never_block: DataFrame, enabled: bool = T
     return rows.select(F.col("id").alias("finding_id"), "step", "action", F.lit("auto").alias("trigger"), F.when(refused, 0).otherwise(1).alias("success"), message.alias("message"))
 
 
+#: Pieces, at least, into which mails and changes of the block list are cut in their order.
+PIECES = 64
+
+
 def route_in_order(rows: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     """Mails with bypassed: whether their sender is blocked by what comes before them in one order of mails and changes.
 
     rows: address, seq, mail_id (null: no mail), blocks, unblocks (see streaming.mail.stream_route_in_order()); listed:
-    address of senders blocked before all rows. Between two unblocks only the first block matters, so blocks
-    are reduced to one row per address and gap before they meet the mails; one sender may send any share of them.
+    address of senders blocked before all rows. Mails and changes are sorted by address and place and cut into pieces of
+    about one size, so one sender may send any share of them. Inside a piece a mail finds the last change before it by a
+    running value; where an address goes on from earlier pieces, its last change there comes in by a join (a row a piece
+    at most). Of changes at one place an unblock counts; a mail does not see those at its own place.
     """
-    named = rows.filter("address IS NOT NULL")
-    unblocks = named.filter("unblocks").groupBy("address").agg(F.array_sort(F.collect_set("seq")).alias("_undone"))
-    profile = skew.Profile(named, ["address"])
-    placed = skew.join_keyed(named, unblocks, profile)
-    gap = F.size(F.filter(F.coalesce("_undone", F.array().cast("array<bigint>")), lambda u: u < F.col("seq")))
-    placed = placed.withColumn("_gap", gap).drop("_undone")
-    blocks = placed.filter(F.col("blocks") & ~F.coalesce("unblocks", F.lit(False))).select("address", "_gap", "seq")
-    if listed is not None:
-        blocks = blocks.unionByName(listed.select("address", F.lit(0).alias("_gap"), F.lit(-(1 << 62)).alias("seq")))
-    firsts = blocks.groupBy("address", "_gap").agg(F.min("seq").alias("_first"))
-    of_address = firsts.groupBy("address").agg(F.map_from_entries(F.collect_list(F.struct("_gap", "_first"))).alias("_by_gap"))
-    mails = skew.join_keyed(placed.filter("mail_id IS NOT NULL"), of_address, profile)
-    bypassed = F.coalesce(F.try_element_at("_by_gap", F.col("_gap")) < F.col("seq"), F.lit(False))
-    out = mails.withColumn("bypassed", bypassed).drop("_gap", "_by_gap")
-    return out.unionByName(rows.filter("address IS NULL AND mail_id IS NOT NULL").withColumn("bypassed", F.lit(False)))
+    placed = rows.filter("address IS NOT NULL AND seq IS NOT NULL")
+    changes = placed.filter("blocks OR unblocks").select("address", "seq", F.coalesce("unblocks", F.lit(False)).alias("_undo"))
+    if listed is not None:  # nulls come first in the order
+        changes = changes.unionByName(listed.filter("address IS NOT NULL").select("address", F.lit(None).cast("long").alias("seq"), F.lit(False).alias("_undo")))
+    turns = placed.filter("mail_id IS NOT NULL").withColumn("_undo", F.lit(None).cast("boolean")).unionByName(changes, allowMissingColumns=True)
+    n = max(PIECES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cut = written(turns.repartitionByRange(n, "address", "seq").withColumn("_piece", F.spark_partition_id()), "in-order")
+    at = lambda undo, seq: F.max(F.when(F.col("_undo") == undo, seq))
+    ends = cut.groupBy("address", "_piece").agg(at(True, F.col("seq")).alias("u"), at(False, F.coalesce("seq", F.lit(-(1 << 63)))).alias("b"))
+    ends = ends.select("address", "_piece", F.when(F.coalesce("u", "b").isNotNull(), F.coalesce(F.col("u") >= F.col("b"), F.col("u").isNotNull())).alias("_end"))
+    earlier = Window.partitionBy("address").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("address", "_piece", F.last("_end", True).over(earlier).alias("_carried")).filter("_carried IS NOT NULL").limit(n)
+    so_far = Window.partitionBy("_piece", "address").orderBy("seq", F.col("_undo").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mails = cut.withColumn("_last", F.last("_undo", True).over(so_far)).filter("mail_id IS NOT NULL").join(F.broadcast(carried), ["address", "_piece"], "left")
+    out = mails.select(*rows.columns, (~F.coalesce("_last", "_carried", F.lit(True))).alias("bypassed"))
+    return out.unionByName(rows.filter("(address IS NULL OR seq IS NULL) AND mail_id IS NOT NULL").withColumn("bypassed", F.lit(False)))
 
 
 def plan_manual_actions(findings: DataFrame, requests: DataFrame) -> DataFrame:

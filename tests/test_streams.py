@@ -1,5 +1,7 @@
 import json
 import random
+import threading
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import DataFrameWriter
@@ -86,6 +88,46 @@ def test_a_block_acts_on_the_next_mail(spark):
     assert policy.route_in_order(two.limit(0)).count() == 0
 
 
+@contextmanager
+def in_time(spark, seconds):
+    """Ends the session's jobs after that time, so that work which grows with the square fails instead of lasting."""
+    timer = threading.Timer(seconds, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    try:
+        yield
+    finally:
+        timer.cancel()
+
+
+def one_sender(spark, n=400_000):
+    """Of each five rows of one sender the first unblocks and the third, a mail, blocks: the last two are bypassed."""
+    k = F.col("id") % 5
+    return spark.range(n).select(F.lit("a@b").alias("address"), F.col("id").alias("seq"), F.when(k != 0, F.concat(F.lit("m"), "id")).alias("mail_id"), (k == 2).alias("blocks"), (k == 0).alias("unblocks"))
+
+
+def test_many_changes_of_one_sender_take_time_in_proportion(spark):
+    with in_time(spark, 90):
+        out = policy.route_in_order(one_sender(spark)).select("seq", "bypassed", (F.col("seq") % 5 > 2).alias("want"))
+        assert [tuple(r) for r in out.agg(F.count("*"), F.count_if("bypassed"), F.count_if(F.col("bypassed") != F.col("want"))).collect()] == [(320_000, 160_000, 0)]
+
+
+def test_few_changes_reach_over_many_pieces(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice(["a@b", "a@b", "c@d"]), seq, f"m{seq}", rng.random() < 0.01, rng.random() < 0.01) for seq in range(-1000, 1000)]
+    rows += [("e@f", -(1 << 63), "low", True, False), ("e@f", (1 << 63) - 1, "high", False, True), ("e@f", 0, "mid", None, None)]
+    got = {r["mail_id"]: r["bypassed"] for r in policy.route_in_order(spark.createDataFrame(rows, ROUTE)).collect()}
+    assert got == by_hand(rows) and got["mid"] and 0 < sum(got.values()) < len(got)
+
+
+def test_changes_at_one_place_and_rows_without_a_place(spark):
+    rows = [("a@b", 1, "x", True, False), ("a@b", 1, "y", False, True), ("a@b", 1, "z", False, False), ("a@b", 2, "u", True, False), ("a@b", 3, "v", False, False), ("a@b", None, "w", True, False), ("a@b", None, None, False, True)]
+    got = {r["mail_id"]: r["bypassed"] for r in policy.route_in_order(spark.createDataFrame(rows, ROUTE)).collect()}
+    assert got == {"x": False, "y": False, "z": False, "u": False, "v": True, "w": False}
+    listed = spark.createDataFrame([("a@b",), (None,), ("a@b",)], "address string")
+    got = {r["mail_id"]: r["bypassed"] for r in policy.route_in_order(spark.createDataFrame(rows, ROUTE), listed).collect()}
+    assert got == {"x": True, "y": True, "z": True, "u": False, "v": True, "w": False}
+
+
 def test_route_stream_equals_batch_over_shuffled_arrival_and_a_restart(spark, tmp_path):
     rows = routed(4)
     random.Random(1).shuffle(rows)
