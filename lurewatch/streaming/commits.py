@@ -61,7 +61,7 @@ class CommitLog:
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read.option("mergeSchema", "true")
         rows = reader.option("basePath", f"{self.out}/{table}").parquet(*[f"{self.out}/{table}/run={r}" for _, r, _ in runs])
         number = self.spark.createDataFrame([(r, n) for n, r, _ in runs], "run string, batch long")
-        return rows.join(number, "run").drop("run")
+        return rows.join(F.broadcast(number), "run").drop("run")
 
     def vacuum(self, table: str) -> int:
         """Deletes the data of attempts that do not count; how many. Not while a batch is being written."""

@@ -40,6 +40,43 @@ def route_blocked(blocked_path: str, out: str) -> Callable[[DataFrame, int], Non
     return each
 
 
+_CHANGES = "address string, seq bigint, blocks boolean, unblocks boolean"
+_ROUTED = "mail_id string, address string, seq bigint, bypassed boolean, version int"
+
+
+def route_in_order(out: str) -> Callable[[DataFrame, int], None]:
+    """Batch function: mails routed by the blocks that come before them, in any order of arrival, committed as one (see CommitLog).
+
+    Rows are those of stream_route_in_order(), and last_routed() gives what it gives. There a sender's rows meet in one
+    task; here one sender may send any share of them. The table `changes` holds the rows that change the block list,
+    `routed` new mails and those of which a late change says something else, under a higher version. A batch works on all
+    mails and changes of the senders in it (and on few others, which the filter of senders lets through).
+    """
+    from lurewatch.operators import policy, skew
+
+    def each(batch: DataFrame, n: int) -> None:
+        log = CommitLog(batch.sparkSession, out)
+        rows = batch.select("address", "seq", "mail_id", "blocks", "unblocks")
+
+        def routed(written: Callable[[str], DataFrame]) -> DataFrame:
+            about = rows.agg(F.approx_count_distinct("address")).first()[0]
+            earlier = lambda name, schema: skew.prefilter(log.read(name, schema).drop("batch"), rows.select("address").distinct(), ["address"], about)
+            new = rows.filter("mail_id IS NOT NULL").select("mail_id", "address", "seq", F.lit(None).cast("boolean").alias("bypassed"), F.lit(0).alias("version"))
+            mails = earlier("routed", _ROUTED).unionByName(new).groupBy("mail_id", "address", "seq").agg(F.max("version").alias("version"), F.max_by("bypassed", "version").alias("before"))
+            changes = earlier("changes", _CHANGES).unionByName(written("changes"))
+            judged = policy.route_in_order(mails.unionByName(changes, allowMissingColumns=True))
+            return judged.filter(~F.col("bypassed").eqNullSafe(F.col("before"))).select("mail_id", "address", "seq", "bypassed", (F.col("version") + 1).alias("version"))
+
+        log.write(f"batch-{n}", {"changes": rows.filter("blocks OR unblocks").select("address", "seq", "blocks", "unblocks"), "routed": routed})
+
+    return each
+
+
+def last_routed(spark: SparkSession, out: str) -> DataFrame:
+    """mail_id, address, seq, bypassed: the last word on each mail of route_in_order()."""
+    return CommitLog(spark, out).read("routed", _ROUTED).groupBy("mail_id", "address", "seq").agg(F.max_by("bypassed", "version").alias("bypassed"))
+
+
 def write_findings(out: str, never_block: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
     """Batch function: findings, actions taken on them and new block-list rows, committed as one (see CommitLog).
 
@@ -163,7 +200,8 @@ def stream_route_in_order(rows: DataFrame, keep_ms: int | None = None) -> DataFr
     unblocks (whether the row changes the list; a mail that gets its sender blocked is both). Arrival may be in any
     order: a block that arrives late gives the mails behind it a new row of a higher version; the highest one counts
     and equals operators.policy.route_in_order(). With keep_ms a mail is forgotten that long after it was last decided,
-    which bounds the state; a block that arrives later than that no longer changes what was said of it.
+    which bounds the state; a block that arrives later than that no longer changes what was said of it. All rows of a
+    sender meet in one task, one by one: where some send a large share, route_in_order() gives the same.
     """
     return rows.select("address", "seq", "mail_id", "blocks", "unblocks").groupBy("address").transformWithStateInPandas(_Route(keep_ms), "mail_id string, address string, seq bigint, bypassed boolean, version int", "Update", "ProcessingTime" if keep_ms else "None")
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from lurewatch import registry
 from lurewatch.jobs import views as V
 from lurewatch.operators import findings, policy
 from lurewatch.sources import messages
@@ -140,6 +141,39 @@ def test_route_stream_equals_batch_over_shuffled_arrival_and_a_restart(spark, tm
     assert got == by_hand(rows) and spark.read.parquet(f"{tmp_path}/q").agg(F.max("version")).first()[0] > 1
 
 
+def test_route_batches_equal_batch_over_shuffled_arrival_repeats_and_restarts(spark, tmp_path):
+    rows = routed(5)
+    random.Random(2).shuffle(rows)
+    each = mail.route_in_order(f"{tmp_path}/out")
+    for k in range(0, 600, 200):
+        part = rows[k : k + 200] + rows[max(0, k - 50) : k] + [(None, 9000 + k, f"m{9000 + k}", True, False)]
+        spark.createDataFrame(part, ROUTE).write.mode("append").parquet(f"{tmp_path}/in")
+        mail.to_batches(spark.readStream.schema(ROUTE).parquet(f"{tmp_path}/in"), f"{tmp_path}/cp", each).awaitTermination(300)
+    got = mail.last_routed(spark, f"{tmp_path}/out").collect()
+    assert {r["mail_id"]: r["bypassed"] for r in got} == by_hand(rows) | {f"m{9000 + k}": False for k in (0, 200, 400)} and len(got) == len({r["mail_id"] for r in got})
+    log = CommitLog(spark, f"{tmp_path}/out")
+    said = log.read("routed").groupBy("mail_id").agg(F.max("version").alias("v"), F.count("*").alias("n"), F.count_distinct("bypassed").alias("kinds")).collect()
+    assert len(log.commits()) == 3 and max(r["v"] for r in said) > 1 and all(r["v"] == r["n"] and r["kinds"] == min(r["n"], 2) for r in said if r["mail_id"] < "m9000")
+    each(spark.createDataFrame([("hot@x.y", 9999, "again", False, False)], ROUTE), 2)  # a batch that counts already
+    assert len(log.commits()) == 3 and log.read("routed").filter("mail_id = 'again'").isEmpty()
+
+
+def test_route_batches_look_at_the_senders_of_the_batch(spark, tmp_path):
+    each, log = mail.route_in_order(f"{tmp_path}/out"), CommitLog(spark, f"{tmp_path}/out")
+    said = lambda n: sorted((r["mail_id"], r["bypassed"], r["version"]) for r in log.read("routed").filter(F.col("batch") == n).collect())
+    for n, rows in enumerate(([("a@b", 5, "x", False, False), ("c@d", 5, "y", True, False)], [("a@b", 1, None, True, False)], [("a@b", 3, None, False, True), ("c@d", 7, "z", False, False)])):
+        each(spark.createDataFrame(rows, ROUTE), n)
+    assert [said(n) for n in range(3)] == [[("x", False, 1), ("y", False, 1)], [("x", True, 2)], [("x", False, 3), ("z", True, 1)]]
+
+
+def test_a_stream_of_one_sender_takes_time_in_proportion(spark, tmp_path):
+    kinds = F.array(*map(F.lit, ("purchase", "view", "error", "click", "view")))
+    spark.range(400_000).select((F.col("id") * 3).alias("event_id"), F.lit(1).cast("long").alias("user_id"), F.get(kinds, (F.col("id") % 5).cast("int")).alias("event_type")).write.parquet(f"{tmp_path}/events.parquet")
+    with in_time(spark, 150):
+        out = registry.queries()["stream_route_in_order"](spark, str(tmp_path)).select("bypassed", (F.substring("mail_id", 2, 20).cast("long") / 3 % 5 > 2).alias("want"))
+        assert [tuple(r) for r in out.agg(F.count("*"), F.count_if("bypassed"), F.count_if(F.col("bypassed") != F.col("want"))).collect()] == [(320_000, 160_000, 0)]
+
+
 def test_a_row_that_fails_twice_appears_once(spark, tmp_path):
     schema = "email_id string, fails int"
     asked = []
